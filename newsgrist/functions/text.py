@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -35,21 +36,30 @@ def _decode_entities(values: pa.Array) -> pa.Array:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Keeps expressions linear in size: a plain reuse of ``value`` would copy it at every use,
+    and again whenever Catalyst moves the expression into a filter.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """One pass of HTML entity decoding.
 
     Text with common entities only stays in the JVM; the Arrow UDF sees nulls for it
     (Python UDFs run for every row, whatever ``when`` says).
     """
-    other = text.rlike(_OTHER_ENTITY)
-    common = text
-    for name, char in _COMMON_ENTITIES:
-        common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
-    return (
-        F.when(~F.contains(text, F.lit("&")), text)
-        .when(other, _decode_entities(F.when(other, text)))
-        .otherwise(common)
-    )
+
+    def decoded(t: Column) -> Column:
+        common = t
+        for name, char in _COMMON_ENTITIES:
+            common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+        return F.when(~F.contains(t, F.lit("&")), t).when(~t.rlike(_OTHER_ENTITY), common)
+
+    rare = let(text, lambda t: F.when(t.rlike(_OTHER_ENTITY), t))
+    return F.coalesce(let(text, decoded), _decode_entities(rare))
 
 
 def collapse(text: Column) -> Column:
@@ -69,7 +79,8 @@ def is_blank(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """FN-1: decode entities, collapse white space; null becomes ''."""
-    return collapse(unescape(F.coalesce(text, F.lit(""))))
+    # Never null by schema either, so joins on clean columns add no null filters.
+    return F.coalesce(collapse(unescape(F.coalesce(text, F.lit("")))), F.lit(""))
 
 
 def clean_again(cleaned: Column) -> Column:
@@ -77,15 +88,31 @@ def clean_again(cleaned: Column) -> Column:
     return F.when(F.contains(cleaned, F.lit("&")), clean_text(cleaned)).otherwise(cleaned)
 
 
-def _drop_tags(text: Column, by: str) -> Column:
-    return F.when(
-        F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]++>", by)
-    ).otherwise(text)
+def _replace_tags(text: Column, pattern: str, by: str) -> Column:
+    return let(
+        text,
+        lambda t: F.when(
+            F.contains(t, F.lit("<")), F.regexp_replace(t, pattern, by)
+        ).otherwise(t),
+    )
+
+
+def without_title_tags(title: Column) -> Column:
+    """The part of FN-2 before decoding."""
+    return _replace_tags(F.coalesce(title, F.lit("")), "<[^>]++>", " ")
+
+
+def without_description_tags(description: Column) -> Column:
+    """The part of FN-3 before decoding."""
+    blocks = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})[^>]*+>"
+    bare = _replace_tags(_replace_tags(description, blocks, " "), "<[^>]++>", "")
+    # The look-behind keeps long white-space runs linear.
+    return F.regexp_replace(bare, f"(?U)(?<!{WS}){WS}++([{TIGHT_PUNCTUATION}])", "$1")
 
 
 def clean_title(title: Column) -> Column:
     """FN-2: tags to spaces, then FN-1."""
-    return clean_text(_drop_tags(F.coalesce(title, F.lit("")), " "))
+    return clean_text(without_title_tags(title))
 
 
 def clean_title_again(cleaned: Column) -> Column:
@@ -95,15 +122,7 @@ def clean_title_again(cleaned: Column) -> Column:
 
 def clean_description(description: Column) -> Column:
     """FN-3: block tags to spaces, other tags to nothing, no space before punctuation."""
-    blocks = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})[^>]*+>"
-    spaced = F.when(
-        F.contains(description, F.lit("<")), F.regexp_replace(description, blocks, " ")
-    ).otherwise(description)
-    # The look-behind keeps long white-space runs linear.
-    tight = F.regexp_replace(
-        _drop_tags(spaced, ""), f"(?U)(?<!{WS}){WS}++([{TIGHT_PUNCTUATION}])", "$1"
-    )
-    return F.nullif(clean_text(tight), F.lit(""))
+    return F.nullif(clean_text(without_description_tags(description)), F.lit(""))
 
 
 def title_key(title: Column, *, cleaned: bool = False) -> Column:

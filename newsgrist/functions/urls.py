@@ -7,7 +7,7 @@ from urllib.parse import uses_netloc
 from pyspark.sql import Column, functions as F
 
 from newsgrist.fixed_values import TRACKING_PARAMS
-from newsgrist.functions.text import strip
+from newsgrist.functions.text import WS, let
 
 # scheme, authority, path, query; the fragment is left out. Every group may be empty.
 _PARTS = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.-]*+):)?(?://([^/?#]*+))?([^?#]*+)(?:\?([^#]*+))?"
@@ -37,22 +37,24 @@ def _ip_literal() -> str:
 
 def _trimmed(url: Column) -> Column:
     """White space and leading control characters off, line breaks and tabs out."""
-    lead = F.regexp_replace(strip(url), r"\A[\x00-\x20]++", "")
-    return F.when(lead.rlike(r"[\t\r\n]"), F.regexp_replace(lead, r"[\t\r\n]++", "")).otherwise(
-        lead
+    return F.regexp_replace(
+        url, rf"(?U)\A{WS}*+[\x00-\x20]*+|[\t\r\n]++|(?<!{WS}){WS}++\z", ""
     )
 
 
 def url_error(url: Column) -> Column:
     """Why a url cannot be split into its parts; null if it can."""
-    host = F.regexp_extract(_trimmed(url), _PARTS, 2)
-    opening, closing = F.contains(host, F.lit("[")), F.contains(host, F.lit("]"))
-    inside = F.regexp_extract(host, r"\[([^\]]*+)", 1)
-    return (
-        F.when(opening != closing, F.lit("unbalanced brackets in host"))
-        .when(opening & ~inside.rlike(_ip_literal()), F.lit("invalid bracketed host"))
-        .when(host.rlike(_AMBIGUOUS_HOST), F.lit("ambiguous character in host"))
-    )
+
+    def problem(host: Column) -> Column:
+        opening, closing = F.contains(host, F.lit("[")), F.contains(host, F.lit("]"))
+        inside = F.regexp_extract(host, r"\[([^\]]*+)", 1)
+        return (
+            F.when(opening != closing, F.lit("unbalanced brackets in host"))
+            .when(opening & ~inside.rlike(_ip_literal()), F.lit("invalid bracketed host"))
+            .when(host.rlike(_AMBIGUOUS_HOST), F.lit("ambiguous character in host"))
+        )
+
+    return let(F.regexp_extract(_trimmed(url), _PARTS, 2), problem)
 
 
 def _decode(piece: Column) -> Column:
@@ -90,35 +92,52 @@ def canonical_query(query: Column) -> Column:
     )
 
 
-def canonical_url(url: Column) -> Column:
-    """FN-4. '' for null or empty; rows with a ``url_error`` are for the caller to drop."""
-    bare = _trimmed(url)
-    scheme = F.lower(F.regexp_extract(bare, _PARTS, 1))
-    authority = F.lower(F.regexp_extract(bare, _PARTS, 2))
+def _split(bare: Column) -> Column:
+    return F.struct(
+        F.lower(F.regexp_extract(bare, _PARTS, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(bare, _PARTS, 2)).alias("authority"),
+        F.regexp_extract(bare, _PARTS, 3).alias("path"),
+        F.regexp_extract(bare, _PARTS, 4).alias("query"),
+    )
+
+
+def _cleaned(parts: Column) -> Column:
+    scheme, authority, path, query = (parts[p] for p in ("scheme", "authority", "path", "query"))
     host = (
         F.when(scheme == "http", F.regexp_replace(authority, r":80\z", ""))
         .when(scheme == "https", F.regexp_replace(authority, r":443\z", ""))
         .otherwise(authority)
     )
-    path = F.coalesce(
-        F.nullif(F.regexp_replace(F.regexp_extract(bare, _PARTS, 3), "/{2,}+", "/"), F.lit("")),
-        F.lit("/"),
+    single = F.nullif(F.regexp_replace(path, "/{2,}+", "/"), F.lit(""))
+    return F.struct(
+        scheme.alias("scheme"),
+        host.alias("host"),
+        F.coalesce(single, F.lit("/")).alias("path"),
+        F.when(query != "", canonical_query(query)).otherwise("").alias("query"),
     )
-    query = F.regexp_extract(bare, _PARTS, 4)
+
+
+def _assembled(parts: Column) -> Column:
+    scheme, host, path, query = (parts[p] for p in ("scheme", "host", "path", "query"))
     rooted = F.startswith(path, F.lit("/"))
-    with_authority = F.when(
-        host != "", F.concat(F.lit("//"), host, F.when(rooted, F.lit("")).otherwise("/"), path)
+    slash = F.when(rooted, F.lit("")).otherwise("/")
+    location = (
+        F.when(host != "", F.concat(F.lit("//"), host, slash, path))
+        .when(scheme.isin([s for s in uses_netloc if s]) & rooted, F.concat(F.lit("//"), path))
+        .otherwise(path)
     )
-    hierarchical = scheme.isin([s for s in uses_netloc if s]) & rooted
-    location = F.coalesce(
-        with_authority, F.when(hierarchical, F.concat(F.lit("//"), path)), path
+    return F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+        location,
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
-    canonical = F.when(query != "", canonical_query(query)).otherwise(F.lit(""))
-    return F.when(
-        F.coalesce(url, F.lit("")) != "",
-        F.concat(
-            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-            location,
-            F.when(canonical != "", F.concat(F.lit("?"), canonical)).otherwise(F.lit("")),
-        ),
-    ).otherwise(F.lit(""))
+
+
+def canonical_url(url: Column) -> Column:
+    """FN-4. '' for null or empty; rows with a ``url_error`` are for the caller to drop."""
+
+    def canonical(u: Column) -> Column:
+        parts = let(let(_trimmed(u), _split), _cleaned)
+        return F.when(u != "", let(parts, _assembled))
+
+    return F.coalesce(let(url, canonical), F.lit(""))

@@ -15,7 +15,7 @@ RAW_DEFAULTS = {
 def _digest(title: Column, url: Column, description: Column, content: Column) -> Column:
     blank = F.lit("")
     parts = [F.coalesce(p, blank) for p in (title, url, description, content)]
-    return F.sha2(F.concat_ws("\n", *parts), 256)
+    return F.coalesce(F.sha2(F.concat_ws("\n", *parts), 256), blank)
 
 
 def content_hash(
@@ -31,7 +31,8 @@ def content_hash(
     )
 
 
-def _published(raw: DataFrame) -> Column:
+def published_time(raw: DataFrame) -> Column:
+    """FN-8 of ``published_at``, which may be text or a timestamp."""
     if isinstance(raw.schema["published_at"].dataType, T.StringType):
         return times.parse_timestamp(F.col("published_at"))
     return F.col("published_at").cast("timestamp")
@@ -57,14 +58,21 @@ def normalize(raw: DataFrame) -> DataFrame:
     if "metadata" not in raw.columns:
         raw = raw.withColumn("metadata", empty_metadata())
     author = F.col("author")
-    cleaned = raw.withColumns(
+    # Tags go in a projection of their own: decoding reads its input more than once.
+    untagged = raw.withColumns(
         {
-            "title": text.clean_title(F.col("title")),
+            "title": text.without_title_tags(F.col("title")),
+            "description": text.without_description_tags(F.col("description")),
+        }
+    )
+    cleaned = untagged.withColumns(
+        {
+            "title": text.clean_text(F.col("title")),
             "url": urls.canonical_url(F.col("url")),
             "source": text.clean_text(F.col("source")),
             "author": F.when(F.coalesce(author, F.lit("")) != "", text.clean_text(author)),
-            "description": text.clean_description(F.col("description")),
-            "published_at": _published(raw),
+            "description": F.nullif(text.clean_text(F.col("description")), F.lit("")),
+            "published_at": published_time(raw),
             "content": text.clean_text(F.col("content")),
         }
     )

@@ -49,20 +49,20 @@ def score(articles: DataFrame, rules: Rules) -> DataFrame:
     }
     names = list(rules.categories)
     any_of = {c: any_keyword_pattern(k) for c, k in rules.categories.items() if k}
-    never = F.lit(False)
     prepared = articles.withColumns(
         {
             "_title": text.clean_text(F.col("title")),
             "_body": text.clean_text(F.col("description")),
         }
     )
-    hits = prepared.withColumns(
-        {
-            f"_{side}_{i}": F.col(f"_{side}").rlike(any_of[c]) if c in any_of else never
-            for side in ("title", "body")
-            for i, c in enumerate(names)
-        }
-    ).withColumns({f"_tag_{i}": source_tagged(c) for i, c in enumerate(names)})
+    flags = [
+        (F.col(f"_{side}").rlike(any_of[c]) if c in any_of else F.lit(False)).alias(f"_{side}_{i}")
+        for side in ("title", "body")
+        for i, c in enumerate(names)
+    ] + [source_tagged(c).alias(f"_tag_{i}") for i, c in enumerate(names)]
+    # Generated columns are where filter push-down stops: a filter on the score then runs on
+    # the flags, before the keyword search, instead of repeating the regexes.
+    hits = prepared.select("*", F.inline(F.array(F.struct(*flags)))) if flags else prepared
 
     def hit(side: str, i: int) -> Column:
         return F.col(f"_{side}_{i}")

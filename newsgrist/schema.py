@@ -49,7 +49,7 @@ SOURCE_SCHEMA = (
 ERROR_SCHEMA = "source string, kind string, query string, message string"
 
 # Bits of the order key given to each part; the sign bit stays 0.
-RANK_BITS, QUERY_BITS, POS_BITS = 17, 8, 38
+RANK_BITS, QUERY_BITS, POS_BITS = 20, 7, 36
 
 
 def order_key(ord_col: str = "ord") -> Column:
@@ -76,12 +76,13 @@ def empty_metadata() -> Column:
     return F.lit(None).cast(METADATA)
 
 
-def conform(df: DataFrame, columns: list[str], schema: str) -> DataFrame:
-    """Select ``columns`` in order, adding typed nulls for the absent ones."""
+def conform(df: DataFrame, columns: list[str], schema: str, *extra: str) -> DataFrame:
+    """``columns`` in order and of their types, null where absent; then ``extra`` as it is."""
     types = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], schema).schema}
     return df.select(
         *[
             (F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
             for c in columns
-        ]
+        ],
+        *extra,
     )
