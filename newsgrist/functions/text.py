@@ -36,6 +36,11 @@ def _decode_entities(values: pa.Array) -> pa.Array:
     )
 
 
+# Declared non-deterministic so that Catalyst keeps the projection that holds it as it is:
+# otherwise it would copy the cleaning into every later use of a cleaned column.
+_decode_entities = _decode_entities.asNondeterministic()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
@@ -58,7 +63,7 @@ def unescape(text: Column) -> Column:
             common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
         return F.when(~F.contains(t, F.lit("&")), t).when(~t.rlike(_OTHER_ENTITY), common)
 
-    rare = let(text, lambda t: F.when(t.rlike(_OTHER_ENTITY), t))
+    rare = let(text, lambda t: F.when(F.contains(t, F.lit("&")) & t.rlike(_OTHER_ENTITY), t))
     return F.coalesce(let(text, decoded), _decode_entities(rare))
 
 

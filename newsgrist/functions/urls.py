@@ -38,7 +38,7 @@ def _ip_literal() -> str:
 def _trimmed(url: Column) -> Column:
     """White space and leading control characters off, line breaks and tabs out."""
     return F.regexp_replace(
-        url, rf"(?U)\A{WS}*+[\x00-\x20]*+|[\t\r\n]++|(?<!{WS}){WS}++\z", ""
+        url, rf"(?U)\A{WS}*+[\x00-\x20]*+|(?<!{WS}){WS}++\z|[\t\r\n]++", ""
     )
 
 

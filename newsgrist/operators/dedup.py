@@ -72,9 +72,8 @@ def article_keys(articles: DataFrame, seq: str, *, normalized: bool) -> DataFram
     if not normalized:
         keys.append(hash_key(F.col("content_hash")))
     distinct = F.array_distinct(F.array_compact(F.array(*keys)))
-    return articles.select(
-        F.col(seq).cast("bigint").alias("seq"), F.explode(distinct).alias("key")
-    ).select("key.k", "key.family", "seq")
+    rows = articles.select(F.col(seq).cast("bigint").alias("seq"), distinct.alias("keys"))
+    return rows.select("seq", F.explode("keys").alias("key")).select("key.k", "key.family", "seq")
 
 
 def known_keys(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrist import fixed_values as fixed
 from newsgrist.functions import text
-from newsgrist.functions.patterns import any_keyword_pattern, keyword_pattern, matched_keywords
+from newsgrist.functions.patterns import (
+    any_keyword_pattern, contains_keyword, folded, matched_keywords,
+)
 
 __all__ = ["Rules", "keyword_matches", "score", "source_tagged"]
 
@@ -37,11 +39,12 @@ def source_tagged(category: str) -> Column:
     )
 
 
-def score(articles: DataFrame, rules: Rules) -> DataFrame:
+def score(articles: DataFrame, rules: Rules, *, normalized: bool = False) -> DataFrame:
     """AGG-1..3: sets ``categories`` and ``relevance_score``, adds ``is_relevant`` and
     ``matched_keywords``.
 
-    Narrow, no shuffle. Scoring costs one regex per category and field; single keywords
+    ``normalized`` says title and description come from ``normalize``, so only entities are
+    cleaned again. Narrow, no shuffle. Scoring costs one regex per category and field; single keywords
     are looked for only in the categories a row hit.
     """
     keep = {
@@ -49,10 +52,11 @@ def score(articles: DataFrame, rules: Rules) -> DataFrame:
     }
     names = list(rules.categories)
     any_of = {c: any_keyword_pattern(k) for c, k in rules.categories.items() if k}
+    clean = text.clean_again if normalized else text.clean_text
     prepared = articles.withColumns(
         {
-            "_title": text.clean_text(F.col("title")),
-            "_body": text.clean_text(F.col("description")),
+            "_title": clean(F.coalesce("title", F.lit(""))),
+            "_body": clean(F.coalesce("description", F.lit(""))),
         }
     )
     flags = [
@@ -83,18 +87,32 @@ def score(articles: DataFrame, rules: Rules) -> DataFrame:
         )
     # A keyword has no line break in it, so it cannot match across the two fields.
     both = F.concat_ws("\n", "_title", "_body")
-    keywords = [
-        F.when(hit("title", i) | hit("body", i), F.when(both.rlike(keyword_pattern(k)), F.lit(k)))
-        for i, c in enumerate(names)
-        for k in rules.categories[c]
-    ]
+    in_text = [hit("title", i) | hit("body", i) for i in range(len(names))]
+
+    def search(pair: Column) -> Column:
+        found_words = [
+            F.when(in_text[i], F.when(contains_keyword(pair["t"], pair["f"], k), F.lit(k)))
+            for i, c in enumerate(names)
+            for k in rules.categories[c]
+        ]
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(*found_words))))
+
+    no_words = F.array().cast("array<string>")
+    if any(rules.categories.values()):
+        any_hit = in_text[0]
+        for flag in in_text[1:]:
+            any_hit = any_hit | flag
+        pair = F.struct(both.alias("t"), folded(both).alias("f"))
+        words = F.when(any_hit, text.let(pair, search)).otherwise(no_words)
+    else:
+        words = no_words
     categories = [F.when(found(i), F.lit(c)) for i, c in enumerate(names)]
     scored = hits.withColumns(
         {
             "relevance_score": total,
             "categories": F.array_compact(F.array(*categories)).cast("array<string>"),
             "is_relevant": total >= F.lit(float(rules.threshold)),
-            "matched_keywords": F.array_sort(F.array_distinct(F.array_compact(F.array(*keywords)))),
+            "matched_keywords": words,
         }
     )
     return scored.drop(*[c for c in scored.columns if c not in keep])

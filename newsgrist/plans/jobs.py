@@ -34,14 +34,14 @@ def with_order(raw: DataFrame) -> DataFrame:
 def score_job(raw: DataFrame, rules: Rules) -> DataFrame:
     """JOB-1: normalize and score; no shuffle."""
     good, _ = split_quarantine(raw)
-    return score(normalize(good), rules)
+    return score(normalize(good), rules, normalized=True)
 
 
 def batch_job(raw: DataFrame, rules: Rules, known: DataFrame | None = None) -> DataFrame:
     """JOB-2: normalize, dedup, then score; irrelevant rows stay."""
     good, _ = split_quarantine(with_order(raw))
     articles = normalize(good)
-    return score(drop_duplicates(articles, normalized=True, known=known), rules)
+    return score(drop_duplicates(articles, normalized=True, known=known), rules, normalized=True)
 
 
 def staged_run(
@@ -64,7 +64,7 @@ def staged_run(
     blanked = raw.withColumn("_alive", alive).withColumns(
         {c: F.when(F.col("_alive"), F.col(c)) for c in texts}
     )
-    scored = score(normalize(blanked), rules)
+    scored = score(normalize(blanked), rules, normalized=True)
     stage = (
         F.when(F.col("error").isNotNull(), metrics.INVALID)
         .when(~F.col("_alive"), metrics.STALE)

@@ -131,7 +131,7 @@ def source_union(spark, sf_dir):
 # -- relevance -------------------------------------------------------------------------
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return relevance.score(tb.articles(tb.raw_documents(spark, sf_dir)), tb.RULES)
+    return relevance.score(tb.articles(tb.raw_documents(spark, sf_dir)), tb.RULES, normalized=True)
 
 
 @query
@@ -274,7 +274,7 @@ def _upserts(spark, sf_dir) -> DataFrame:
 
 
 def _scored_rows(raw: DataFrame) -> DataFrame:
-    return relevance.score(tb.articles(raw), tb.RULES)
+    return relevance.score(tb.articles(raw), tb.RULES, normalized=True)
 
 
 @query

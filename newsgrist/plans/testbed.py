@@ -26,8 +26,21 @@ RULES = Rules(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Tables of long texts: worth spreading over the cores before any regex runs.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = True) -> DataFrame:
+    """One of the driver's tables.
+
+    A small text table is a single Parquet row group, so a single task. It is spread by its
+    key then; a table of many files is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and name in _TEXT_TABLES and len(df.inputFiles()) < cores:
+        df = df.repartition(cores, _TEXT_TABLES[name])
+    return df
 
 
 def after_base(amount: Column, seconds: int) -> Column:
@@ -142,20 +155,20 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         kept = drop_duplicates(articles(raw_documents(spark, sf_dir)), normalized=True)
-        return as_store(score(kept, RULES))
+        return as_store(score(kept, RULES, normalized=True))
 
     return _at_rest("store", spark, sf_dir, build)
 
 
 def documents_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_documents`` under the documents' own source names."""
-    documents = table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents", spread=False)
     return documents_as_raw(documents, own_source=True)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of the documents' own sources: ranked by number, every fourth disabled."""
-    names = table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    names = table(spark, sf_dir, "documents", spread=False).select(F.col("source").alias("name")).distinct()
     rank = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
     return names.select(
         rank.alias("source_rank"), F.lit("feed").alias("kind"), "name",
