@@ -19,9 +19,9 @@ def with_salted_lookup(
     """``rows`` joined to ``lookup`` (unique by ``key``) without gathering a key in one task.
 
     The key join runs on the distinct (key, salt) pairs, at most ``SALTS`` per key; the rows
-    then fetch their answer by (key, salt).
+    then fetch their answer by (key, salt). Both use one exchange of the rows.
     """
-    salted = rows.withColumn("_salt", salt_of(row_id))
+    salted = rows.withColumn("_salt", salt_of(row_id)).repartition(key, "_salt")
     pairs = salted.select(key, "_salt").where(F.col(key).isNotNull()).distinct()
     answers = pairs.join(lookup, key)
     return salted.join(answers, [key, "_salt"], how).drop("_salt")

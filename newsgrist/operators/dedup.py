@@ -15,6 +15,8 @@ keys with two or more rows. Keys that hold a large share of the rows are salted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,10 +25,10 @@ from newsgrist.functions import text, urls
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import salt_of, with_salted_lookup
 
-# Rounds in Spark before a small rest may be finished in one task, and how many
-# (key, row) pairs count as small. A larger rest goes on in rounds.
-ROUNDS_BEFORE_TAIL = 4
-TAIL_PAIRS = 100_000
+# A rest of at most so many (key, row) pairs, some megabytes, is finished by one task
+# instead of further rounds; long chains of clashes would need many. A larger rest goes on
+# in rounds, however many it takes.
+TAIL_PAIRS = 50_000
 
 URL, HASH, TITLE = "url", "content_hash", "title_source"
 _PRIORITY = {URL: 1, HASH: 2, TITLE: 3}
@@ -105,23 +107,18 @@ def known_keys(
 def _with_minimum(pairs: DataFrame, *, shared_only: bool = False) -> DataFrame:
     """``pairs`` with ``m``, the smallest seq of their key; optionally without keys of one row.
 
-    Partial minima per (key, salt) combine map-side; the window over a key then sees at most
-    one row per salt, and the pairs fetch their answer by (key, salt).
+    The pairs are shuffled once, by (key, salt); both the minima per (key, salt) and the
+    join back use that one exchange. The window over a key sees at most one row per salt.
     """
-    partial = pairs.groupBy("k", salt_of("seq").alias("salt")).agg(
-        F.min("seq").alias("m"), F.count("*").alias("n")
-    )
+    salted = pairs.withColumn("salt", salt_of("seq")).repartition("k", "salt")
+    partial = salted.groupBy("k", "salt").agg(F.min("seq").alias("m"), F.count("*").alias("n"))
     key = Window.partitionBy("k")
     minima = partial.select(
         "k", "salt", F.min("m").over(key).alias("m"), F.sum("n").over(key).alias("n")
     )
     if shared_only:
         minima = minima.where(F.col("n") > 1)
-    return (
-        pairs.withColumn("salt", salt_of("seq"))
-        .join(minima, ["k", "salt"])
-        .select("k", "family", "seq", "m")
-    )
+    return salted.join(minima, ["k", "salt"]).select("k", "family", "seq", "m")
 
 
 def _with_kept(pairs: DataFrame) -> DataFrame:
@@ -140,32 +137,36 @@ def _undecided(marked: DataFrame) -> DataFrame:
     )
 
 
-def _keep_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Kept pairs of a small rest, row by row."""
-    parts = list(batches)
-    if not parts:
-        return
-    rest = pd.concat(parts, ignore_index=True)
-    taken: set[bytes] = set()
-    kept = []
-    for seq, keys in rest.groupby("seq", sort=True)["k"]:
-        if taken.isdisjoint(keys):
-            taken.update(keys)
-            kept.append(seq)
-    yield rest[rest["seq"].isin(kept)]
+def _kept_of_small_rest(undecided: DataFrame) -> DataFrame:
+    """Kept pairs of at most ``TAIL_PAIRS`` pairs, row by row in one task."""
+
+    # A nested function travels by value: workers need not have this package installed.
+    def keep_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        rest = pd.concat(parts, ignore_index=True).sort_values("seq")
+        taken: set[bytes] = set()
+        kept = []
+        for seq, pairs in groupby(zip(rest["seq"], rest["k"]), key=itemgetter(0)):
+            keys = [k for _, k in pairs]
+            if taken.isdisjoint(keys):
+                taken.update(keys)
+                kept.append(seq)
+        yield rest[rest["seq"].isin(kept)]
+
+    return undecided.coalesce(1).mapInPandas(keep_in_order, _PAIRS)
 
 
 def _kept_pairs(marked: DataFrame) -> DataFrame:
     """All kept pairs, given the (cut) first round."""
     kept = marked.where("kept").drop("kept")
-    rounds = 1
     while rest := marked.where("not kept").count():
         undecided = _undecided(marked)
-        if rounds >= ROUNDS_BEFORE_TAIL and rest <= TAIL_PAIRS:
-            return kept.unionByName(undecided.coalesce(1).mapInPandas(_keep_in_order, _PAIRS))
+        if rest <= TAIL_PAIRS:
+            return kept.unionByName(_kept_of_small_rest(undecided))
         marked = cut_lineage(_with_kept(_with_minimum(undecided)))
         kept = kept.unionByName(marked.where("kept").drop("kept"))
-        rounds += 1
     return kept
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsgrist.functions.text import escape_markup
-from newsgrist.plans.testbed import NOW, after_base, table
+from newsgrist.plans.testbed import NOW, after_base, at_rest, table
 
 FEED_ITEMS, FEED_CAP = 20, 15
 STORY_IDS, STORY_CAP = 500, 400
@@ -178,3 +178,12 @@ def repo_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     )
     queries = F.array(F.lit("q0"), F.lit("q1"), F.lit("q2"))
     return payloads, _settings(names, "repos", REPO_CAP, queries=queries)
+
+
+def landed(name: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(payloads, sources) as tables at rest: a scan starts from bodies already landed."""
+    build = {"feed": feed_payloads, "story": story_payloads, "repo": repo_payloads}[name]
+    return tuple(
+        at_rest(f"{name}-{part}", spark, sf_dir, lambda i=i: build(spark, sf_dir)[i])
+        for i, part in enumerate(("payloads", "sources"))
+    )

@@ -475,7 +475,7 @@ def batch_job_all_sources(spark, sf_dir):
 
 @query
 def feed_scan(spark, sf_dir):
-    raw, _ = scan_feeds(*payloads.feed_payloads(spark, sf_dir))
+    raw, _ = scan_feeds(*payloads.landed("feed", spark, sf_dir))
     return raw.select(
         "source", "ord.pos", "source_id", "title", "url", "author", "published_at", "description",
         F.array_join("metadata.entry_tags", "|").alias("tags"),
@@ -484,7 +484,7 @@ def feed_scan(spark, sf_dir):
 
 @query
 def story_scan(spark, sf_dir):
-    raw, _ = scan_stories(*payloads.story_payloads(spark, sf_dir))
+    raw, _ = scan_stories(*payloads.landed("story", spark, sf_dir))
     return raw.select(
         "source", "ord.pos", "source_id", "title", "url", "author", "published_at",
         "metadata.score", "metadata.story_feed",
@@ -493,7 +493,7 @@ def story_scan(spark, sf_dir):
 
 @query
 def repo_scan(spark, sf_dir):
-    raw, _ = scan_repos(*payloads.repo_payloads(spark, sf_dir))
+    raw, _ = scan_repos(*payloads.landed("repo", spark, sf_dir))
     return raw.select(
         "source", "metadata.query", "ord.pos", "source_id", "title", "url", "author",
         "published_at", "description", "metadata.stars",
@@ -503,9 +503,9 @@ def repo_scan(spark, sf_dir):
 @query
 def scan_errors(spark, sf_dir):
     parts = [
-        scan_feeds(*payloads.feed_payloads(spark, sf_dir)).errors,
-        scan_stories(*payloads.story_payloads(spark, sf_dir)).errors,
-        scan_repos(*payloads.repo_payloads(spark, sf_dir)).errors,
+        scan_feeds(*payloads.landed("feed", spark, sf_dir)).errors,
+        scan_stories(*payloads.landed("story", spark, sf_dir)).errors,
+        scan_repos(*payloads.landed("repo", spark, sf_dir)).errors,
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -513,7 +513,7 @@ def scan_errors(spark, sf_dir):
 @query
 def rule_audit(spark, sf_dir):
     """Sources of the feeds, with faults planted by rank."""
-    _, sources = payloads.feed_payloads(spark, sf_dir)
+    _, sources = payloads.landed("feed", spark, sf_dir)
     rank = F.col("source_rank")
     faulty = sources.withColumns(
         {

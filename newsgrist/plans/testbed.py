@@ -26,8 +26,8 @@ RULES = Rules(
 )
 
 
-# Tables of long texts: worth spreading over the cores before any regex runs.
-_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+# Tables with text to clean: worth spreading over the cores before any regex runs.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = True) -> DataFrame:
@@ -134,7 +134,7 @@ def as_store(scored: DataFrame) -> DataFrame:
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _at_rest(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+def at_rest(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """A derived table, written once per application: stored articles are data at rest."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
@@ -147,7 +147,7 @@ def _at_rest(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth document, as stored by an earlier run."""
     raw = raw_documents(spark, sf_dir).where("doc_id % 5 = 0")
-    return _at_rest("history", spark, sf_dir, lambda: as_store(articles(raw)))
+    return at_rest("history", spark, sf_dir, lambda: as_store(articles(raw)))
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = drop_duplicates(articles(raw_documents(spark, sf_dir)), normalized=True)
         return as_store(score(kept, RULES, normalized=True))
 
-    return _at_rest("store", spark, sf_dir, build)
+    return at_rest("store", spark, sf_dir, build)
 
 
 def documents_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
