@@ -55,7 +55,7 @@ def head_per_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
     ranked = raw.withColumn("_rank", rank).where(F.col("_rank") <= largest)
     return (
-        ranked.join(F.broadcast(limits), "source")
+        ranked.join(limits, "source")
         .where(F.col("_rank") <= F.col("max_items"))
         .drop("_rank", "max_items")
     )

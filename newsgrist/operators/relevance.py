@@ -11,6 +11,7 @@ from newsgrist.functions import text
 from newsgrist.functions.patterns import (
     any_keyword_pattern, contains_keyword, folded, matched_keywords,
 )
+from newsgrist.functions.pinned import pinned
 
 __all__ = ["Rules", "keyword_matches", "score", "source_tagged"]
 
@@ -59,14 +60,13 @@ def score(articles: DataFrame, rules: Rules, *, normalized: bool = False) -> Dat
             "_body": clean(F.coalesce("description", F.lit(""))),
         }
     )
-    flags = [
-        (F.col(f"_{side}").rlike(any_of[c]) if c in any_of else F.lit(False)).alias(f"_{side}_{i}")
+    flags = {
+        f"_{side}_{i}": F.col(f"_{side}").rlike(any_of[c]) if c in any_of else F.lit(False)
         for side in ("title", "body")
         for i, c in enumerate(names)
-    ] + [source_tagged(c).alias(f"_tag_{i}") for i, c in enumerate(names)]
-    # Generated columns are where filter push-down stops: a filter on the score then runs on
-    # the flags, before the keyword search, instead of repeating the regexes.
-    hits = prepared.select("*", F.inline(F.array(F.struct(*flags)))) if flags else prepared
+    } | {f"_tag_{i}": source_tagged(c) for i, c in enumerate(names)}
+    # A filter on the score then runs on the flags, before the keyword search.
+    hits = pinned(prepared, "*", **flags) if flags else prepared
 
     def hit(side: str, i: int) -> Column:
         return F.col(f"_{side}_{i}")

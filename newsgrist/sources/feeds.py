@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.pinned import pinned
 from newsgrist.functions.text import is_blank, strip
 from newsgrist.functions.times import parse_timestamp
 from newsgrist.sources.contract import (
@@ -72,9 +73,9 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame) -> Scan:
     fetched = payloads_of("feed", payloads, sources).withColumn(
         "problem", http_error(F.col("http_status"))
     )
-    feeds = fetched.withColumn("feed", _parsed(F.regexp_replace("body", _PREFIXES, "$1$2")))
+    feeds = pinned(fetched, "*", feed=_parsed(F.regexp_replace("body", _PREFIXES, "$1$2")))
     broken = F.col("feed._corrupt_record").isNotNull()
-    feeds = feeds.withColumn("rest", F.when(broken, _parsed(_salvaged(F.col("body")))))
+    feeds = pinned(feeds, "*", rest=F.when(broken, _parsed(_salvaged(F.col("body")))))
 
     def entries(feed: str) -> list[Column]:
         return [
@@ -101,22 +102,23 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame) -> Scan:
         F.transform(e["category"], lambda t: F.coalesce(t["_term"], t["_VALUE"])),
         lambda t: F.coalesce(t, F.lit("")) != "",
     )
-    raw = rows.select(
+    raw = pinned(
+        rows,
         "source",
-        strip(e["title"]["_VALUE"]).alias("title"),
-        strip(_entry_link(e["link"])).alias("url"),
-        _first_text(e["id"], e["guid"]["_VALUE"]).alias("source_id"),
-        _first_text(e["author"]["name"], e["author"]["_VALUE"], e["creator"]).alias("author"),
-        F.coalesce(
+        title=strip(e["title"]["_VALUE"]),
+        url=strip(_entry_link(e["link"])),
+        source_id=_first_text(e["id"], e["guid"]["_VALUE"]),
+        author=_first_text(e["author"]["name"], e["author"]["_VALUE"], e["creator"]),
+        published_at=F.coalesce(
             parse_timestamp(F.coalesce(e["published"], e["pubDate"], e["date"])),
             parse_timestamp(e["updated"]),
-        ).alias("published_at"),
-        _first_text(e["summary"]["_VALUE"], e["description"]).alias("description"),
-        _first_text(F.get(e["content"], F.lit(0))["_VALUE"], e["encoded"]).alias("content"),
-        metadata_of(
+        ),
+        description=_first_text(e["summary"]["_VALUE"], e["description"]),
+        content=_first_text(F.get(e["content"], F.lit(0))["_VALUE"], e["encoded"]),
+        metadata=metadata_of(
             feed_categories=F.coalesce("categories", F.array().cast("array<string>")),
             entry_tags=F.when(F.size(tags) > 0, tags),
-        ).alias("metadata"),
-        order_of(0, F.col("pos")).alias("ord"),
+        ),
+        ord=order_of(0, F.col("pos")),
     )
     return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors)

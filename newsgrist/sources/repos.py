@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.pinned import pinned
 from newsgrist.functions.text import is_blank, strip
 from newsgrist.functions.times import parse_iso
 from newsgrist.sources.contract import (
@@ -24,9 +25,8 @@ def scan_repos(payloads: DataFrame, sources: DataFrame) -> Scan:
     fails (an error with a null query) if all its queries did."""
     fetched = payloads_of("repos", payloads, sources).where(~is_blank(F.col("query")))
     wanted = F.transform("queries", strip)
-    fetched = fetched.withColumns(
-        {"query": strip(F.col("query")), "json": F.try_parse_json(F.col("body"))}
-    ).withColumn("query_rank", F.coalesce(F.array_position(wanted, F.col("query")), F.lit(0)))
+    fetched = fetched.withColumn("query", strip(F.col("query")))
+    fetched = pinned(fetched, "*", json=F.try_parse_json(F.col("body"))).withColumn("query_rank", F.coalesce(F.array_position(wanted, F.col("query")), F.lit(0)))
     found = F.try_variant_get(F.col("json"), "$.items", "variant")
     problem = F.coalesce(
         http_error(F.col("http_status")),
@@ -63,26 +63,29 @@ def scan_repos(payloads: DataFrame, sources: DataFrame) -> Scan:
     name = F.coalesce(
         json_text(repo, "$.full_name"), F.when(_falsy(repo, "$.full_name"), json_text(repo, "$.name"))
     )
-    raw = rows.where(plain("$.id").isNotNull()).select(
+    raw = pinned(
+        rows.where(plain("$.id").isNotNull()),
         "source",
-        strip(name).alias("title"),
-        strip(json_text(repo, "$.html_url")).alias("url"),
-        plain("$.id").alias("source_id"),
-        strip(json_text(repo, "$.owner.login")).alias("author"),
-        parse_iso(json_text(repo, "$.created_at")).alias("published_at"),
-        strip(json_text(repo, "$.description")).alias("description"),
-        F.lit(None).cast("string").alias("content"),
-        metadata_of(
+        title=strip(name),
+        url=strip(json_text(repo, "$.html_url")),
+        source_id=plain("$.id"),
+        author=strip(json_text(repo, "$.owner.login")),
+        published_at=parse_iso(json_text(repo, "$.created_at")),
+        description=strip(json_text(repo, "$.description")),
+        content=F.lit(None).cast("string"),
+        metadata=metadata_of(
             query=F.col("query"),
             stars=plain("$.stargazers_count"),
             forks=plain("$.forks_count", "bigint"),
             language=plain("$.language"),
-            topics=F.coalesce(plain("$.topics", "array<string>"), F.array().cast("array<string>")),
+            topics=F.coalesce(
+                plain("$.topics", "array<string>"), F.array().cast("array<string>")
+            ),
             created_at=plain("$.created_at"),
             updated_at=plain("$.updated_at"),
             pushed_at=plain("$.pushed_at"),
-        ).alias("metadata"),
-        order_of(F.col("query_rank"), F.col("pos")).alias("ord"),
+        ),
+        ord=order_of(F.col("query_rank"), F.col("pos")),
     )
     return Scan(
         raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), by_query.unionByName(lost)

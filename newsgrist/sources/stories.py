@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.pinned import pinned
 from newsgrist.functions.text import is_blank, strip
 from newsgrist.functions.times import epoch_timestamp
 from newsgrist.sources.contract import (
@@ -38,8 +39,8 @@ def is_true(item: Column, path: str) -> Column:
 def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
     """A payload with a null ``query`` is a feed's id list; the others are items, ``query``
     being the item id. Items that are missing, failed or not objects are skipped."""
-    fetched = payloads_of("stories", payloads, sources).withColumn(
-        "json", F.try_parse_json(F.col("body"))
+    fetched = pinned(
+        payloads_of("stories", payloads, sources), "*", json=F.try_parse_json(F.col("body"))
     )
     status = http_error(F.col("http_status"))
 
@@ -71,21 +72,22 @@ def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
     kind = json_text(item, "$.type")
     title, url = json_text(item, "$.title"), json_text(item, "$.url")
     keep = ~is_true(item, "$.deleted") & ~is_true(item, "$.dead") & (kind == "story")
-    raw = rows.where(keep).select(
+    raw = pinned(
+        rows.where(keep),
         "source",
-        strip(title).alias("title"),
-        strip(url).alias("url"),
-        F.try_variant_get(item, "$.id", "string").alias("source_id"),
-        strip(json_text(item, "$.by")).alias("author"),
-        epoch_timestamp(F.try_variant_get(item, "$.time", "string")).alias("published_at"),
-        strip(json_text(item, "$.text")).alias("description"),
-        F.lit(None).cast("string").alias("content"),
-        metadata_of(
+        title=strip(title),
+        url=strip(url),
+        source_id=F.try_variant_get(item, "$.id", "string"),
+        author=strip(json_text(item, "$.by")),
+        published_at=epoch_timestamp(F.try_variant_get(item, "$.time", "string")),
+        description=strip(json_text(item, "$.text")),
+        content=F.lit(None).cast("string"),
+        metadata=metadata_of(
             story_feed=F.col("story_feed"),
-            type=kind,
+            type=F.lit("story"),
             score=F.try_variant_get(item, "$.score", "string"),
             descendants=F.try_variant_get(item, "$.descendants", "bigint"),
-        ).alias("metadata"),
-        order_of(0, F.col("pos")).alias("ord"),
+        ),
+        ord=order_of(0, F.col("pos")),
     )
     return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors)
