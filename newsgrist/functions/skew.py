@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 256
 
+# A side of at most so many rows is broadcast: some megabytes of settings, some tens of
+# megabytes of keys.
+BROADCAST_ROWS = 50_000
+BROADCAST_KEYS = 500_000
+
 
 def salt_of(row_id: str | Column, salts: int = SALTS) -> Column:
     """A salt fixed by the row, so recomputed tasks give the same one."""
@@ -14,7 +19,7 @@ def salt_of(row_id: str | Column, salts: int = SALTS) -> Column:
 
 
 def with_salted_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, row_id: str, *, how: str = "left"
+    rows: DataFrame, lookup: DataFrame, key: str, row_id: str | Column, *, how: str = "left"
 ) -> DataFrame:
     """``rows`` joined to ``lookup`` (unique by ``key``) without gathering a key in one task.
 
@@ -25,3 +30,32 @@ def with_salted_lookup(
     pairs = salted.select(key, "_salt").where(F.col(key).isNotNull()).distinct()
     answers = pairs.join(lookup, key)
     return salted.join(answers, [key, "_salt"], how).drop("_salt")
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counts no further than that. ``df`` should
+    be data at rest: it is read twice."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def with_settings(rows: DataFrame, settings: DataFrame, key: str, row_id: str | Column) -> DataFrame:
+    """``rows`` inner-joined to a settings table (unique by ``key``).
+
+    Within the bound the table is broadcast and the rows stay where they are; beyond it, the
+    salted lookup takes over.
+    """
+    if fits(settings, BROADCAST_ROWS):
+        return rows.join(F.broadcast(settings), key)
+    return with_salted_lookup(rows, settings, key, row_id, how="inner")
+
+
+def stored_values(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Distinct non-empty values of ``column`` that both ``keys`` and the store hold.
+
+    The store is the side that is scanned: if the keys fit, they are broadcast to it and the
+    store is not shuffled, however large.
+    """
+    wanted = keys.select(column).where(F.col(column) != "").distinct()
+    if fits(keys, BROADCAST_KEYS):
+        wanted = F.broadcast(wanted)
+    return store.select(column).join(wanted, column, "left_semi").distinct()

@@ -75,7 +75,8 @@ def article_keys(articles: DataFrame, seq: str, *, normalized: bool) -> DataFram
         keys.append(hash_key(F.col("content_hash")))
     distinct = F.array_distinct(F.array_compact(F.array(*keys)))
     rows = articles.select(F.col(seq).cast("bigint").alias("seq"), distinct.alias("keys"))
-    return rows.select("seq", F.explode("keys").alias("key")).select("key.k", "key.family", "seq")
+    # Never empty; the outer form spares the filter on the array, which would compute it twice.
+    return rows.select("seq", F.explode_outer("keys").alias("key")).select("key.k", "key.family", "seq")
 
 
 def known_keys(
@@ -171,13 +172,15 @@ def _kept_pairs(marked: DataFrame) -> DataFrame:
 
 
 def find_duplicates(
-    articles: DataFrame, seq: str = "seq", *, normalized: bool = False, known: DataFrame | None = None
+    articles: DataFrame, seq: str = "seq", *, normalized: bool = False,
+    known: DataFrame | None = None, reasons: bool = True,
 ) -> DataFrame:
     """(seq, reason) of the duplicates in ``articles``; ``seq`` is their unique BIGINT order.
 
     ``known`` holds keys of earlier runs (``known_keys``): rows with one of them are dropped
     first and block nobody. ``reason`` is the first matching family, url before hash before
-    title and source, over known keys and all kept rows (DD-5).
+    title and source, over known keys and all kept rows (DD-5); without ``reasons`` the
+    result is (seq) only and one lookup cheaper.
     """
     pairs = article_keys(articles, seq, normalized=normalized)
     shared = _with_minimum(pairs, shared_only=True)
@@ -193,7 +196,12 @@ def find_duplicates(
         alive = shared.join(seen.select("seq"), "seq", "left_anti")
         first = cut_lineage(_with_kept(_with_minimum(alive)))
 
-    holders = _kept_pairs(first).select("k", F.col("seq").alias("holder"))
+    kept = _kept_pairs(first)
+    if not reasons:
+        dropped = first.select("seq").distinct().join(kept.select("seq"), "seq", "left_anti")
+        return dropped if seen is None else dropped.unionByName(seen.select("seq"))
+
+    holders = kept.select("k", F.col("seq").alias("holder"))
     matches = (
         with_salted_lookup(shared.select("k", "family", "seq"), holders, "k", "seq", how="inner")
         .where(F.col("holder") < F.col("seq"))

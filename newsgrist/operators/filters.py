@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsgrist.functions.skew import with_settings
 from newsgrist.functions.text import is_blank
 
 Instant = datetime | str
@@ -55,7 +56,7 @@ def head_per_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
     ranked = raw.withColumn("_rank", rank).where(F.col("_rank") <= largest)
     return (
-        ranked.join(limits, "source")
+        with_settings(ranked, limits, "source", F.col("ord"))
         .where(F.col("_rank") <= F.col("max_items"))
         .drop("_rank", "max_items")
     )
@@ -64,4 +65,4 @@ def head_per_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
 def enabled_only(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-16: records of enabled sources."""
     names = sources.where("enabled").select(F.col("name").alias("source"))
-    return raw.join(names, "source", "left_semi")
+    return with_settings(raw, names, "source", F.col("ord"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsgrist.functions.skew import with_salted_lookup
+from newsgrist.functions.skew import stored_values, with_salted_lookup
 from newsgrist.operators.filters import unsent
 
 
@@ -25,9 +25,12 @@ def not_in_history(articles: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def in_history(articles: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
-    """The other side of JN-3: ``row_id`` of articles whose url or hash is stored."""
+    """The other side of JN-3: ``row_id`` of articles whose url or hash is stored.
+
+    For articles at rest and unique by url, such as a run's records after dedup.
+    """
     matches = [
-        articles.join(_present(store, c), c, "left_semi").select(row_id)
+        articles.join(stored_values(store, articles, c), c, "left_semi").select(row_id)
         for c in ("url", "content_hash")
     ]
     return matches[0].union(matches[1]).distinct()
@@ -56,11 +59,14 @@ def lookup(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
     Hashes may repeat in the store; the earliest row (``created_at``, ``id``) answers.
     """
-    matches = store.join(keys.select(column).where(F.col(column).isNotNull()), column, "left_semi")
+    wanted = keys.where(F.col(column).isNotNull()).select(column).distinct()
     if column != "content_hash":
-        return matches
-    first = matches.groupBy(column).agg(F.min(F.struct("created_at", "id")).alias("first"))
-    return matches.join(first.select(F.col("first.id").alias("id")), "id", "left_semi")
+        return store.join(wanted, column, "left_semi")
+    candidates = with_salted_lookup(
+        store.select(column, "created_at", "id"), wanted, column, "id", how="inner"
+    )
+    first = candidates.groupBy(column).agg(F.min(F.struct("created_at", "id")).alias("first"))
+    return store.join(first.select(F.col("first.id").alias("id")), "id", "left_semi")
 
 
 def top_unsent(store: DataFrame, min_score: float, limit: int) -> DataFrame:

@@ -71,7 +71,7 @@ def normalize(raw: DataFrame) -> DataFrame:
             "url": urls.canonical_url(F.col("url")),
             "source": text.clean_text(F.col("source")),
             "author": F.when(F.coalesce(author, F.lit("")) != "", text.clean_text(author)),
-            "description": F.nullif(text.clean_text(F.col("description")), F.lit("")),
+            "description": text.clean_text(F.col("description")),
             "published_at": published_time(raw),
             "content": text.clean_text(F.col("content")),
         }
@@ -84,6 +84,7 @@ def normalize(raw: DataFrame) -> DataFrame:
                 text.clean_again(F.col("description")),
                 F.col("content"),
             ),
+            "description": F.nullif(F.col("description"), F.lit("")),
             "categories": F.array().cast("array<string>"),
             "relevance_score": F.lit(0.0),
             "sent": F.lit(False),

@@ -17,6 +17,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsgrist.functions.skew import BROADCAST_KEYS, fits, stored_values
 from newsgrist.functions.times import parse_iso
 from newsgrist.schema import STORE_COLUMNS, STORE_REQUIRED, STORE_SCHEMA, conform
 
@@ -77,17 +78,14 @@ def constraint_violations(rows: DataFrame) -> DataFrame:
 def append_violations(store: DataFrame, batch: DataFrame) -> DataFrame:
     """SNK-5 for an append: the batch in itself, and its keys against the store.
 
-    The store is only semi-joined on its two key columns, never aggregated.
+    Only the store's two key columns are read, and matched against the keys of the batch.
     """
-    taken = [
-        batch.select(F.col(c).alias("key"))
-        .join(store.select(F.col(c).alias("key")), "key", "left_semi")
-        .groupBy("key")
-        .agg((F.count("*") + 1).alias("n"))
-        .select(F.lit(f"{c} unique").alias("rule"), "key", "n")
-        for c in ("id", "url")
-    ]
-    return constraint_violations(batch).unionByName(taken[0]).unionByName(taken[1])
+    parts = [constraint_violations(batch)]
+    for c in ("id", "url"):
+        counts = batch.groupBy(c).agg((F.count("*") + 1).alias("n"))
+        taken = counts.join(stored_values(store, batch, c), c, "left_semi")
+        parts.append(taken.select(F.lit(f"{c} unique").alias("rule"), F.col(c).alias("key"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def upserted(target: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -223,6 +221,9 @@ class ArticleStore:
         rows = self._read_part("rows", STORE_SCHEMA, without_batch).drop("batch")
         marks = self._read_part("sent", "id string, sent_at timestamp", None)
         latest = marks.groupBy("id").agg(F.max_by("sent_at", "batch").alias("_mark"))
+        # Marks come by the dozen per run; while they fit, articles are not shuffled for them.
+        if fits(marks, BROADCAST_KEYS):
+            latest = F.broadcast(latest)
         return (
             rows.join(latest, "id", "left")
             .withColumns(
@@ -252,7 +253,7 @@ class ArticleStore:
 
     def mark_sent(self, results: DataFrame, batch_id: int) -> None:
         """SNK-6: records successful deliveries of stored ids."""
-        marks = results.where("ok").join(self.read().select("id"), "id", "left_semi")
+        marks = results.where("ok").join(stored_values(self.read(), results, "id"), "id", "left_semi")
         self._write(marks.select("id", "sent_at"), self._generation(), "sent", batch_id)
 
     def save_outbox(self, outbox: DataFrame, batch_id: int) -> DataFrame:

@@ -79,8 +79,8 @@ def staged_run(
     )
 
     relevant = staged.where(F.col("stage") == metrics.NEW)
-    in_run = find_duplicates(relevant, normalized=True).select("seq", F.lit(True).alias("_in_run"))
-    in_run = cut_lineage(in_run)
+    in_run = find_duplicates(relevant, normalized=True, reasons=False)
+    in_run = cut_lineage(in_run.withColumn("_in_run", F.lit(True)))
     # First of their kind only: urls are unique here, so the history joins meet no hot key.
     keys = relevant.select("seq", "url", "content_hash").join(in_run, "seq", "left_anti")
     in_store = in_history(keys, store).withColumn("_in_store", F.lit(True))

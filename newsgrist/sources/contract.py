@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.skew import with_settings
 from newsgrist.schema import ERROR_SCHEMA, METADATA, RAW_COLUMNS, RAW_SCHEMA
 
 _META_FIELDS = [f.split(":", 1) for f in METADATA[len("struct<"):-1].split(",")]
@@ -53,14 +54,15 @@ def order_of(query_rank: Column | int, pos: Column) -> Column:
 def payloads_of(kind: str, payloads: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-16: payloads of the enabled sources of one kind, with the source's settings.
 
-    ``sources`` is the configured list, a row per source; it is broadcast only while Spark
-    measures it below its threshold.
+    ``sources`` is the configured list, a row per source.
     """
     settings = sources.where(F.col("enabled") & (F.col("kind") == kind)).select(
         F.col("name").alias("source"), "source_rank", "max_items", "categories", "story_feed",
         "queries",
     )
-    return payloads.where(F.col("kind") == kind).join(settings, "source")
+    return with_settings(
+        payloads.where(F.col("kind") == kind), settings, "source", F.xxhash64("query", "body")
+    )
 
 
 def http_error(status: Column) -> Column:
