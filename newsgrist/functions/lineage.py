@@ -28,6 +28,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to reliable storage and read back from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to a Parquet table in the shared folder, and read from there.
+
+    Unlike a checkpoint it is compressed, and later steps read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
