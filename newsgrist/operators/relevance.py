@@ -13,8 +13,6 @@ from newsgrist.functions.patterns import (
 )
 from newsgrist.functions.pinned import pinned
 
-__all__ = ["Rules", "keyword_matches", "score", "source_tagged"]
-
 
 @dataclass(frozen=True)
 class Rules:

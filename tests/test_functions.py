@@ -5,7 +5,7 @@ import random
 import re
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
-from urllib.parse import parse_qsl, quote_plus, urlencode, urlsplit
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
 from pyspark.sql import functions as F

@@ -4,8 +4,6 @@ import html
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from newsgrist.functions.patterns import any_keyword_pattern
 from newsgrist.operators.filters import relevant
 from newsgrist.operators.relevance import Rules, keyword_matches, score
