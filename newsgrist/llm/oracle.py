@@ -16,6 +16,22 @@ SELECT doc_id,
 FROM plain
 """
 
+# What the archives must give back.
+WARC = """
+WITH page AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), first AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS of_equals FROM page
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = of_equals THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> of_equals THEN of_equals END AS refers_to
+FROM first
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_warc": WARC,
     "op8_exact_dedup": EXACT_DEDUP,
 }

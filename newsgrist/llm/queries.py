@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgrist.functions.lineage import scratch_path
 from newsgrist.llm.bpe import encode_documents
 from newsgrist.llm.common import table
 from newsgrist.llm.decontam import find_leaks
 from newsgrist.llm.exactdedup import exact_duplicates
+from newsgrist.llm.html import extract_text
 from newsgrist.llm.minhash import near_duplicates
 from newsgrist.llm.quality import score_quality
+from newsgrist.llm.warc import archive_index, read_records, write_archives
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +25,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return archive_index(read_records(spark, path)).drop("url")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,10 +51,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_html": op10_html,
 }
