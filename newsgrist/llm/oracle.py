@@ -31,7 +31,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM first
 """
 
+# Entries become intervals; every capture meets those of its keys that hold its time.
+URL_FILTER = r"""
+WITH url AS (
+    SELECT page_id, url, epoch_us(TIMESTAMP '2024-01-01') // 1000000 + (page_id * 997 % 43200) * 60 AS fetched_at,
+           nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', ''), '') AS host,
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+    FROM pages
+), entry AS (
+    SELECT event_type AS list, epoch_us(ts::TIMESTAMP) AS moment, event_id % 2 = 0 AS listed,
+           CASE event_id % 3 WHEN 0 THEN host
+                WHEN 1 THEN CASE WHEN len(string_split(host, '.')) > 3 THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END
+                ELSE concat_ws('/', host, string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/')[2]) END AS key
+    FROM events JOIN url ON user_id = page_id
+), once AS (
+    SELECT list, key, moment, max(listed) AS listed FROM entry WHERE key IS NOT NULL AND moment IS NOT NULL GROUP BY ALL
+), turn AS (
+    SELECT *, lag(listed) OVER (PARTITION BY list, key ORDER BY moment) AS earlier FROM once
+), span AS (
+    SELECT *, lead(moment) OVER (PARTITION BY list, key ORDER BY moment) AS upto
+    FROM turn WHERE (earlier IS NULL AND listed) OR earlier <> listed
+), asked AS (
+    SELECT page_id, fetched_at, string_split(host, '.') AS labels, host,
+           list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM url WHERE host IS NOT NULL
+), probe AS (
+    SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
+        list_transform(range(1, greatest(len(labels), 2)), lambda k: array_to_string(labels[k:], '.')),
+        list_transform(range(1, len(parts) + 1), lambda k: host || '/' || array_to_string(parts[:k], '/')))) AS key
+    FROM asked
+), hit AS (
+    SELECT page_id, count(DISTINCT list) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+           string_agg(DISTINCT key, ',' ORDER BY key) AS keys
+    FROM probe JOIN span USING (key)
+    WHERE listed AND fetched_at * 1000000 >= moment AND (upto IS NULL OR fetched_at * 1000000 < upto) GROUP BY page_id
+)
+SELECT page_id, url, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_lists,
+       coalesce(lists, '') AS lists, coalesce(keys, '') AS keys
+FROM url LEFT JOIN hit USING (page_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": WARC,
+    "op5_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
 }

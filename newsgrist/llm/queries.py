@@ -13,7 +13,10 @@ from newsgrist.llm.decontam import find_leaks
 from newsgrist.llm.exactdedup import exact_duplicates
 from newsgrist.llm.html import extract_text
 from newsgrist.llm.minhash import near_duplicates
+from newsgrist.llm.pseudonyms import pseudonymise
 from newsgrist.llm.quality import score_quality
+from newsgrist.llm.sharding import assign_shards
+from newsgrist.llm.urlfilter import filter_captures, host_of, path_of
 from newsgrist.llm.warc import archive_index, read_records, write_archives
 
 
@@ -35,6 +38,44 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# Stands for a secret that a deployment passes in.
+PSEUDONYM_KEY = "registered-query-key"
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("bigint").alias("n_values"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def list_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """A dated list from two tables: an event is an entry for the page its user stands for,
+    on the list of its type; even events put on, odd ones take off. By turns a key is the
+    host, the domain above it, or the host with the first part of the path."""
+    host, part = host_of(F.col("url")), F.split(path_of(F.col("url")), "/")[1]
+    above = F.regexp_replace(host, r"^[^.]+[.](?=[^.]+[.][^.]+[.])", "")
+    key = F.when(F.col("event_id") % 3 == 0, host).when(F.col("event_id") % 3 == 1, above).otherwise(F.concat_ws("/", host, part))
+    named = events.select(F.col("event_type").alias("list"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.col("user_id").alias("page_id"))
+    return named.join(pages.select("page_id", "url"), "page_id").select("list", key.alias("key"), "at", (F.col("event_id") % 2 == 0).alias("listed"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, one each minute from 2024-01-01 on, round the 30 days of the
+    events."""
+    pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
+    start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    fetched = F.timestamp_seconds(start + (F.col("page_id") * 997 % 43200) * 60)
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched_at"))
+    found = filter_captures(captures, list_entries(pages, events))
+    return found.select(
+        F.col("capture_id").alias("page_id"), "url", F.unix_seconds("fetched_at").alias("fetched_at"), "blocked", "n_lists",
+        F.array_join("lists", ",").alias("lists"), F.array_join("keys", ",").alias("keys"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +99,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
+    "op3_pseudonyms": op3_pseudonyms,
+    "op4_sharding": op4_sharding,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
