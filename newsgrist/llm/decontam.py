@@ -38,7 +38,7 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
     """``BITS`` bits as bytes; each shingle votes on every bit, once for each occurrence."""
     lanes = np.arange(BITS // 64, dtype=U) * U(0xD1B54A32D192ED03)
     words = mix(shingles[:, None] ^ lanes[None, :])
-    bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(shingles), -1), axis=1)
+    bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles))
 
 

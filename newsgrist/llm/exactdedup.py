@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import with_salted_lookup
+from newsgrist.llm.common import unused
 
 # Bytes of a text that a splitter holds: what the driver gets of each sampled row.
 SPLITTER_BYTES = 48
@@ -149,11 +150,12 @@ def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
     rows equal in both one stays.
     """
     null_id = F.lit(-(1 << 63))
+    own, sha = unused(documents, "_id"), unused(documents, "_sha")
     kept = exact_duplicates(documents).where("kept").select(
-        F.coalesce("doc_id", null_id).alias("_id"), F.col("text_sha256").alias("_sha")
+        F.coalesce("doc_id", null_id).alias(own), F.col("text_sha256").alias(sha)
     )
     rows = documents.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("bigint"), null_id), "_sha": F.sha2(normalised(F.col("text")), 256)}
+        {own: F.coalesce(F.col("doc_id").cast("bigint"), null_id), sha: F.sha2(normalised(F.col("text")), 256)}
     )
     # Both sides are dealt and sorted by the join's keys, which the last step uses again.
-    return rows.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    return rows.join(kept, [own, sha], "left_semi").dropDuplicates([own, sha]).select(*documents.columns)

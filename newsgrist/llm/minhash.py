@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import with_salted_lookup
-from newsgrist.llm.common import small_batches
+from newsgrist.llm.common import small_batches, unused
 from newsgrist.llm.shingles import U, mix, shingle_hashes
 
 THRESHOLD = 0.8
@@ -363,16 +364,17 @@ def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD) -> Da
 def drop_near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class of ``near_duplicates``, with all columns: of those with the
     smallest ``doc_id`` one whose bag is the least."""
+    own, bag = unused(documents, "_id"), unused(documents, "_bag")
     found = near_duplicates(documents, threshold=threshold).where("kept_bag and doc_id <=> class_id")
-    kept = found.select(_id().alias("_id"), F.col("bag").alias("_bag")).distinct()
+    kept = found.select(_id().alias(own), F.col("bag").alias(bag)).distinct()
     at = documents.columns.index("text")
 
     def with_bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             shingles, counts, first = bags(batch.column(at).to_pylist())
             keys = [_bag_key(shingles[a:b], counts[a:b]) for a, b in zip(first[:-1], first[1:])]
-            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "_bag"])
+            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, bag])
 
-    schema = documents.schema.add("_bag", "binary")
-    rows = documents.mapInArrow(with_bag, schema).withColumn("_id", _id())
-    return rows.join(kept, ["_id", "_bag"], "left_semi").dropDuplicates(["_id", "_bag"]).drop("_id", "_bag")
+    schema = StructType([*documents.schema.fields, StructField(bag, BinaryType())])
+    rows = documents.mapInArrow(with_bag, schema).withColumn(own, _id())
+    return rows.join(kept, [own, bag], "left_semi").dropDuplicates([own, bag]).select(*documents.columns)

@@ -2,23 +2,26 @@
 
 Documents with equal texts are linked. All start in shards dealt evenly by a hash; then, in
 rounds, the members of each group are drawn to the shard that holds most of their
-neighbours, as far as that shard's quota allows. Counts per (group, shard), not documents,
+neighbours, as far as the quotas between shards allow: first the few groups that take up
+much of a shard, then the others in what is left. Counts per (group, shard), not documents,
 take part in the rounds, so a group of a third of all rows is at most as many rows as there
-are shards. Documents without links fill what is left, so counts never differ by more than
+are shards. Documents without links fill the shards up, so counts never differ by more than
 one. Columns only: no Python runs on the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import with_salted_lookup
 
 LAW = "rows"
-ROUNDS = 4
+ROUNDS = 6
 # Rows are ranked within so many buckets of a hash; each bucket is one window.
 BUCKETS = 1024
+# A group larger than this part of a shard is placed before all others.
+LARGE = 16
 
 _TIE = 0x5EED
 
@@ -51,43 +54,61 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _table_of(values: list[int], of: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), of + 1)
+def quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may go from one shard to another: as many as want to come back the
+    other way, and what is left of the room, in equal parts of what is asked for."""
+    out = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}
+    for b, free in enumerate(room):
+        asked = {a: n - out[a, b] for (a, to), n in wanted.items() if to == b}
+        total = sum(asked.values())
+        left = min(free, total)
+        for a, n in sorted(asked.items()):
+            share = min(left, n, -(-free * n // total)) if total else 0
+            out[a, b] += share
+            left -= share
+    return out
 
 
 def propagate(cells: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Cells (``link, shard, n``: n members of a group in a shard) after label propagation.
 
-    In each round every cell outside its group's fullest shard wants to move there (ties: a
-    hash of group and shard). A shard takes movers in the order of the share of their group
-    it already holds, up to its quota: its capacity less the linked rows it holds. The cell
-    at the quota's edge moves in part. Groups that outgrow a shard's quota look for the
-    fullest one with room in the next round.
+    In each round every cell asks to join the shard that holds most of its group's members,
+    leaving out shards that the group fills alone (ties: a hash of group and shard). Asking
+    is granted up to the quota of the pair of shards, first where most of a group already
+    is; the cell at the quota's edge moves in part. So no shard ever holds more than its
+    capacity, if it did not at first. Rounds end early when nothing moves.
     """
     shards = len(capacity)
+    pairs = [(a, b) for a in range(shards) for b in range(shards)]
     for turn in range(rounds):
-        loads = _loads(cells, shards)
-        room = [c - n for c, n in zip(capacity, loads)]
+        full = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in capacity]), F.col("shard") + 1)
+        favour = F.struct(
+            (F.col("n") < full).cast("int").alias("open"), "n",
+            F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard",
+        )
         # The neighbours' labels: a group's members per shard, joined back to each cell.
-        free = _table_of(room, F.col("shard"))
-        favour = F.struct((free > 0).cast("int").alias("open"), "n", F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard")
         best = cells.groupBy("link").agg(F.max(favour).alias("best"), F.sum("n").alias("size"))
-        wanting = cells.join(best, "link").select(
-            "link", "shard", "n", F.col("best.shard").alias("to"), (F.col("best.n") / F.col("size")).alias("share"), F.col("best.open").alias("open"),
-            F.col("best.n").alias("there"),
+        movers = cells.join(best, "link").where("best.open = 1 and best.shard <> shard and best.n >= n").select(
+            "link", "shard", F.col("best.shard").alias("to"), "n",
+            F.floor((1 - F.col("best.n") / F.col("size")) * (BUCKETS - 1)).cast("int").alias("rank"),
+            _bucket("link").alias("part"),
         )
-        movers = wanting.where("open = 1 and to <> shard and there >= n")
-        # Movers to one shard in buckets of falling share: sums before a bucket are added up.
-        keyed = movers.withColumn("rank", F.floor((1 - F.col("share")) * (BUCKETS - 1)).cast("int"))
-        per = keyed.groupBy("to", "rank", _bucket("link").alias("part")).agg(F.sum("n").alias("sum"))
-        ahead = Window.partitionBy("to").orderBy("rank", "part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per.select("to", "rank", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("before"))
-        inside = Window.partitionBy("to", "rank", "part").orderBy("link", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        queued = keyed.withColumn("part", _bucket("link")).withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        quota = _table_of(room, F.col("to"))
-        admitted = queued.join(offsets, ["to", "rank", "part"]).withColumn(
-            "moved", F.greatest(F.least(quota - F.col("before") - F.col("own"), F.col("n")), F.lit(0))
-        ).where("moved > 0")
+        movers = cut_lineage(movers)
+        # Movers in order of falling share, in buckets: the sums of those before are added.
+        per = movers.groupBy("shard", "to", "rank", "part").agg(F.sum("n").alias("sum"))
+        flows = {(r.shard, r.to): r.n for r in per.groupBy("shard", "to").agg(F.sum("sum").alias("n")).collect()}
+        room = [c - n for c, n in zip(capacity, _loads(cells, shards))]
+        allowed = quotas(flows, room)
+        if not any(allowed.values()):
+            break
+        ahead = Window.partitionBy("shard", "to").orderBy("rank", "part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per.select("shard", "to", "rank", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("before"))
+        inside = Window.partitionBy("shard", "to", "rank", "part").orderBy("link").rowsBetween(Window.unboundedPreceding, -1)
+        queued = movers.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        table = F.array(*[F.lit(allowed.get(p, 0)).cast("bigint") for p in pairs])
+        quota = F.element_at(table, F.col("shard") * shards + F.col("to") + 1)
+        moved = F.greatest(F.least(quota - F.col("before") - F.col("own"), F.col("n")), F.lit(0))
+        admitted = queued.join(offsets, ["shard", "to", "rank", "part"]).withColumn("moved", moved).where("moved > 0")
         changes = admitted.select("link", F.inline(F.array(
             F.struct("shard", (-F.col("moved")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")),
         )))
@@ -97,6 +118,27 @@ def propagate(cells: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
     return cells
 
 
+def _large_cells(spark: SparkSession, large: list, shards: int) -> DataFrame:
+    """Large groups dealt row by row over the shards, as cells."""
+    out, at = [], 0
+    for group in large:
+        for shard in range(shards):
+            n = (at + group["size"] - shard + shards - 1) // shards - (at - shard + shards - 1) // shards
+            if n:
+                out.append((bytes(group.link), shard, n))
+        at += group["size"]
+    return spark.createDataFrame(out, "link binary, shard int, n bigint")
+
+
+def _filled(rows: DataFrame, number: str, room: list[int]) -> DataFrame:
+    """``rows`` with the shard whose part of all the room their number falls into."""
+    ends = [sum(room[: s + 1]) for s in range(len(room))]
+    target = F.lit(len(room) - 1)
+    for s in range(len(room) - 2, -1, -1):
+        target = F.when(F.col(number) < ends[s], s).otherwise(target)
+    return rows.withColumn("shard", target)
+
+
 def assign_shards(documents: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
@@ -113,40 +155,41 @@ def assign_shards(documents: DataFrame, shards: int = 8, rounds: int = ROUNDS) -
         F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("link"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("link")]
-    # The even deal: position modulo shards.
-    dealt = ranked(rows, [], order, _bucket("doc_id"), "place").withColumn(
-        "shard", F.pmod(F.col("place"), F.lit(shards)).cast("int")
-    ).drop("place")
-    dealt = cut_lineage(dealt)
-    total = dealt.count()
+    rows = cut_lineage(rows)
+    total = rows.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-
-    start = dealt.groupBy("link", "shard").agg(F.count("*").alias("n"))
-    groups = start.groupBy("link").agg(F.sum("n").alias("size")).where("size > 1").select("link")
-    cells = propagate(cut_lineage(start.join(groups, "link")), capacity, rounds)
+    sizes = cut_lineage(rows.groupBy("link").agg(F.count("*").alias("size")))
+
+    # Large groups first: no more than LARGE * shards of them can exist.
+    large = sizes.where(F.col("size") * (LARGE * shards) > total).orderBy("link").collect()
+    cells, room = _large_cells(documents.sparkSession, large, shards), capacity
+    if large:
+        cells = propagate(cells, capacity, rounds)
+        room = [c - n for c, n in zip(capacity, _loads(cells, shards))]
+    lone = F.col("size") == 1
+    known = sizes.select("link", F.when(F.col("size") * (LARGE * shards) > total, 2).when(~lone, 1).otherwise(0).alias("kind"))
+    rows = cut_lineage(with_salted_lookup(rows, known, "link", F.coalesce("doc_id", F.lit(-1)), how="inner"))
+
+    # The rest is dealt evenly into what is left, in the order of a hash.
+    dealt = _filled(ranked(rows.where("kind < 2"), [], order, _bucket("doc_id"), "place"), "place", room).where("kind = 1")
+    start = cut_lineage(dealt.groupBy("link", "shard").agg(F.count("*").alias("n")))
+    small_cells = propagate(start, room, rounds)
+    room = [c - n for c, n in zip(room, _loads(small_cells, shards))]
+    cells = cells.unionByName(small_cells)
 
     # A group's final counts as intervals of its members' numbers.
     upto = Window.partitionBy("link").orderBy("shard")
     spans = cells.withColumn("upto", F.sum("n").over(upto)).groupBy("link").agg(
         F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans")
     )
-    slim = dealt.drop("shard")
-    linked = with_salted_lookup(slim, spans, "link", F.coalesce("doc_id", F.lit(-1)))
-    linked = cut_lineage(linked)
-    members = ranked(linked.where("spans is not null"), ["link"], [F.col("doc_id").asc_nulls_first()], _bucket("doc_id"), "number")
-    placed = members.withColumn("shard", F.filter("spans", lambda s: s["upto"] > F.col("number"))[0]["shard"]).drop("spans", "number")
-
-    # Single documents fill the shards up, in the order of a hash.
-    loads = _loads(cells, shards)
-    ends, filled = [], 0
-    for c, n in zip(capacity, loads):
-        filled += c - n
-        ends.append(filled)
-    singles = ranked(linked.where("spans is null").drop("spans"), [], order, _bucket("doc_id"), "number")
-    target = F.lit(shards - 1)
-    for s in range(shards - 2, -1, -1):
-        target = F.when(F.col("number") < ends[s], s).otherwise(target)
-    singles = singles.withColumn("shard", target).drop("number")
+    linked = with_salted_lookup(rows.where("kind > 0"), spans, "link", F.coalesce("doc_id", F.lit(-1)), how="inner")
+    members = ranked(cut_lineage(linked), ["link"], [F.col("doc_id").asc_nulls_first()], _bucket("doc_id"), "number")
+    placed = members.withColumn("shard", F.filter("spans", lambda s: s["upto"] > F.col("number"))[0]["shard"])
+
+    # Documents without links fill the shards up.
+    singles = _filled(ranked(rows.where("kind = 0"), [], order, _bucket("doc_id"), "number"), "number", room)
+    columns = ["doc_id", "size", "text_crc32", "link", "shard"]
+    placed, singles = placed.select(columns), singles.select(columns)
 
     final = cut_lineage(placed.unionByName(singles))
     slots = ranked(final, ["shard"], order, _bucket("doc_id"), "slot")
