@@ -160,9 +160,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 batch.column("doc_id"), pa.array(keys, pa.binary()),
+                pa.array([int(counts[a:b].sum()) for a, b in spans], pa.int64()),
                 pa.array([[] if e else b for e, b in zip(empty, band.tolist())], pa.list_(pa.int64())),
             ],
-            ["doc_id", "bag", "bands"],
+            ["doc_id", "bag", "size", "bands"],
         )
 
 
@@ -175,9 +176,8 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             [
                 pa.array([_bag_key(shingles[a:b], counts[a:b]) for a, b in spans], pa.binary()),
                 pa.array([x.tobytes() for x in sets], pa.binary()),
-                pa.array([len(x) for x in sets], pa.int64()),
             ],
-            ["bag", "features", "size"],
+            ["bag", "features"],
         )
 
 
@@ -258,6 +258,8 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 NULL_ID = -(1 << 63)
 # What one side of a cell holds: bags and elements.
 CELL_BAGS, CELL_ELEMENTS = 512, 1 << 20
+# Ids of 8 bytes that may be broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def _id(column: str = "doc_id"):
@@ -266,25 +268,29 @@ def _id(column: str = "doc_id"):
 
 def _signed(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_sign, "doc_id bigint, bag binary, bands array<bigint>")
+    return rows.mapInArrow(_sign, "doc_id bigint, bag binary, size bigint, bands array<bigint>")
 
 
 def _first_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Every bag of a bucket against the bucket's least bag."""
-    pairs = members.where("bag <> center").select("bag", F.col("center").alias("other")).distinct()
+    """Every bag of a bucket against the bucket's least bag. Sizes too far apart for the
+    threshold rule a pair out without its shingles."""
+    least, most = F.least("size", "center_size"), F.greatest("size", "center_size")
+    pairs = members.where((F.col("bag") != F.col("center")) & (least >= threshold * most)).select(
+        "bag", F.col("center").alias("other")
+    ).distinct()
     with_own = pairs.join(sets.select("bag", "features"), "bag")
     centers = sets.select(F.col("bag").alias("other"), F.col("features").alias("other_features"))
     both = with_salted_lookup(with_own, centers, "other", "bag", how="inner")
     return both.mapInArrow(_verified(threshold), "bag binary, other binary")
 
 
-def _cells(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _cells(members: DataFrame, labels: DataFrame) -> DataFrame:
     """What is left to compare: in each bucket the bags outside the largest class, against
     each other and against that class. ``cell, bag, class, right`` with bounded cells.
 
     The bucket's least bag has met all others already.
     """
-    rest = members.where("bag <> center").join(labels, "bag").join(sets.select("bag", "size"), "bag")
+    rest = members.where("bag <> center").join(labels, "bag")
     classes = rest.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("size").alias("elements"))
     large = F.max(F.struct("n", "class", "elements")).alias("top")
     buckets = classes.groupBy("band").agg(large, F.sum("n").alias("n"), F.sum("elements").alias("elements"))
@@ -313,9 +319,12 @@ def _cells(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         every, lambda k: F.struct(F.lit(True).alias("base"), k.alias("i"), F.col("own").alias("j"), F.lit(True).alias("right"))
     )
     cells = F.when(F.col("base"), base_cells).otherwise(F.concat(own_cells, with_base))
-    return rows.select("band", "bag", "class", F.explode(cells).alias("cell")).select(
-        F.xxhash64("band", "cell.base", "cell.i", "cell.j").alias("cell"), "bag", "class", "cell.right"
+    named = F.struct("band", "cell.base", "cell.i", "cell.j")
+    placed = cut_lineage(
+        rows.select("band", "bag", "class", F.explode(cells).alias("cell")).select(named.alias("cell"), "bag", "class", "cell.right")
     )
+    mixed = placed.groupBy("cell").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    return placed.join(mixed.select("cell"), "cell", "left_semi")
 
 
 def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -331,20 +340,27 @@ def near_duplicates(documents: DataFrame, *, threshold: float = THRESHOLD) -> Da
     only link that can be missed: in each bucket all pairs of different classes are checked.
     """
     signed = cut_lineage(_signed(documents))
-    bags_ = signed.groupBy("bag").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
-    banded = bags_.select("bag", "first_id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("bag").alias("center")).where("n > 1").drop("n")
+    one = [F.any_value(c).alias(c) for c in ("size", "bands")]
+    bags_ = signed.groupBy("bag").agg(F.min("doc_id").alias("first_id"), *one)
+    banded = bags_.select("bag", "first_id", "size", F.explode("bands").alias("band"))
+    marks = [F.bit_xor(F.xxhash64("bag", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("bag", "size")).alias("center"), *marks)
+    # Near copies share many bands: of buckets with the same bags one is enough.
+    buckets = buckets.where("n > 1").groupBy("n", "center", "mark0", "mark1").agg(F.min("band").alias("band"))
+    buckets = buckets.select("band", F.col("center.bag").alias("center"), F.col("center.size").alias("center_size"))
     members = cut_lineage(with_salted_lookup(banded, buckets, "band", "bag", how="inner"))
 
     candidates = members.select("bag", _id("first_id").alias("_id")).distinct()
-    texts = documents.select(_id().alias("_id"), "text")
-    wanted = texts.join(candidates.select("_id").distinct(), "_id", "left_semi").select("text")
-    sets = wanted.mapInArrow(_with_features, "bag binary, features binary, size bigint")
-    sets = cut_lineage(sets.groupBy("bag").agg(F.any_value("features").alias("features"), F.any_value("size").alias("size")))
+    wanted = cut_lineage(candidates.select("_id").distinct())
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are dealt by id
+        wanted = F.broadcast(wanted)
+    texts = documents.select(_id().alias("_id"), "text").join(wanted, "_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_with_features, "bag binary, features binary")
+    sets = cut_lineage(sets.groupBy("bag").agg(F.any_value("features").alias("features")))
 
     labels = candidates.select("bag", F.col("bag").alias("class"))
     labels = _relabel(labels, cut_lineage(_first_links(members, sets, threshold)))
-    cells = _cells(members, labels, sets).join(sets.select("bag", "features"), "bag")
+    cells = _cells(members, labels).join(sets, "bag")
     more = cells.groupBy("cell").applyInArrow(_cell_links(threshold), "bag binary, other binary")
     labels = _relabel(labels, cut_lineage(more.distinct()))
 
