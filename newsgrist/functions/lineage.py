@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
         return folder
-    if not context.master.startswith("local"):
+    # Only a master of one process may use a folder of this machine.
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="newsgrist-"))
     return context.getCheckpointDir()

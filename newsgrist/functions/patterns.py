@@ -56,7 +56,7 @@ def any_keyword_pattern(keywords: list[str]) -> str:
     position and not once per keyword.
     """
     groups: dict[tuple[str, str], list[str]] = {}
-    for keyword in map(_clean, keywords):
+    for keyword in filter(None, map(_clean, keywords)):
         groups.setdefault(_edges(keyword), []).append(keyword)
     parts = [
         f"{_may_start(words)}{before}(?iU:{'|'.join(map(_quote, words))}){after}"
@@ -86,6 +86,7 @@ def contains_keyword(text: Column, fold: Column, keyword: str) -> Column:
 def matched_keywords(text: Column, keywords: list[str]) -> Column:
     """JN-1: keywords found in clean text, in rule order; patterns stay literals, so each is
     compiled once per task."""
+    keywords = [k for k in keywords if _clean(k)]
     if not keywords:
         return F.array().cast("array<string>")
     pair = F.struct(text.alias("t"), folded(text).alias("f"))

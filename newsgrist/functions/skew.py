@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 256
 
-# A side of at most so many rows is broadcast: some megabytes of settings, some tens of
-# megabytes of keys.
+# What may be broadcast: settings of at most so many rows and bytes, and so many digests of
+# 16 bytes (8 MB).
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 BROADCAST_KEYS = 500_000
 
 
@@ -32,10 +33,13 @@ def with_salted_lookup(
     return salted.join(answers, [key, "_salt"], how).drop("_salt")
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that. ``df`` should
-    be data at rest: it is read twice."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (data at rest) has at most ``rows`` rows and ``size`` bytes as JSON
+    text. Both are sums that combine map-side."""
+    found = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")
+    ).first()
+    return found.rows <= rows and found.size <= size
 
 
 def with_settings(rows: DataFrame, settings: DataFrame, key: str, row_id: str | Column) -> DataFrame:
@@ -49,13 +53,20 @@ def with_settings(rows: DataFrame, settings: DataFrame, key: str, row_id: str |
     return with_salted_lookup(rows, settings, key, row_id, how="inner")
 
 
+def key_digest(column: str | Column) -> Column:
+    """16 bytes that stand for a key of any length."""
+    return F.unhex(F.md5(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")))
+
+
 def stored_values(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Distinct non-empty values of ``column`` that both ``keys`` and the store hold.
 
-    The store is the side that is scanned: if the keys fit, they are broadcast to it and the
-    store is not shuffled, however large.
+    The store is the side that is scanned, on this column only: digests of the keys, 16
+    bytes each, are broadcast to it as far as their number allows; beyond that both sides
+    meet by digest.
     """
-    wanted = keys.select(column).where(F.col(column) != "").distinct()
-    if fits(keys, BROADCAST_KEYS):
+    wanted = keys.where(F.col(column) != "").select(key_digest(column).alias("_digest")).distinct()
+    if keys.select(column).count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    return store.select(column).join(wanted, column, "left_semi").distinct()
+    values = store.where(F.col(column) != "").select(column, key_digest(column).alias("_digest"))
+    return values.join(wanted, "_digest", "left_semi").select(column).distinct()

@@ -14,28 +14,15 @@ keys with two or more rows. Keys that hold a large share of the rows are salted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgrist.functions import text, urls
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import salt_of, with_salted_lookup
 
-# A rest of at most so many (key, row) pairs, some megabytes, is finished by one task
-# instead of further rounds; long chains of clashes would need many. A larger rest goes on
-# in rounds, however many it takes.
-TAIL_PAIRS = 50_000
-
 URL, HASH, TITLE = "url", "content_hash", "title_source"
 _PRIORITY = {URL: 1, HASH: 2, TITLE: 3}
 
-_PAIRS = "k binary, family int, seq bigint"
-
-
 def _key(family: str, *values: Column) -> Column:
     """128 bits of a digest: rows move 16 bytes per key instead of urls and titles."""
     joined = F.concat_ws("\x00", F.lit(family), *values)
@@ -74,7 +61,7 @@ def article_keys(articles: DataFrame, seq: str, *, normalized: bool) -> DataFram
     if not normalized:
         keys.append(hash_key(F.col("content_hash")))
     distinct = F.array_distinct(F.array_compact(F.array(*keys)))
-    rows = articles.select(F.col(seq).cast("bigint").alias("seq"), distinct.alias("keys"))
+    rows = articles.select(F.col(seq).alias("seq"), distinct.alias("keys"))
     # Never empty; the outer form spares the filter on the array, which would compute it twice.
     return rows.select("seq", F.explode_outer("keys").alias("key")).select("key.k", "key.family", "seq")
 
@@ -138,35 +125,15 @@ def _undecided(marked: DataFrame) -> DataFrame:
     )
 
 
-def _kept_of_small_rest(undecided: DataFrame) -> DataFrame:
-    """Kept pairs of at most ``TAIL_PAIRS`` pairs, row by row in one task."""
-
-    # A nested function travels by value: workers need not have this package installed.
-    def keep_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        rest = pd.concat(parts, ignore_index=True).sort_values("seq")
-        taken: set[bytes] = set()
-        kept = []
-        for seq, pairs in groupby(zip(rest["seq"], rest["k"]), key=itemgetter(0)):
-            keys = [k for _, k in pairs]
-            if taken.isdisjoint(keys):
-                taken.update(keys)
-                kept.append(seq)
-        yield rest[rest["seq"].isin(kept)]
-
-    return undecided.coalesce(1).mapInPandas(keep_in_order, _PAIRS)
-
-
 def _kept_pairs(marked: DataFrame) -> DataFrame:
-    """All kept pairs, given the (cut) first round."""
+    """All kept pairs, given the (cut) first round.
+
+    Each round settles the least row of every key, so there are as many as the longest
+    chain of rows that each wait for the one before. A round moves undecided pairs only.
+    """
     kept = marked.where("kept").drop("kept")
-    while rest := marked.where("not kept").count():
-        undecided = _undecided(marked)
-        if rest <= TAIL_PAIRS:
-            return kept.unionByName(_kept_of_small_rest(undecided))
-        marked = cut_lineage(_with_kept(_with_minimum(undecided)))
+    while not marked.where("not kept").isEmpty():
+        marked = cut_lineage(_with_kept(_with_minimum(_undecided(marked))))
         kept = kept.unionByName(marked.where("kept").drop("kept"))
     return kept
 
@@ -175,7 +142,8 @@ def find_duplicates(
     articles: DataFrame, seq: str = "seq", *, normalized: bool = False,
     known: DataFrame | None = None, reasons: bool = True,
 ) -> DataFrame:
-    """(seq, reason) of the duplicates in ``articles``; ``seq`` is their unique BIGINT order.
+    """(seq, reason) of the duplicates in ``articles``; ``seq`` is their unique order, a
+    number or any other type that sorts, such as the ``ord`` struct.
 
     ``known`` holds keys of earlier runs (``known_keys``): rows with one of them are dropped
     first and block nobody. ``reason`` is the first matching family, url before hash before

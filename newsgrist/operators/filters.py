@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsgrist.functions.skew import with_settings
+from newsgrist.functions.skew import salt_of, with_settings
 from newsgrist.functions.text import is_blank
 
 Instant = datetime | str
@@ -48,18 +48,15 @@ def unsent(store: DataFrame, min_score: float = 0.0) -> DataFrame:
 def head_per_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-15: the first ``max_items`` records of each source, in record order.
 
-    Ranking pushes a per-task group limit below the shuffle only for a constant limit, so
-    the largest cap is applied as well: no source moves more than that per task.
+    Records are ranked within (source, salt) first, so a source with most of the rows is
+    many groups; what is left of a source, its cap from each salt at most, is ranked again.
     """
     limits = sources.select(F.col("name").alias("source"), "max_items")
-    largest = sources.agg(F.max("max_items")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
-    ranked = raw.withColumn("_rank", rank).where(F.col("_rank") <= largest)
-    return (
-        with_settings(ranked, limits, "source", F.col("ord"))
-        .where(F.col("_rank") <= F.col("max_items"))
-        .drop("_rank", "max_items")
-    )
+    limited = with_settings(raw, limits, "source", F.col("ord")).withColumn("_salt", salt_of(F.col("ord")))
+    for groups in (["source", "_salt"], ["source"]):
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy("ord"))
+        limited = limited.withColumn("_rank", rank).where(F.col("_rank") <= F.col("max_items"))
+    return limited.drop("_rank", "_salt", "max_items")
 
 
 def enabled_only(raw: DataFrame, sources: DataFrame) -> DataFrame:

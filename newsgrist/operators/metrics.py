@@ -37,11 +37,14 @@ def status_report(store: DataFrame, threshold: float) -> DataFrame:
 
 def run_summary(
     staged: DataFrame, sources: DataFrame, errors: DataFrame, outbox: DataFrame,
-    results: DataFrame | None, *, dry_run: bool,
+    results: DataFrame | None, *, dry_run: bool, good: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-6: the counters of a run as one row.
 
     ``staged`` has a row per raw record with its ``stage``; ``results`` is null in a dry run.
+    ``good`` names the sources with a usable payload: an enabled source without one did not
+    succeed, whether or not it left an error. Without ``good`` all enabled sources without
+    an error count.
     """
     def ended(*stages: str):
         return F.count_if(F.col("stage").isin(*stages))
@@ -53,10 +56,16 @@ def run_summary(
         ended(REPEATED, STORED).alias("duplicate_articles"),
         ended(NEW).alias("persisted_articles"),
     )
-    failed = errors.where(F.col("query").isNull()).agg(F.countDistinct("source").alias("_failed"))
+    enabled = sources.where("enabled").select(F.col("name").alias("source"))
+    if good is None:
+        failed = errors.where(F.col("query").isNull()).select("source")
+        worked = enabled.join(failed, "source", "left_anti")
+    else:
+        worked = enabled.join(good.select("source"), "source", "left_semi")
+    succeeded = worked.agg(F.count("*").alias("sources_succeeded"))
     attempted = sources.where("enabled").agg(F.count("*").alias("sources_attempted"))
     eligible = outbox.agg(F.count("*").alias("eligible_for_notification"))
-    parts = [records, failed, attempted, eligible]
+    parts = [records, succeeded, attempted, eligible]
     if results is not None:
         parts.append(
             results.agg(
@@ -75,7 +84,7 @@ def run_summary(
             row = row.withColumn(name, F.lit(0).cast("bigint"))
     return row.select(
         "sources_attempted",
-        (F.col("sources_attempted") - F.col("_failed")).alias("sources_succeeded"),
+        "sources_succeeded",
         "raw_articles", "processed_articles", "filtered_articles", "duplicate_articles",
         "persisted_articles", "eligible_for_notification", "sent_articles",
         "failed_notifications", F.lit(dry_run).alias("dry_run"),

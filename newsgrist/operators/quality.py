@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsgrist import fixed_values as fixed
 from newsgrist.functions.text import is_blank
+from newsgrist.operators.relevance import Rules
 from newsgrist.operators.store import constraint_violations
 
 RULE_SCHEMA = "cat_ord int, category string, kw_ord int, keyword string"
@@ -88,6 +89,24 @@ def rules_frame(spark: SparkSession, categories: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def rules_of(table: DataFrame, **numbers: float) -> Rules:
+    """SRC-17: a validated rule table (``RULE_SCHEMA``) as the rules of a run.
+
+    The table is configuration: some hundreds of rows come to the driver. Names and keywords
+    are trimmed and blank keywords dropped; any other fault raises.
+    """
+    rows = table.orderBy("cat_ord", "kw_ord").collect()
+    faults = audit_rules(table).limit(3).collect()
+    if faults:
+        raise ValueError("; ".join(f"{f.rule}: {f.key}" for f in faults))
+    categories: dict[str, list[str]] = {}
+    for row in rows:
+        kept = categories.setdefault(row.category.strip(), [])
+        if row.keyword and row.keyword.strip():
+            kept.append(row.keyword.strip())
+    return Rules(categories=categories, **numbers)
+
+
 def audit_rules(rules: DataFrame) -> DataFrame:
     """DQ-3 for a rule table: (rule, key) of every fault."""
     blank_name = rules.where(is_blank(F.col("category"))).select(
@@ -103,7 +122,8 @@ def audit_rules(rules: DataFrame) -> DataFrame:
 
 
 def audit_sources(sources: DataFrame) -> DataFrame:
-    """DQ-3 for a source table: (rule, key) of every fault, in one pass."""
+    """DQ-3 for a source table: (rule, key) of every fault, each by the source's name or
+    the rank it shares."""
     on, kind = F.col("enabled"), F.col("kind")
     queries = F.filter(F.coalesce("queries", F.array().cast("array<string>")), lambda q: ~is_blank(q))
     checks = {
@@ -116,7 +136,12 @@ def audit_sources(sources: DataFrame) -> DataFrame:
         "no search queries": (kind == "repos") & on & (F.size(queries) == 0),
     }
     faults = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
-    return sources.select(F.explode(faults).alias("rule"), F.col("name").alias("key"))
+    own = sources.select(F.explode(faults).alias("rule"), F.col("name").alias("key"))
+    # Two sources of one rank would have no order.
+    ranks = sources.groupBy("source_rank").agg(F.count("*").alias("n")).where("n > 1")
+    return own.unionByName(
+        ranks.select(F.lit("source rank is not unique").alias("rule"), F.col("source_rank").cast("string").alias("key"))
+    )
 
 
 def check_numbers(*, threshold, weights, max_age_hours, limit) -> None:

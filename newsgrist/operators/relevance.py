@@ -24,6 +24,11 @@ class Rules:
     category_weight: float = fixed.CATEGORY_WEIGHT
     threshold: float = fixed.THRESHOLD
 
+    def __post_init__(self) -> None:
+        """Blank keywords match nothing: they are left out."""
+        kept = {c: [k for k in words or [] if k and k.strip()] for c, words in self.categories.items()}
+        object.__setattr__(self, "categories", kept)
+
 
 def keyword_matches(value: Column, keywords: list[str]) -> Column:
     """JN-1 for any text: cleaned first, [] for null or empty."""

@@ -17,6 +17,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import BROADCAST_KEYS, fits, stored_values
 from newsgrist.functions.times import parse_iso
 from newsgrist.schema import STORE_COLUMNS, STORE_REQUIRED, STORE_SCHEMA, conform
@@ -179,11 +180,15 @@ class ArticleStore:
             return []
         return sorted(s.getPath().getName() for s in files.listStatus(folder))
 
+    def _exists(self, path: str) -> bool:
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(file)
+
     def _complete(self, path: str) -> list[str]:
         return [
             f"{path}/{name}"
             for name in self._children(path)
-            if name.startswith("batch=") and "_SUCCESS" in self._children(f"{path}/{name}")
+            if name.startswith("batch=") and self._exists(f"{path}/{name}/_SUCCESS")
         ]
 
     def _generation(self) -> int:
@@ -252,9 +257,16 @@ class ArticleStore:
         self._write(merged, generation + 1, "rows", 0)
 
     def mark_sent(self, results: DataFrame, batch_id: int) -> None:
-        """SNK-6: records successful deliveries of stored ids."""
+        """SNK-6: records successful deliveries of stored ids. A batch that is run again
+        adds to its own marks."""
         marks = results.where("ok").join(stored_values(self.read(), results, "id"), "id", "left_semi")
-        self._write(marks.select("id", "sent_at"), self._generation(), "sent", batch_id)
+        marks = marks.select("id", "sent_at")
+        folder = self._folder(self._generation(), "sent")
+        earlier = f"{folder}/batch={batch_id:012d}"
+        if earlier in self._complete(folder):
+            old = self.spark.read.schema(marks.schema).parquet(earlier)
+            marks = cut_lineage(marks.unionByName(old.join(marks.select("id"), "id", "left_anti")))
+        self._write(marks, self._generation(), "sent", batch_id)
 
     def save_outbox(self, outbox: DataFrame, batch_id: int) -> DataFrame:
         """OUT-3: the outbox of a batch, written once; a replay gets the first one back."""

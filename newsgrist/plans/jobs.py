@@ -22,13 +22,12 @@ from newsgrist.operators.outbox import build_outbox
 from newsgrist.operators.quality import check_numbers
 from newsgrist.operators.relevance import Rules, score
 from newsgrist.operators.store import ArticleStore
-from newsgrist.schema import order_key
 from newsgrist.sources import scan_all
 
 
 def with_order(raw: DataFrame) -> DataFrame:
-    """Adds ``seq``, the order struct as one BIGINT."""
-    return raw if "seq" in raw.columns else raw.withColumn("seq", order_key("ord"))
+    """Adds ``seq``, the order of the records: the order struct, unless there is one."""
+    return raw if "seq" in raw.columns else raw.withColumn("seq", F.col("ord"))
 
 
 def score_job(raw: DataFrame, rules: Rules) -> DataFrame:
@@ -55,8 +54,11 @@ def staged_run(
 
     One pass over the input: text of invalid or stale records is set to null before any
     cleaning, and of irrelevant ones before the result is written, so both cost next to
-    nothing. Afterwards only keys are shuffled.
+    nothing. Afterwards only keys are shuffled. Records with one ``seq`` come from a fetch
+    that landed twice; one of them stays.
     """
+    if "published_at" not in raw.columns:
+        raw = raw.withColumn("published_at", F.lit(None).cast("timestamp"))
     raw = with_errors(with_order(raw))
     raw = raw.withColumn("published_at", published_time(raw))
     alive = F.col("error").isNull() & is_fresh(F.col("published_at"), max_age_hours, now)
@@ -78,6 +80,10 @@ def staged_run(
         .drop("_alive")
     )
 
+    repeats = staged.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        staged = cut_lineage(staged.dropDuplicates(["seq"]))
+
     relevant = staged.where(F.col("stage") == metrics.NEW)
     in_run = find_duplicates(relevant, normalized=True, reasons=False)
     in_run = cut_lineage(in_run.withColumn("_in_run", F.lit(True)))
@@ -130,11 +136,13 @@ Deliver = Callable[[DataFrame], DataFrame]
 def run_records(
     raw: DataFrame, errors: DataFrame, sources: DataFrame, store: ArticleStore,
     settings: Settings = Settings(), *, batch_id: int, now: datetime, deliver: Deliver | None = None,
+    good: DataFrame | None = None,
 ) -> Run:
     """JOB-3 on raw records: stage, append, select the outbox, deliver, mark.
 
     ``deliver`` maps the outbox (at most ``notification_limit`` rows) to (id, ok, sent_at);
-    without it the run is dry. Running a batch id again gives the same table.
+    without it the run is dry. Running a batch id again gives the same table, and delivers
+    only what was not delivered before. ``good`` names the sources with a usable payload.
     """
     settings.check()
     threshold = settings.rules.threshold
@@ -149,9 +157,13 @@ def run_records(
     )
     results = None
     if deliver is not None:
-        results = cut_lineage(deliver(outbox))
+        done = cut_lineage(store.read().where("sent").select("id"))
+        results = cut_lineage(deliver(outbox.join(done, "id", "left_anti")))
+        # A replay adds to the marks of its batch: they are read before they are replaced.
         store.mark_sent(results, batch_id)
-    summary = metrics.run_summary(staged, sources, errors, outbox, results, dry_run=deliver is None)
+    summary = metrics.run_summary(
+        staged, sources, errors, outbox, results, dry_run=deliver is None, good=good
+    )
     return Run(staged, outbox, summary, errors)
 
 
@@ -163,6 +175,6 @@ def run(
     """JOB-3 on landed payloads."""
     scan = scan_all(payloads, sources)
     return run_records(
-        scan.raw, scan.errors, sources, store, settings,
+        scan.raw, scan.errors, sources, store, settings, good=scan.good,
         batch_id=batch_id, now=now or datetime.now(timezone.utc), deliver=deliver,
     )

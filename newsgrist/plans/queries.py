@@ -125,7 +125,12 @@ def source_union(spark, sf_dir):
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    return with_order(rows).select("seq", "source", "source_id", "url")
+    return with_order(rows).select(_place().alias("seq"), "source", "source_id", "url")
+
+
+def _place() -> Column:
+    """Rank and position of a record as one number, for the result only."""
+    return F.col("seq.source_rank").cast("bigint") * (1 << 43) + F.col("seq.pos")
 
 
 # -- relevance -------------------------------------------------------------------------
@@ -468,14 +473,14 @@ def batch_job_documents(spark, sf_dir):
 def batch_job_all_sources(spark, sf_dir):
     """Pages and documents together, in source order."""
     rows = tb.raw_pages(spark, sf_dir).unionByName(tb.raw_documents(spark, sf_dir).drop("doc_id"))
-    return batch_job(rows, tb.RULES).select("seq", "url", "relevance_score", _joined("categories"))
+    return batch_job(rows, tb.RULES).select(_place().alias("seq"), "url", "relevance_score", _joined("categories"))
 
 
 # -- sources ---------------------------------------------------------------------------
 
 @query
 def feed_scan(spark, sf_dir):
-    raw, _ = scan_feeds(*payloads.landed("feed", spark, sf_dir))
+    raw, *_ = scan_feeds(*payloads.landed("feed", spark, sf_dir))
     return raw.select(
         "source", "ord.pos", "source_id", "title", "url", "author", "published_at", "description",
         F.array_join("metadata.entry_tags", "|").alias("tags"),
@@ -484,7 +489,7 @@ def feed_scan(spark, sf_dir):
 
 @query
 def story_scan(spark, sf_dir):
-    raw, _ = scan_stories(*payloads.landed("story", spark, sf_dir))
+    raw, *_ = scan_stories(*payloads.landed("story", spark, sf_dir))
     return raw.select(
         "source", "ord.pos", "source_id", "title", "url", "author", "published_at",
         "metadata.score", "metadata.story_feed",
@@ -493,7 +498,7 @@ def story_scan(spark, sf_dir):
 
 @query
 def repo_scan(spark, sf_dir):
-    raw, _ = scan_repos(*payloads.landed("repo", spark, sf_dir))
+    raw, *_ = scan_repos(*payloads.landed("repo", spark, sf_dir))
     return raw.select(
         "source", "metadata.query", "ord.pos", "source_id", "title", "url", "author",
         "published_at", "description", "metadata.stars",

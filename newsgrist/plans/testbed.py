@@ -33,12 +33,12 @@ _TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = True) -> DataFrame:
     """One of the driver's tables.
 
-    A small text table is a single Parquet row group, so a single task. It is spread by its
-    key then; a table of many files is read as it is.
+    A text table that Spark reads in fewer tasks than there are cores is spread by its key;
+    a larger one is read as it is.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread and name in _TEXT_TABLES and len(df.inputFiles()) < cores:
+    if spread and name in _TEXT_TABLES and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, _TEXT_TABLES[name])
     return df
 
@@ -51,7 +51,9 @@ def after_base(amount: Column, seconds: int) -> Column:
 
 def _ord(rank: int, pos: Column) -> Column:
     return F.struct(
-        F.lit(rank).alias("source_rank"), F.lit(0).alias("query_rank"), pos.cast("bigint").alias("pos")
+        F.lit(rank).alias("source_rank"), F.lit(0).alias("query_rank"),
+        F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(None).cast("bigint").alias("body_id"),
+        pos.cast("bigint").alias("pos"),
     )
 
 

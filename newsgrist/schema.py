@@ -10,7 +10,9 @@ METADATA = (
     "language:string,topics:array<string>,created_at:string,updated_at:string,"
     "pushed_at:string>"
 )
-ORD = "struct<source_rank:int,query_rank:int,pos:bigint>"
+# A record's place in the processing order: its source, the query, the fetch (time, then a
+# digest of the body, as a source may land more than once in a run) and the item in it.
+ORD = "struct<source_rank:int,query_rank:int,fetched_at:timestamp,body_id:bigint,pos:bigint>"
 
 RAW_SCHEMA = (
     "source string, title string, url string, source_id string, author string, "
@@ -48,30 +50,6 @@ SOURCE_SCHEMA = (
 )
 ERROR_SCHEMA = "source string, kind string, query string, message string"
 
-# Bits of the order key given to each part; the sign bit stays 0.
-RANK_BITS, QUERY_BITS, POS_BITS = 20, 7, 36
-
-
-def order_key(ord_col: str = "ord") -> Column:
-    """The order struct as one BIGINT that sorts alike.
-
-    A fixed-width key lets ``min`` run as a hash aggregate with map-side combine. A part
-    that does not fit raises instead of wrapping.
-    """
-    rank, query, pos = (F.col(f"{ord_col}.{p}") for p in ("source_rank", "query_rank", "pos"))
-    fits = (
-        rank.between(0, (1 << RANK_BITS) - 1)
-        & query.between(0, (1 << QUERY_BITS) - 1)
-        & pos.between(0, (1 << POS_BITS) - 1)
-    )
-    packed = F.shiftleft(rank.cast("bigint"), QUERY_BITS + POS_BITS).bitwiseOR(
-        F.shiftleft(query.cast("bigint"), POS_BITS)
-    ).bitwiseOR(pos)
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.concat(F.lit("row order out of range: "), F.to_json(ord_col)))
-    )
-
-
 def empty_metadata() -> Column:
     return F.lit(None).cast(METADATA)
 

@@ -1,11 +1,13 @@
 """Scans of landed payloads into raw records, registered by kind (SRC-1)."""
 
+from functools import partial
+
 from newsgrist.sources.contract import SCANNERS, Scan, register, scan_all
 from newsgrist.sources.feeds import scan_feeds
 from newsgrist.sources.repos import scan_repos
 from newsgrist.sources.stories import scan_stories
 
-register("feed", scan_feeds)
+register("feed", partial(scan_feeds, at_rest=True))
 register("stories", scan_stories)
 register("repos", scan_repos)
 

@@ -20,6 +20,7 @@ _META_FIELDS = [f.split(":", 1) for f in METADATA[len("struct<"):-1].split(",")]
 class Scan(NamedTuple):
     raw: DataFrame
     errors: DataFrame
+    good: DataFrame | None = None  # (source): those with a usable payload
 
 
 class SourceFailure(Exception):
@@ -47,7 +48,8 @@ def metadata_of(**fields: Column) -> Column:
 def order_of(query_rank: Column | int, pos: Column) -> Column:
     rank = F.lit(query_rank) if isinstance(query_rank, int) else query_rank
     return F.struct(
-        F.col("source_rank"), rank.cast("int").alias("query_rank"), pos.cast("bigint").alias("pos")
+        F.col("source_rank"), rank.cast("int").alias("query_rank"), F.col("fetched_at"),
+        F.col("body_id"), pos.cast("bigint").alias("pos"),
     )
 
 
@@ -60,15 +62,16 @@ def payloads_of(kind: str, payloads: DataFrame, sources: DataFrame) -> DataFrame
         F.col("name").alias("source"), "source_rank", "max_items", "categories", "story_feed",
         "queries",
     )
-    return with_settings(
-        payloads.where(F.col("kind") == kind), settings, "source", F.xxhash64("query", "body")
-    )
+    landed = payloads.where(F.col("kind") == kind).withColumn("body_id", F.xxhash64("query", "body"))
+    return with_settings(landed, settings, "source", F.col("body_id"))
 
 
-def http_error(status: Column) -> Column:
-    """A message for a status outside 2xx, else null."""
-    return F.when(
-        ~status.between(200, 299), F.concat(F.lit("HTTP status "), status.cast("string"))
+def http_error(status: Column, body: Column) -> Column:
+    """A message for a fetch that gave no status, one outside 2xx or no body, else null."""
+    return (
+        F.when(status.isNull(), F.lit("no response"))
+        .when(~status.between(200, 299), F.concat(F.lit("HTTP status "), status.cast("string")))
+        .when(body.isNull(), F.lit("no body"))
     )
 
 
@@ -87,12 +90,15 @@ def scan_all(payloads: DataFrame, sources: DataFrame, *, strict: bool = False) -
     spark = payloads.sparkSession
     raw = spark.createDataFrame([], RAW_SCHEMA)
     errors = spark.createDataFrame([], ERROR_SCHEMA)
+    good = spark.createDataFrame([], "source string")
     for scan in SCANNERS.values():
         part = scan(payloads, sources)
         raw = raw.unionByName(part.raw.select(*RAW_COLUMNS))
         errors = errors.unionByName(part.errors)
+        # A kind that does not tell has worked where there are records.
+        good = good.unionByName((part.raw if part.good is None else part.good).select("source"))
     if strict:
         first = errors.limit(1).collect()
         if first:
             raise SourceFailure(f"{first[0].source}: {first[0].message}")
-    return Scan(raw, errors)
+    return Scan(raw, errors, good)

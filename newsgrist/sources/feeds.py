@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.pinned import pinned
 from newsgrist.functions.text import is_blank, strip
 from newsgrist.functions.times import parse_timestamp
@@ -11,15 +12,15 @@ from newsgrist.sources.contract import (
     Scan, errors_of, http_error, metadata_of, order_of, payloads_of,
 )
 
-_TEXT = "struct<_VALUE:string,_type:string>"
 _LINK = "struct<_VALUE:string,_href:string,_rel:string>"
 _TAG = "struct<_VALUE:string,_term:string>"
-# One entry type for both formats: every feed is read once, with one schema.
+# One entry type for both formats: every feed is read once, with one schema. Texts are
+# strings, which keeps the markup of XHTML constructs for the cleaning to remove.
 _ENTRY = (
-    f"struct<title:{_TEXT},link:array<{_LINK}>,description:string,summary:{_TEXT},"
-    f"content:array<{_TEXT}>,encoded:string,author:struct<_VALUE:string,name:string>,"
+    f"struct<title:string,link:array<{_LINK}>,description:string,summary:string,"
+    f"content:array<string>,encoded:string,author:struct<_VALUE:string,name:string>,"
     "creator:string,pubDate:string,date:string,published:string,updated:string,"
-    f"guid:struct<_VALUE:string>,id:string,category:array<{_TAG}>>"
+    f"guid:struct<_VALUE:string,_isPermaLink:string>,id:string,category:array<{_TAG}>>"
 )
 _FEED = f"channel struct<item:array<{_ENTRY}>>, entry array<{_ENTRY}>, item array<{_ENTRY}>, _corrupt_record string"
 
@@ -49,8 +50,9 @@ def _first_text(*choices: Column) -> Column:
     return strip(F.coalesce(*[F.nullif(c, F.lit("")) for c in choices]))
 
 
-def _entry_link(links: Column) -> Column:
-    """SRC-4: the link text (RSS); else the first alternate; else the first with an address."""
+def _entry_link(links: Column, guid: Column) -> Column:
+    """SRC-4: the link text (RSS); else the first alternate; else the first with an address;
+    else a guid that is not declared to be no permalink."""
     texts = F.filter(links, lambda l: F.coalesce(l["_VALUE"], F.lit("")) != "")
     alternate = F.filter(
         links,
@@ -61,17 +63,19 @@ def _entry_link(links: Column) -> Column:
         F.get(texts, F.lit(0))["_VALUE"],
         F.get(alternate, F.lit(0))["_href"],
         F.get(links, F.lit(0))["_href"],
+        F.when(F.lower(F.coalesce(guid["_isPermaLink"], F.lit("true"))) == "true", F.nullif(guid["_VALUE"], F.lit(""))),
     )
 
 
-def scan_feeds(payloads: DataFrame, sources: DataFrame) -> Scan:
+def scan_feeds(payloads: DataFrame, sources: DataFrame, *, at_rest: bool = False) -> Scan:
     """Feed bodies to raw records and failures.
 
     A body that is broken and yields no entry is a failure; a broken one with complete
     entries keeps those. The cap counts entries before invalid ones are skipped (SRC-15).
+    ``at_rest`` writes the parsed feeds once, for callers that use all of the result.
     """
     fetched = payloads_of("feed", payloads, sources).withColumn(
-        "problem", http_error(F.col("http_status"))
+        "problem", http_error(F.col("http_status"), F.col("body"))
     )
     feeds = pinned(fetched, "*", feed=_parsed(F.regexp_replace("body", _PREFIXES, "$1$2")))
     broken = F.col("feed._corrupt_record").isNotNull()
@@ -88,12 +92,14 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame) -> Scan:
         "problem", F.when(broken & F.col("entries").isNull(), F.lit("malformed feed"))
     )
     feeds = feeds.withColumn("problem", problem).drop("body", "feed", "rest")
+    if at_rest:
+        feeds = cut_lineage(feeds)
 
     errors = errors_of(feeds.where("problem is not null"), "feed", F.col("problem"))
     rows = (
         feeds.where("problem is null")
         .select(
-            "source", "source_rank", "max_items", "categories", F.posexplode("entries").alias("pos", "e")
+            "source", "source_rank", "max_items", "categories", "fetched_at", "body_id", F.posexplode("entries").alias("pos", "e")
         )
         .where(F.col("pos") < F.col("max_items"))
     )
@@ -105,20 +111,21 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame) -> Scan:
     raw = pinned(
         rows,
         "source",
-        title=strip(e["title"]["_VALUE"]),
-        url=strip(_entry_link(e["link"])),
+        title=strip(e["title"]),
+        url=strip(_entry_link(e["link"], e["guid"])),
         source_id=_first_text(e["id"], e["guid"]["_VALUE"]),
         author=_first_text(e["author"]["name"], e["author"]["_VALUE"], e["creator"]),
         published_at=F.coalesce(
             parse_timestamp(F.coalesce(e["published"], e["pubDate"], e["date"])),
             parse_timestamp(e["updated"]),
         ),
-        description=_first_text(e["summary"]["_VALUE"], e["description"]),
-        content=_first_text(F.get(e["content"], F.lit(0))["_VALUE"], e["encoded"]),
+        description=_first_text(e["summary"], e["description"]),
+        content=_first_text(F.get(e["content"], F.lit(0)), e["encoded"]),
         metadata=metadata_of(
             feed_categories=F.coalesce("categories", F.array().cast("array<string>")),
             entry_tags=F.when(F.size(tags) > 0, tags),
         ),
         ord=order_of(0, F.col("pos")),
     )
-    return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors)
+    good = feeds.where("problem is null").select("source")
+    return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors, good)

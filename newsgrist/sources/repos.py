@@ -22,14 +22,16 @@ def _falsy(item: Column, path: str) -> Column:
 
 def scan_repos(payloads: DataFrame, sources: DataFrame) -> Scan:
     """One payload per search query. A failed query loses only its own results; the source
-    fails (an error with a null query) if all its queries did."""
+    fails (an error with a null query) if none of its configured queries has a usable
+    payload although one has landed. Queries that are not configured are left out."""
     fetched = payloads_of("repos", payloads, sources).where(~is_blank(F.col("query")))
     wanted = F.transform("queries", strip)
     fetched = fetched.withColumn("query", strip(F.col("query")))
-    fetched = pinned(fetched, "*", json=F.try_parse_json(F.col("body"))).withColumn("query_rank", F.coalesce(F.array_position(wanted, F.col("query")), F.lit(0)))
+    fetched = pinned(fetched, "*", json=F.try_parse_json(F.col("body")))
+    fetched = fetched.withColumn("query_rank", F.array_position(wanted, F.col("query"))).where("query_rank > 0")
     found = F.try_variant_get(F.col("json"), "$.items", "variant")
     problem = F.coalesce(
-        http_error(F.col("http_status")),
+        http_error(F.col("http_status"), F.col("body")),
         F.when(F.col("json").isNull(), F.lit("invalid JSON")),
         F.when(
             found.isNull() | (json_kind(found) != "ARRAY"), F.lit("response has no list of items")
@@ -50,7 +52,7 @@ def scan_repos(payloads: DataFrame, sources: DataFrame) -> Scan:
     rows = (
         searched.where("problem is null")
         .select(
-            "source", "source_rank", "max_items", "query", "query_rank",
+            "source", "source_rank", "max_items", "query", "query_rank", "fetched_at", "body_id",
             F.posexplode(json_elements(F.col("items"))).alias("pos", "repo"),
         )
         .where((F.col("pos") < F.col("max_items")) & (json_kind(F.col("repo")) == "OBJECT"))
@@ -87,6 +89,7 @@ def scan_repos(payloads: DataFrame, sources: DataFrame) -> Scan:
         ),
         ord=order_of(F.col("query_rank"), F.col("pos")),
     )
+    good = searched.where("problem is null").select("source")
     return Scan(
-        raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), by_query.unionByName(lost)
+        raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), by_query.unionByName(lost), good
     )

@@ -42,7 +42,7 @@ def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
     fetched = pinned(
         payloads_of("stories", payloads, sources), "*", json=F.try_parse_json(F.col("body"))
     )
-    status = http_error(F.col("http_status"))
+    status = http_error(F.col("http_status"), F.col("body"))
 
     lists = fetched.where("query is null").withColumn(
         "problem",
@@ -56,7 +56,7 @@ def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
     ids = (
         lists.where("problem is null")
         .select(
-            "source", "source_rank", "story_feed", "max_items",
+            "source", "source_rank", "story_feed", "max_items", "fetched_at", "body_id",
             F.posexplode(json_elements(F.col("json"))).alias("pos", "id"),
         )
         .where(F.col("pos") < F.col("max_items"))
@@ -65,6 +65,10 @@ def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
     items = fetched.where(F.col("query").isNotNull() & status.isNull()).where(
         json_kind(F.col("json")) == "OBJECT"
     )
+    # An item that landed more than once counts as it was fetched last.
+    stamp = F.struct("fetched_at", "body_id")
+    last = items.groupBy("source", "query").agg(F.max(stamp).alias("stamp"))
+    items = items.withColumn("stamp", stamp).join(last, ["source", "query", "stamp"], "left_semi")
     items = items.select("source", F.col("query").alias("item_id"), F.col("json").alias("item"))
 
     item = F.col("item")
@@ -90,4 +94,5 @@ def scan_stories(payloads: DataFrame, sources: DataFrame) -> Scan:
         ),
         ord=order_of(0, F.col("pos")),
     )
-    return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors)
+    good = lists.where("problem is null").select("source")
+    return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors, good)

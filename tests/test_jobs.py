@@ -9,7 +9,7 @@ from newsgrist.operators import filters, metrics
 from newsgrist.operators.relevance import Rules
 from newsgrist.operators.store import ArticleStore
 from newsgrist.plans.jobs import Settings, run, run_records, staged_run
-from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, SOURCE_SCHEMA, STORE_SCHEMA, order_key
+from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, SOURCE_SCHEMA, STORE_SCHEMA
 from newsgrist.streaming import incremental
 
 NOW = datetime(2026, 9, 19, 12)
@@ -79,12 +79,16 @@ def test_freshness_bounds(spark):
             filters.fresh(df, bad, NOW)
 
 
-def test_order_key(spark):
-    df = spark.createDataFrame([((1, 0, 0),), ((0, 2, 1),), ((0, 1, 9),), ((0, 1, 8),)], "ord struct<source_rank:int,query_rank:int,pos:bigint>")
-    rows = df.withColumn("seq", order_key()).orderBy("seq").collect()
-    assert [tuple(r.ord) for r in rows] == [(0, 1, 8), (0, 1, 9), (0, 2, 1), (1, 0, 0)]
-    with pytest.raises(Exception, match="out of range"):
-        df.selectExpr("named_struct('source_rank', 0, 'query_rank', 999, 'pos', 0L) ord").select(order_key()).collect()
+def test_no_publication_time_at_all(spark):
+    rows = raws(spark, [("a", "Python", "https://e.com/1", None, 1)]).drop("published_at")
+    assert staged_run(rows, RULES, spark.createDataFrame([], STORE_SCHEMA), now=NOW).first().stage == metrics.NEW
+
+
+def test_large_ranks_and_many_queries(spark):
+    at = [(2_000_000, 0, 0), (2_000_000, 200, 5), (1_999_999, 150, 1 << 40), (2_000_000, 200, 4)]
+    rows = [("a", f"Python {i}", "https://e.com/same", None, None, None, None, o) for i, o in enumerate(at)]
+    out = staged_run(spark.createDataFrame(rows, RAW), RULES, spark.createDataFrame([], STORE_SCHEMA), now=NOW)
+    assert {tuple(r.seq): r.stage for r in out.collect()} == {o: metrics.NEW if o[0] == 1_999_999 else metrics.REPEATED for o in at}
 
 
 FEED = """<rss version="2.0"><channel>{}</channel></rss>"""
@@ -147,6 +151,42 @@ def test_bad_settings_raise_before_any_work(spark, tmp_path):
                     Settings(RULES, max_age_hours=0), batch_id=1, now=NOW)
 
 
+def test_one_source_lands_twice(spark, tmp_path):
+    """Two bodies at shifted positions, one of them landed twice, and a repeated position."""
+    store = ArticleStore(spark, str(tmp_path / "store"))
+    first = payloads(spark, [("one", [("Python a", 1), ("Python b", 2)])])
+    second = payloads(spark, [("one", [("Python c", 3), ("Python a", 1), ("Python b", 2)])])
+    both = first.union(second.withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))).union(first)
+    out = run(both, feed_sources(spark, "one"), store, Settings(RULES), batch_id=1, now=NOW)
+    assert out.staged.select("seq").distinct().count() == out.staged.count() == 5
+    assert {r.title for r in store.read().collect()} == {"Python a", "Python b", "Python c"}
+
+
+def test_replay_does_not_deliver_again(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "store"))
+    src, pay = feed_sources(spark, "one", "silent"), payloads(spark, [("one", [("Python a", 1), ("LLM fails", 2)])])
+    handed = []
+
+    def counting(outbox):
+        handed.extend(r.id for r in outbox.collect())
+        return deliver(outbox)
+
+    for _ in range(2):
+        out = run(pay, src, store, Settings(RULES), batch_id=1, now=NOW, deliver=counting)
+    ids = {r.title: r.id for r in store.read().collect()}
+    assert handed.count(ids["Python a"]) == 1 and handed.count(ids["LLM fails"]) == 2
+    assert [r.title for r in store.read().where("sent").collect()] == ["Python a"]
+    # A source without any payload did not succeed.
+    assert (counters(out)["sources_attempted"], counters(out)["sources_succeeded"]) == (2, 1)
+
+
+def test_fetches_without_an_answer_fail(spark, tmp_path):
+    none = spark.createDataFrame([("one", "feed", None, None, NOW, None), ("two", "feed", None, 200, NOW, None)], PAYLOAD_SCHEMA)
+    out = run(none, feed_sources(spark, "one", "two"), ArticleStore(spark, str(tmp_path / "s")), Settings(RULES), batch_id=1, now=NOW)
+    assert {(e.source, e.message) for e in out.errors.collect()} == {("one", "no response"), ("two", "no body")}
+    assert counters(out)["sources_succeeded"] == 0
+
+
 def test_incremental(spark, tmp_path):
     landing, store, mark = (str(tmp_path / n) for n in ("landing", "store", "mark"))
     src = feed_sources(spark, "one")

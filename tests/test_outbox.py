@@ -15,62 +15,6 @@ META = [f.split(":")[0] for f in METADATA[7:-1].split(",")]
 LONG = "word " * 60
 
 
-def plain_message(row, limit, cap=400):
-    """The rules of OUT-1 and OUT-2 in plain Python."""
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-    def cut(text, size):
-        if len(text) <= size:
-            return text
-        if size <= 3:
-            return text[:size]
-        head = text[: size - 3]
-        at = head.rfind(" ")
-        return (head[:at] if at > 0 else head).rstrip() + "..."
-
-    join = lambda *parts: "\n\n".join(p for p in parts if p)
-    names = [c.strip() for c in row["categories"] or [] if c and c.strip()]
-    source = (row["source"] or "").strip()
-    badge = ", ".join(names) or source
-    head = f"<b>[{esc(badge)}]</b>" if badge else ""
-    title = row["title"].strip() if row["title"] else "Untitled"
-    lines = [f"Source: {esc(source)}"] if source else []
-    meta = row["metadata"] or {}
-    if meta.get("stars") is not None:
-        stars = meta["stars"]
-        lines.append("Stars: " + esc(f"{int(stars):,}" if stars.isdigit() else stars))
-    if meta.get("language"):
-        lines.append("Language: " + esc(meta["language"].strip()))
-    if meta.get("score") is not None:
-        lines.append("Score: " + esc(meta["score"]))
-    if row["author"] and row["author"].strip():
-        lines.append("Author: " + esc(row["author"].strip()))
-    if row["published_at"]:
-        lines.append(row["published_at"].strftime("Published: %Y-%m-%d %H:%M UTC"))
-    details = "\n".join(lines)
-    url = (row["url"] or "").strip()
-    link = f"Read more: {esc(url)}" if url else ""
-    body = (row["description"] or "").strip()
-    body = cut(body, cap) if cap > 0 else body
-    bold = lambda t: f"<b>{esc(t)}</b>"
-    room = lambda block: len(block) + 2 if block else 0
-    tries = []
-    if body:
-        tries.append(join(head, bold(title), details, esc(body), link))
-        above = join(head, bold(title), details)
-        left = limit - room(above) - room(link)
-        if left > 3:
-            tries.append(join(above, esc(cut(body, left)), link))
-    tries.append(join(head, bold(title), details, link))
-    for text in tries:
-        if len(text) <= limit:
-            return text
-    left = limit - room(head) - room(details) - room(link) - 7
-    if left > 3:
-        return join(head, bold(cut(title, left)), details, link)
-    return link or bold(title)
-
-
 ROWS = [
     dict(title="A <b> & c", url="https://e.com/?a=1&b=2", source=" Feed ", author="Ann", published_at=datetime(2026, 9, 19, 10, 5),
          description="Some <text> & more", categories=["AI", " ", "Go"], metadata={"stars": "12500", "language": " Go ", "score": "7"}),
@@ -83,14 +27,61 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("limit,cap", [(4096, 400), (250, 400), (140, 60), (50, 20), (90, 0), (20, 400)])
+# Written out for each bound of the message and of its text.
+MESSAGES = {
+    (4096, 400): [
+        '<b>[AI, Go]</b>\n\n<b>A &lt;b&gt; &amp; c</b>\n\nSource: Feed\nStars: 12,500\nLanguage: Go\nScore: 7\nAuthor: Ann\nPublished: 2026-09-19 10:05 UTC\n\nSome &lt;text&gt; &amp; more\n\nRead more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        '<b>[s]</b>\n\n<b>' + 'T' * 120 + '</b>\n\nSource: s\nStars: 12k+\n\n' + 'word ' * 59 + 'word\n\nRead more: https://e.com/x',
+        '<b>[X]</b>\n\n<b>' + 'Many words in this title ' * 5 + 'Many words in this title</b>\n\nSource: s\n\n' + '&amp;' * 300 + '\n\nRead more: https://e.com/y',
+        '<b>[B]</b>\n\n<b></b>\n\nAuthor: ' + 'é' * 50 + '\n\nd\n\nRead more: https://e.com/z',
+    ],
+    (250, 400): [
+        '<b>[AI, Go]</b>\n\n<b>A &lt;b&gt; &amp; c</b>\n\nSource: Feed\nStars: 12,500\nLanguage: Go\nScore: 7\nAuthor: Ann\nPublished: 2026-09-19 10:05 UTC\n\nSome &lt;text&gt; &amp; more\n\nRead more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        '<b>[s]</b>\n\n<b>' + 'T' * 120 + '</b>\n\nSource: s\nStars: 12k+\n\n' + 'word ' * 10 + 'word...\n\nRead more: https://e.com/x',
+        '<b>[X]</b>\n\n<b>' + 'Many words in this title ' * 5 + 'Many words in this title</b>\n\nSource: s\n\nRead more: https://e.com/y',
+        '<b>[B]</b>\n\n<b></b>\n\nAuthor: ' + 'é' * 50 + '\n\nd\n\nRead more: https://e.com/z',
+    ],
+    (140, 60): [
+        'Read more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        '<b>[s]</b>\n\n<b>' + 'T' * 67 + '...</b>\n\nSource: s\nStars: 12k+\n\nRead more: https://e.com/x',
+        '<b>[X]</b>\n\n<b>' + 'Many words in this title ' * 2 + 'Many words in this title...</b>\n\nSource: s\n\nRead more: https://e.com/y',
+        '<b>[B]</b>\n\n<b></b>\n\nAuthor: ' + 'é' * 50 + '\n\nd\n\nRead more: https://e.com/z',
+    ],
+    (50, 20): [
+        'Read more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        'Read more: https://e.com/x',
+        'Read more: https://e.com/y',
+        'Read more: https://e.com/z',
+    ],
+    (90, 0): [
+        'Read more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        '<b>[s]</b>\n\n<b>TTTTTTTTTTTTTTTTT...</b>\n\nSource: s\nStars: 12k+\n\nRead more: https://e.com/x',
+        '<b>[X]</b>\n\n<b>Many words in this title...</b>\n\nSource: s\n\nRead more: https://e.com/y',
+        'Read more: https://e.com/z',
+    ],
+    (20, 400): [
+        'Read more: https://e.com/?a=1&amp;b=2',
+        '<b>Untitled</b>',
+        'Read more: https://e.com/x',
+        'Read more: https://e.com/y',
+        'Read more: https://e.com/z',
+    ],
+}
+
+
+@pytest.mark.parametrize("limit,cap", MESSAGES)
 def test_messages(spark, limit, cap):
     data = []
     for i, r in enumerate(ROWS):
         meta = None if r["metadata"] is None else tuple(r["metadata"].get(m) for m in META)
         data.append((i, r["title"], r["url"], r["source"], r["author"], r["published_at"], r["description"], r["categories"], meta))
     out = outbox.with_message(spark.createDataFrame(data, SCHEMA).repartition(2), limit, cap).orderBy("id").collect()
-    assert [r.message for r in out] == [plain_message(r, limit, cap) for r in ROWS]
+    assert [r.message for r in out] == MESSAGES[limit, cap]
 
 
 def test_masking(column_of, spark):
@@ -114,6 +105,14 @@ def test_rule_audit(spark):
     assert defaults.count() == 118 and quality.audit_rules(defaults).count() == 0
 
 
+def test_rules_of_a_table(spark):
+    rows = [(1, " B ", 0, "c++"), (0, "A", 1, "y "), (0, "A", 0, "x"), (0, "A", 2, " ")]
+    rules = quality.rules_of(spark.createDataFrame(rows, quality.RULE_SCHEMA), threshold=2)
+    assert rules.categories == {"A": ["x", "y"], "B": ["c++"]} and rules.threshold == 2
+    with pytest.raises(ValueError, match="no keywords: B"):
+        quality.rules_of(spark.createDataFrame([(0, "A", 0, "x"), (1, "B", 0, " ")], quality.RULE_SCHEMA))
+
+
 def test_source_audit(spark):
     from newsgrist.schema import SOURCE_SCHEMA
 
@@ -121,11 +120,11 @@ def test_source_audit(spark):
         (0, "feed", "ok", True, 5, "https://x", [], None, []), (1, "feed", "nourl", True, 5, " ", [], None, []),
         (2, "feed", "ftp", True, 5, "ftp://x", [], None, []), (3, "feed", "off", False, 5, "", [], None, []),
         (4, "stories", "hn", True, 0, None, [], "", []), (5, "repos", "gh", True, 5, None, [], None, [" "]),
-        (6, "feed", " ", True, 5, "http://x", [], None, None),
+        (6, "feed", " ", True, 5, "http://x", [], None, None), (6, "feed", "same", True, 5, "http://x", [], None, None),
     ]
     got = {(r.rule, r.key) for r in quality.audit_sources(spark.createDataFrame(rows, SOURCE_SCHEMA)).collect()}
     assert got == {("feed has no url", "nourl"), ("feed url is not http", "ftp"), ("max_items is not positive", "hn"),
-                   ("story feed is blank", "hn"), ("no search queries", "gh"), ("source name is blank", " ")}
+                   ("source rank is not unique", "6"), ("story feed is blank", "hn"), ("no search queries", "gh"), ("source name is blank", " ")}
 
 
 @pytest.mark.parametrize("bad", [dict(threshold=-1), dict(threshold="3"), dict(weights=("a",)), dict(max_age_hours=0),

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from newsgrist.schema import PAYLOAD_SCHEMA, RAW_SCHEMA, SOURCE_SCHEMA
+from newsgrist.operators.normalize import normalize
 from newsgrist.sources import Scan, register, scan_all, scan_feeds, scan_repos, scan_stories
 from newsgrist.sources.contract import SCANNERS, SourceFailure
 
@@ -53,7 +54,7 @@ def test_feeds(spark):
         ("bad", "feed", None, 200, "<rss><channel><it"), ("http", "feed", None, 503, RSS),
         ("html", "feed", None, 200, "<html><body>x</body></html>"), ("off", "feed", None, 200, RSS),
     ])
-    raw, errors = scan_feeds(pay, src)
+    raw, errors, _ = scan_feeds(pay, src)
     got = {(r.source, r.ord.pos): r for r in raw.collect()}
     assert set(got) == {("rss", 0), ("rss", 3), ("atom", 0), ("atom", 1), ("cut", 0)}
     one = got["rss", 0]
@@ -71,6 +72,35 @@ def test_feeds(spark):
     assert {(e.source, e.message) for e in errors.collect()} == {("bad", "malformed feed"), ("http", "HTTP status 503")}
 
 
+def test_feed_variants(spark):
+    rss = """<rss version="2.0"><channel>
+      <item><title>A</title><guid>https://e.com/g</guid></item>
+      <item><title>B</title><guid isPermaLink="true">https://e.com/h</guid></item>
+      <item><title>C</title><guid isPermaLink="false">id-3</guid></item>
+      <item><title>D</title><link>https://e.com/l</link><guid>https://e.com/i</guid></item></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry>
+      <title type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">One <b>bold</b> title</div></title>
+      <link href="https://e.com/x"/><summary type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Sum <i>mary</i></p></div></summary>
+      </entry><entry><title type="html">Two &lt;i&gt;it&lt;/i&gt;</title><link href="https://e.com/y"/><summary>Plain</summary></entry></feed>"""
+    src = sources(spark, [(0, "feed", "r", True, 9, []), (1, "feed", "a", True, 9, [])])
+    raw, errors, good = scan_feeds(payloads(spark, [("r", "feed", None, 200, rss), ("a", "feed", None, 200, atom)]), src)
+    got = {(r.source, r.ord.pos): r for r in raw.collect()}
+    assert {k: r.url for k, r in got.items()} == {
+        ("r", 0): "https://e.com/g", ("r", 1): "https://e.com/h", ("r", 3): "https://e.com/l", ("a", 0): "https://e.com/x", ("a", 1): "https://e.com/y"}
+    cleaned = {r.url: (r.title, r.description) for r in normalize(raw).collect()}
+    assert cleaned["https://e.com/x"] == ("One bold title", "Sum mary")
+    assert cleaned["https://e.com/y"] == ("Two it", "Plain")
+    assert errors.count() == 0 and {r.source for r in good.collect()} == {"r", "a"}
+
+
+def test_queries_that_are_not_configured(spark):
+    src = sources(spark, [(1, "repos", "gh", True, 6, ["a"])])
+    body = json.dumps({"items": [repo()]})
+    raw, errors, good = scan_repos(payloads(spark, [("gh", "repos", "a", 500, ""), ("gh", "repos", "other", 200, body)]), src)
+    assert raw.count() == 0 and good.count() == 0
+    assert {(e.query, e.message) for e in errors.collect()} == {("a", "HTTP status 500"), (None, "all queries failed: HTTP status 500")}
+
+
 def story(**fields):
     return json.dumps({"type": "story", "title": "T", "url": "https://e.com/", "time": 1700000000, **fields})
 
@@ -86,7 +116,7 @@ def test_stories(spark):
     rows = [("hn", "stories", None, 200, json.dumps([12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 1])),
             ("odd", "stories", None, 200, '{"a": 1}'), ("junk", "stories", None, 200, "not json")]
     rows += [("hn", "stories", str(i), 200, b) for i, b in items.items()]
-    raw, errors = scan_stories(payloads(spark, rows), src)
+    raw, errors, _ = scan_stories(payloads(spark, rows), src)
     got = {r.source_id: r for r in raw.collect()}
     assert {(k, r.ord.pos) for k, r in got.items()} == {("12", 0), ("1", 1), ("7", 7), ("10", 10)}
     one = got["1"]
@@ -109,7 +139,7 @@ def test_repos(spark):
     rows = [("gh", "repos", "a", 200, json.dumps({"items": items})), ("gh", "repos", "b", 200, '{"items": {}}'),
             ("gh", "repos", " ", 200, '{"items": []}'),
             ("down", "repos", "a", 403, ""), ("down", "repos", "b", 200, "[]")]
-    raw, errors = scan_repos(payloads(spark, rows), src)
+    raw, errors, _ = scan_repos(payloads(spark, rows), src)
     got = {r.source_id: r for r in raw.collect()}
     assert {(k, r.ord.pos) for k, r in got.items()} == {("1", 0), ("4", 3)}
     one = got["1"]
