@@ -172,9 +172,11 @@ def run(
     settings: Settings = Settings(), *, batch_id: int, now: datetime | None = None,
     deliver: Deliver | None = None,
 ) -> Run:
-    """JOB-3 on landed payloads."""
+    """JOB-3 on landed payloads. The records are written once: scanning and scoring in one
+    stage would be more code than Spark compiles, and each would run again for the other's
+    results."""
     scan = scan_all(payloads, sources)
     return run_records(
-        scan.raw, scan.errors, sources, store, settings, good=scan.good,
+        cut_lineage(scan.raw), scan.errors, sources, store, settings, good=scan.good,
         batch_id=batch_id, now=now or datetime.now(timezone.utc), deliver=deliver,
     )

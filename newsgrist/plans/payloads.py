@@ -39,8 +39,9 @@ def _tag(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
 
 
-def feed_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(payloads, sources): a feed per 20 documents, RSS or Atom by turns.
+def feed_payloads(spark: SparkSession, sf_dir: str, *, skip: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(payloads, sources): a feed per 20 documents, RSS or Atom by turns; ``skip`` leaves out
+    the first entries of each, as a later fetch would.
 
     By bucket number: 4 mod 5 breaks off after three entries, 9 mod 10 has none at all,
     7 mod 10 is a server error. Every document with 5 mod 11 has a blank title.
@@ -77,7 +78,7 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("all")
     )
     rank = F.col("source_rank")
-    texts = F.transform("all", lambda i: i["x"])
+    texts = F.transform(F.slice("all", skip + 1, FEED_ITEMS), lambda i: i["x"])
     shown = F.when(rank % 10 == 9, F.slice(texts, 1, 0)).when(
         rank % 5 == 4, F.slice(texts, 1, 3)
     ).otherwise(texts)
@@ -98,6 +99,19 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return _response(named, "feed", F.lit(None), status), _settings(names, "feed", FEED_CAP)
 
 
+SHIFT = 2
+
+
+def feed_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every feed landed twice, an hour apart, the second time without its first entries,
+    and the feeds of even number landed a third time with the first body."""
+    first, sources = feed_payloads(spark, sf_dir)
+    later, _ = feed_payloads(spark, sf_dir, skip=SHIFT)
+    later = later.withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
+    again = first.where("cast(substring(source, 6) as int) % 2 = 0")
+    return first.unionByName(later).unionByName(again), sources
+
+
 def story_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(payloads, sources): an id list per 500 events and a payload per event.
 
@@ -182,7 +196,7 @@ def repo_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def landed(name: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(payloads, sources) as tables at rest: a scan starts from bodies already landed."""
-    build = {"feed": feed_payloads, "story": story_payloads, "repo": repo_payloads}[name]
+    build = {"feed": feed_payloads, "twice": feed_twice, "story": story_payloads, "repo": repo_payloads}[name]
     return tuple(
         at_rest(f"{name}-{part}", spark, sf_dir, lambda i=i: build(spark, sf_dir)[i])
         for i, part in enumerate(("payloads", "sources"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -18,9 +19,10 @@ from newsgrist.operators.store import (
     with_delivery,
 )
 from newsgrist.plans import payloads, testbed as tb
-from newsgrist.plans.jobs import Settings, batch_job, score_job, staged_run, with_order
-from newsgrist.schema import ERROR_SCHEMA
-from newsgrist.sources import scan_feeds, scan_repos, scan_stories
+from newsgrist.plans.jobs import Settings, batch_job, run, score_job, staged_run, with_order
+from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, STORE_SCHEMA
+from newsgrist.sources import scan_all, scan_feeds, scan_repos, scan_stories
+from newsgrist.sources.contract import metadata_of
 from newsgrist.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +42,11 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def query(fn: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return _plain(fn(spark, sf_dir))
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__] = answer
     return fn
 
 
@@ -529,6 +531,110 @@ def rule_audit(spark, sf_dir):
     return quality.audit_sources(faulty)
 
 
+def _payload_run(spark, sf_dir):
+    """Feeds that landed twice or three times, up to the write, over an empty history."""
+    landed, sources = payloads.landed("twice", spark, sf_dir)
+    scan = scan_all(landed, sources)
+    empty = spark.createDataFrame([], STORE_SCHEMA)
+    return scan, sources, staged_run(scan.raw, tb.RULES, empty, now=tb.NOW, max_age_hours=RUN_HOURS)
+
+
+@query
+def payload_run(spark, sf_dir):
+    _, _, staged = _payload_run(spark, sf_dir)
+    hour = (F.unix_seconds("ord.fetched_at") - F.unix_seconds(F.lit(tb.NOW).cast("timestamp"))) / 3600
+    return staged.select("source", hour.cast("int").alias("landing"), "ord.pos", "stage")
+
+
+def _payload_results(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outbox, results): the best persisted records; those of documents 0 mod 4 fail."""
+    number = F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint")
+    best = staged.where(F.col("stage") == metrics.NEW).orderBy(F.desc("relevance_score"), number).limit(K)
+    box = best.select("source", number.alias("id"))
+    return box, box.select("source", "id", (F.col("id") % 4 != 0).alias("ok"))
+
+
+@query
+def payload_summary(spark, sf_dir):
+    """Counters with failed fetches, silent sources and deliveries."""
+    scan, sources, staged = _payload_run(spark, sf_dir)
+    box, results = _payload_results(staged)
+    return metrics.run_summary(staged, sources, scan.errors, box, results, dry_run=False, good=scan.good)
+
+
+@query
+def payload_source_quality(spark, sf_dir):
+    scan, _, staged = _payload_run(spark, sf_dir)
+    _, results = _payload_results(staged)
+    return metrics.source_quality(staged, scan.errors, results.where("ok").select("source"))
+
+
+@query
+def escaped_urls(spark, sf_dir):
+    """Words of a document as an escaped query, with signs that need not be escaped."""
+    words = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    url = F.concat(
+        F.lit("HTTPS://News.example.com:443//d/?utm_medium=x&q="), F.replace(F.url_encode(words), F.lit("+"), F.lit("%20")),
+        F.lit("&b=%7E%2a&a="), F.url_encode(F.col("lang")), F.lit("#f"),
+    )
+    docs = tb.table(spark, sf_dir, "documents").select("doc_id", url.alias("url"))
+    return docs.select("doc_id", canonical_url(F.col("url")).alias("norm_url"))
+
+
+@query
+def metadata_messages(spark, sf_dir):
+    """Messages of repository records: stars with separators, language, score and author."""
+    part = F.col("p_partkey")
+    text = F.lit(None).cast("string")
+    rows = tb.table(spark, sf_dir, "part").select(
+        part.cast("string").alias("id"), F.col("p_name").alias("title"),
+        F.concat(F.lit("https://code.example.com/"), part.cast("string")).alias("url"), F.lit("repos").alias("source"),
+        F.when(part % 3 != 0, F.concat(F.lit("own"), (part % 7).cast("string"))).alias("author"),
+        tb.after_base(part, 60).alias("published_at"), text.alias("description"),
+        F.array().cast("array<string>").alias("categories"),
+        metadata_of(
+            stars=F.when(part % 5 != 0, (part * 977).cast("string")).otherwise("12k+"),
+            language=F.when(part % 4 == 1, F.col("p_brand")), score=F.when(part % 6 == 2, F.col("p_size").cast("string")),
+        ).alias("metadata"),
+    )
+    return outbox.with_message(rows).select("id", "message")
+
+
+SYMBOLS = {"Sys": ["c++", "c#", "rust", " "], "Web": [" node.js", ".net", "go", ""]}
+PHRASES = [
+    "Modern C++ code", "Modern C++20 code", "All of (c#) here", "C# or Rust", "The .NET core", "Old asp.net core",
+    "Go, gopher", "On Node.js now", "cargo and rusty", "c++",
+]
+
+
+@query
+def rule_table_scores(spark, sf_dir):
+    """Rules from a validated table, with keywords that are no words, on phrases."""
+    rules = quality.rules_of(quality.rules_frame(spark, SYMBOLS), threshold=tb.RULES.threshold)
+    phrases = F.array(*[F.lit(p) for p in PHRASES])
+    pick = lambda n: F.get(phrases, (n % len(PHRASES)).cast("int"))
+    part = F.col("p_partkey")
+    rows = tb.table(spark, sf_dir, "part").select(
+        part, pick(part).alias("title"), pick(F.floor(part / len(PHRASES))).alias("description"),
+        F.array().cast("array<string>").alias("categories"),
+    )
+    return relevance.score(rows, rules).select("p_partkey", "relevance_score", _joined("categories"), _joined("matched_keywords"))
+
+
+@query
+def default_rule_scores(spark, sf_dir):
+    """The default rules on keywords of their own, one to a row."""
+    rules = relevance.Rules()
+    words = F.array(*[F.lit(w) for group in rules.categories.values() for w in group])
+    part = F.col("p_partkey")
+    word = F.element_at(words, (part % F.size(words)).cast("int") + 1)
+    rows = tb.table(spark, sf_dir, "part").select(
+        part, F.concat(F.lit("On "), F.upper(word), F.lit(" today")).alias("title"), F.lit(None).cast("string").alias("description"),
+        F.array().cast("array<string>").alias("categories"),
+    )
+    return relevance.score(rows, rules).select("p_partkey", (F.col("relevance_score") >= rules.title_weight).alias("found"))
+
+
 # -- incremental -----------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -560,6 +666,28 @@ def incremental_run(spark, sf_dir):
     return ArticleStore(spark, f"{path}/store").read().select("url", "title", "relevance_score", "sent")
 
 
+@query
+def incremental_payloads(spark, sf_dir):
+    """Landed feeds as a stream through the full run, delivered, and the batch run again."""
+    landed, sources = payloads.landed("twice", spark, sf_dir)
+    folder = scratch_path(spark, "landing")
+    landed.write.parquet(folder)
+    path = scratch_path(spark, "articles")
+    settings = Settings(rules=tb.RULES, max_age_hours=RUN_HOURS, notification_limit=K)
+    store = ArticleStore(spark, f"{path}/store")
+
+    def deliver(box: DataFrame) -> DataFrame:
+        number = F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint")
+        return box.select("id", (number % 4 != 0).alias("ok"), F.lit(tb.NOW).cast("timestamp").alias("sent_at"))
+
+    now = datetime.fromisoformat(tb.NOW)
+    incremental.incremental_run(
+        incremental.landed_payloads(spark, folder), sources, store.path, f"{path}/checkpoint", settings, now=now, deliver=deliver,
+    )
+    run(spark.read.schema(PAYLOAD_SCHEMA).parquet(folder), sources, store, settings, batch_id=1, now=now, deliver=deliver)
+    return store.read().select("url", "source", "relevance_score", "sent")
+
+
 @query
 def stream_freshness(spark, sf_dir):
     pages = tb.pages_as_raw(_stream(spark, sf_dir, "pages")).select("ord.pos", "published_at")
