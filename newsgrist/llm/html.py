@@ -44,13 +44,18 @@ _BLOCKS = {
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Words in class, id and role that name a part which is not the article.
 _SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|"
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|sense|sbygoogle|slot|unit|wrap|block|banner)|advert\w*|banner|sponsor\w*|promo\w*|"
+    r"cookies?|consent|gdpr|notices?|disclaimer|legal|privacy|discussion|"
     r"alerts?|popups?|modal|overlay|comments?|commentlist|disqus|replies|respond|responses|sidebars?|side|"
     r"aside|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|topbar|footer|foot|footnotes?bar|"
     r"copyright|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|"
     r"pagination|pager|tags|toolbar|skip|contentinfo|complementary|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
+# Names that only speak of such a part, and those of an article's own heading.
+_NOT_SIDE = re.compile(
+    r"\b(?:has|with|no|without|is)[-_][\w-]+|\b(?:article|entry|post|story|content)[-_](?:header|heading|title)\b", re.I
+)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MAIN_WORDS = re.compile(
     r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I
@@ -65,7 +70,7 @@ class Line:
 
 
 def _names(attributes: str) -> tuple[str, bool]:
-    """Class, id and role as one string, and whether the element is hidden."""
+    """Class, id, role and label as one string, and whether the element is hidden."""
     if "=" not in attributes and "hidden" not in attributes:
         return "", False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
@@ -75,7 +80,9 @@ def _names(attributes: str) -> tuple[str, bool]:
         or found.get("aria-hidden") == "true"
         or _HIDDEN.search("style:" + found.get("style", "")) and "style" in found
     )
-    return " ".join(found.get(k, "") for k in ("class", "id", "role")), hidden
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label"))
+    # camelCase is read as camel-Case
+    return _NOT_SIDE.sub(" ", re.sub("(?<=[a-z])(?=[A-Z])", "-", names)).strip(), hidden
 
 
 def lines_of(page: str) -> list[Line]:

@@ -32,6 +32,11 @@ CASES = {
     "quoted signs in attributes": ('<article><p title="a > b">x</p><img alt=">"><p>y</p></article>', "x y"),
     "cut off": ("<article><p>text <a href='x", "text"),
     "hidden parts": ('<article><p hidden>no</p><p style="display:none">no</p><p>yes</p></article>', "yes"),
+    "names that speak of other parts": (
+        '<div class="wrap has-sidebar"><div id="siteHeader">Site</div><div class="post-body"><div class="entry-header"><h1>Head</h1></div>'
+        '<p>Text of the page.</p><div class="readerComments">no</div><section aria-label="Comments">no</section></div></div>',
+        "Head Text of the page.",
+    ),
     "no markup": ("just text", "just text"),
     "only a menu": ("<nav><a>x</a></nav>", ""),
     "empty": ("", ""),
