@@ -4,69 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsgrist.functions.skew import stored_values, with_salted_lookup
+from newsgrist.functions.lineage import cut_lineage
+from newsgrist.functions.skew import having, rows_having
 from newsgrist.operators.filters import unsent
 
 
-def _present(store: DataFrame, column: str) -> DataFrame:
-    """Distinct non-empty values of one store column; only that column is read."""
-    return store.where(F.col(column) != "").select(column).distinct()
-
-
-def not_in_history(articles: DataFrame, store: DataFrame) -> DataFrame:
-    """JN-3: articles whose url and hash are both new.
-
-    Two equi anti-joins (one OR-join would be a nested loop). Run it after dedup: urls are
-    unique there, so no key is hot on either side.
-    """
-    return articles.join(_present(store, "url"), "url", "left_anti").join(
-        _present(store, "content_hash"), "content_hash", "left_anti"
-    )
+def not_in_history(articles: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
+    """JN-3: articles whose url and hash are both new. ``row_id`` is unique; urls may repeat."""
+    keys = cut_lineage(articles.select(row_id, "url", "content_hash"))
+    return articles.join(in_history(keys, store, row_id), row_id, "left_anti")
 
 
 def in_history(articles: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
-    """The other side of JN-3: ``row_id`` of articles whose url or hash is stored.
-
-    For articles at rest and unique by url, such as a run's records after dedup.
-    """
-    matches = [
-        articles.join(stored_values(store, articles, c), c, "left_semi").select(row_id)
-        for c in ("url", "content_hash")
-    ]
+    """The other side of JN-3: ``row_id`` of articles (data at rest) whose url or hash is
+    stored."""
+    matches = [rows_having(articles, row_id, c, store) for c in ("url", "content_hash")]
     return matches[0].union(matches[1]).distinct()
 
 
 def exists_flags(probes: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
     """JN-4: ``found`` per probe row, by id or url or content hash.
 
-    Null or empty identifiers match nothing. Probes may repeat a key any number of times, so
-    the lookups are salted by ``row_id``.
+    Null or empty identifiers match nothing; probes may repeat a key any number of times.
+    The probes themselves meet the answer once, by ``row_id``.
     """
-    found = F.lit(False)
-    flagged = probes
-    for column in ("id", "url", "content_hash"):
-        flag = f"_found_{column}"
-        known = _present(store, column).withColumn(flag, F.lit(True))
-        flagged = with_salted_lookup(flagged, known, column, row_id)
-        found = found | F.coalesce(F.col(flag), F.lit(False))
-    return flagged.withColumn("found", found).drop(
-        *[f"_found_{c}" for c in ("id", "url", "content_hash")]
-    )
+    keys = cut_lineage(probes.select(row_id, "id", "url", "content_hash"))
+    hits = rows_having(keys, row_id, "id", store)
+    for column in ("url", "content_hash"):
+        hits = hits.union(rows_having(keys, row_id, column, store))
+    hits = hits.distinct().withColumn("_found", F.lit(True))
+    found = F.coalesce("_found", F.lit(False))
+    return probes.join(hits, row_id, "left").withColumn("found", found).drop("_found")
 
 
 def lookup(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """JN-7: stored articles for a list of ids, urls or hashes, at most one per key.
 
-    Hashes may repeat in the store; the earliest row (``created_at``, ``id``) answers.
+    Hashes may repeat in the store; the earliest row (``created_at``, ``id``) answers. The
+    store is scanned, not shuffled, while the keys are few enough to be broadcast.
     """
-    wanted = keys.where(F.col(column).isNotNull()).select(column).distinct()
+    keys = cut_lineage(keys.select(column))
     if column != "content_hash":
-        return store.join(wanted, column, "left_semi")
-    candidates = with_salted_lookup(
-        store.select(column, "created_at", "id"), wanted, column, "id", how="inner"
-    )
+        return having(store, keys, column)
+    candidates = having(store.select(column, "created_at", "id"), keys, column)
     first = candidates.groupBy(column).agg(F.min(F.struct("created_at", "id")).alias("first"))
-    return store.join(first.select(F.col("first.id").alias("id")), "id", "left_semi")
+    return having(store, cut_lineage(first.select(F.col("first.id").alias("id"))), "id")
 
 
 def top_unsent(store: DataFrame, min_score: float, limit: int) -> DataFrame:
