@@ -37,9 +37,10 @@ def score_job(raw: DataFrame, rules: Rules) -> DataFrame:
 
 
 def batch_job(raw: DataFrame, rules: Rules, known: DataFrame | None = None) -> DataFrame:
-    """JOB-2: normalize, dedup, then score; irrelevant rows stay."""
+    """JOB-2: normalize, dedup, then score; irrelevant rows stay. Normalized once: dedup
+    reads the keys first and the articles at its end."""
     good, _ = split_quarantine(with_order(raw))
-    articles = normalize(good)
+    articles = cut_lineage(normalize(good))
     return score(drop_duplicates(articles, normalized=True, known=known), rules, normalized=True)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from newsgrist.functions.lineage import scratch_path
+from newsgrist.functions.lineage import cut_lineage, scratch_path
 from newsgrist.functions.patterns import matched_keywords
 from newsgrist.functions.text import clean_text
 from newsgrist.functions.urls import canonical_url
@@ -195,7 +195,8 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 @query
 def dedup_first(spark, sf_dir):
-    return drop_duplicates(_documents(spark, sf_dir), normalized=True).select("doc_id", "url")
+    rows = cut_lineage(_documents(spark, sf_dir))
+    return drop_duplicates(rows, normalized=True).select("doc_id", "url")
 
 
 @query
@@ -227,7 +228,7 @@ def dedup_preloaded(spark, sf_dir):
 @query
 def dedup_events(spark, sf_dir):
     """Heavy clashes: five titles per user share few urls."""
-    rows = tb.articles(tb.event_feed(spark, sf_dir))
+    rows = cut_lineage(tb.articles(tb.event_feed(spark, sf_dir)))
     return drop_duplicates(rows, normalized=True).select("event_id", "url", "title")
 
 
@@ -235,7 +236,7 @@ def dedup_events(spark, sf_dir):
 
 @query
 def history_anti(spark, sf_dir):
-    new = history.not_in_history(_documents(spark, sf_dir), tb.history(spark, sf_dir))
+    new = history.not_in_history(cut_lineage(_documents(spark, sf_dir)), tb.history(spark, sf_dir))
     return new.select("doc_id", "url")
 
 
