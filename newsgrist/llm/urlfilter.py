@@ -83,9 +83,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     name = F.unhex(F.md5(F.to_json(F.struct("capture_id", "url", F.unix_micros("fetched_at").alias("at"))).cast("binary")))
     asked = base.where("fetched_at is not null and url is not null").distinct().withColumn("capture", name)
     probes = asked.select("capture", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key"))
-    # Keys on no list need no pass in time.
-    listed = spans.select("key").distinct()
-    probes = probes.withColumn("salt", salt_of("capture", SALTS))
+    # Keys on no list need no pass in time; a capture asks each list that has its key.
+    listed = spans.groupBy("key").agg(F.collect_set("list").alias("lists"))
+    probes = probes.withColumn("salt", salt_of("capture", SALTS)).repartition("key", "salt")
     pairs = probes.select("key", "salt").distinct().join(listed, "key")
     changes = spans.select("list", "key", F.inline(F.array(
         F.struct(F.col("valid_from").alias("at"), F.lit(True).alias("on")), F.struct(F.col("valid_to").alias("at"), F.lit(False).alias("on")),
@@ -93,10 +93,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     marks = changes.join(pairs, "key").select(
         "key", "salt", "at", F.lit(0).alias("kind"), "list", "on", F.lit(None).cast("binary").alias("capture")
     )
-    wanted = probes.join(pairs, ["key", "salt"], "left_semi")
-    # A capture asks each list that has its key.
-    questions = wanted.join(spans.select("key", "list").distinct().join(pairs, "key"), ["key", "salt"]).select(
-        "key", "salt", F.col("fetched_at").alias("at"), F.lit(1).alias("kind"), "list", F.lit(None).cast("boolean").alias("on"), "capture"
+    questions = probes.join(pairs, ["key", "salt"]).select(
+        "key", "salt", F.col("fetched_at").alias("at"), F.lit(1).alias("kind"), F.explode("lists").alias("list"),
+        F.lit(None).cast("boolean").alias("on"), "capture",
     )
     as_of = Window.partitionBy("key", "salt", "list").orderBy("at", "kind", "on").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     answered = marks.unionByName(questions).withColumn("active", F.last("on", ignorenulls=True).over(as_of))
