@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgrist.llm.common import small_batches
+from newsgrist.llm.minhash import features
 from newsgrist.llm.shingles import U, WIDTH, mix, shingle_hashes
 
 THRESHOLD = 0.8
 BITS = 256
-# At similarity 0.8 two fingerprints differ in 39 bits on average, by 5.7 bits either way:
-# 63 is over four deviations away.
+# Copies of a shingle vote as elements of their own, so a bit differs with a chance that
+# depends on the similarity alone: at 0.8 at most arccos(8/9) / pi. Two fingerprints then
+# differ in 39 bits on average, by 5.7 bits either way: 63 is over four deviations away.
 RADIUS = 63
 # The benchmark goes through in blocks of at most so many text bytes and items; every task
 # gets one block at a time, whatever the benchmark's size.
@@ -35,9 +37,10 @@ _FILTER_BITS = 22
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
-    """``BITS`` bits as bytes; each shingle votes on every bit, once for each occurrence."""
+    """``BITS`` bits as bytes; each element of ``features`` votes once on every bit."""
     lanes = np.arange(BITS // 64, dtype=U) * U(0xD1B54A32D192ED03)
-    words = mix(shingles[:, None] ^ lanes[None, :])
+    elements = features(*np.unique(shingles, return_counts=True))
+    words = mix(elements[:, None] ^ lanes[None, :])
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles))
 

@@ -118,3 +118,19 @@ def test_fingerprints_of_similar_windows_are_near():
             if change:
                 b[rng.choice(n, change, replace=False)] = rng.integers(0, 1 << 63, change).astype(np.uint64)
             assert np.unpackbits(simhash(a) ^ simhash(b)).sum() <= RADIUS
+
+
+def test_repeated_runs(spark, docs):
+    """A long run of one word that became another word: few shingles differ, many times."""
+    items, documents = [], []
+    for n, (words, run) in enumerate([(250, 20), (400, 30), (180, 15)] * 3):
+        body = [f"p{n}w{k}" for k in range(words - run)]
+        at = len(body) * (n + 1) // 11
+        items.append((n, " ".join(body[:at] + ["old"] * run + body[at:])))
+        documents.append((n, " ".join(["before"] * 7 + body[:at] + ["new"] * run + body[at:] + ["after"] * 7)))
+        documents.append((100 + n, " ".join(body[:at] + ["new"] * (3 * run) + body[at:])))
+    goal = expected(documents, items)
+    assert all((n, n) in goal for n in range(9)) and all(x < 0.9 for x in goal.values())
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(spark, docs(documents), benchmark).collect()}
+    assert got.keys() == goal.keys() and all(abs(got[k] - goal[k]) < 1e-9 for k in goal)
