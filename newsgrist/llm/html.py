@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,29 @@ _BLOCKS = {
     "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Where end tags may be left out: a start tag ends the open elements of ``_ENDS[name]`` that
+# are not beyond one of ``_BOUNDS[name]``.
+_ENDS_P = {
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre",
+    "section", "summary", "table", "ul",
+} | _HEADINGS
+_CELLS = {"td", "th", "caption"}
+_ROWS = {"tr"} | _CELLS
+_GROUPS = {"tbody", "thead", "tfoot"} | _ROWS
+_ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": _CELLS, "th": _CELLS, "tr": _ROWS,
+    "tbody": _GROUPS, "thead": _GROUPS, "tfoot": _GROUPS, "option": {"option"}, "optgroup": {"option", "optgroup"},
+}
+_BOUNDS = {
+    name: ends | {"table"} if ends & _CELLS else {"select"} if "option" in ends else _BLOCKS - {"address", "div", "p"} - ends
+    for name, ends in _ENDS.items()
+}
+_P_BOUNDS = _SKIPPED | _CELLS | {"table"}
+# End tags of these also end what was left open in a table; others stay inside their cell.
+_SECTIONS = {"article", "main", "section", "body", "html", "header", "footer", "nav", "aside"}
+_IN_HEAD = _RAW | {"base", "basefont", "bgsound", "link", "meta", "noscript", "template", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Words in class, id and role that name a part which is not the article.
 _SIDE_WORDS = re.compile(
@@ -85,17 +109,78 @@ def _names(attributes: str) -> tuple[str, bool]:
     return _NOT_SIDE.sub(" ", re.sub("(?<=[a-z])(?=[A-Z])", "-", names)).strip(), hidden
 
 
+class _Open:
+    """Names of the open elements, outermost first."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.counts: Counter[str] = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.counts[name] += 1
+
+    def cut(self, size: int) -> None:
+        for name in self.names[size:]:
+            self.counts[name] -= 1
+        del self.names[size:]
+
+    def _innermost(self, names: set[str], bounds: set[str]) -> int | None:
+        if not any(self.counts[n] for n in names):
+            return None
+        for k in range(len(self.names) - 1, -1, -1):
+            if self.names[k] in names:
+                return k
+            if self.names[k] in bounds:
+                return None
+        return None
+
+    def start(self, name: str) -> None:
+        """Close what a start tag of this name ends without an end tag."""
+        if name in _ENDS_P and (k := self._innermost({"p"}, _P_BOUNDS)) is not None:
+            self.cut(k)
+        while name in _ENDS and (k := self._innermost(_ENDS[name], _BOUNDS[name] - _ENDS[name])) is not None:
+            self.cut(k)
+
+    def end(self, name: str) -> int | None:
+        """Close the innermost element of this name and, if it is a block, all inside it;
+        its place, or null if there is none."""
+        if name not in _BLOCKS and name not in _SKIPPED:
+            k = self._innermost({name}, set())
+            if k is not None:
+                inner = self.names[k + 1 :]
+                self.cut(k)
+                if any(n in _BLOCKS for n in inner):  # blocks that reach beyond it stay open
+                    for n in inner:
+                        self.push(n)
+            return k
+        if name in _SECTIONS:
+            bounds: set[str] = set()
+        elif name in _GROUPS or name == "table":
+            bounds = {"table"}
+        elif name == "li":
+            bounds = _CELLS | {"table", "ul", "ol", "menu", "dir"}
+        else:
+            bounds = _CELLS | {"table"} | ({"dl"} if name in ("dt", "dd") else set())
+        k = self._innermost({name}, bounds)
+        if k is not None:
+            self.cut(k)
+        return k
+
+
 def lines_of(page: str) -> list[Line]:
     """Lines of a page in its order, without what its markup sets aside.
 
-    A part that is set aside ends with its own closing tag, counting tags of its name
-    inside. One that never closes ends where the article begins.
+    A part that is set aside ends with its own end tag, with a start tag that implies this
+    end, or with the end of an element around it. One that never closes ends where the
+    article begins.
     """
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     links = 0
-    skipped, depth = "", 0  # name of the part being left out, and open tags of that name
+    open_ = _Open()
+    skipped, skipped_at = "", 0  # name of the part being left out, and its place in ``open_``
     skipped_by_name = False
     # Open elements that mark the main part: (name, kind, open tags of that name inside).
     marks: list[list] = []
@@ -127,11 +212,17 @@ def lines_of(page: str) -> list[Line]:
         name = name.lower()
         if token["end"]:
             if skipped:
-                if name == skipped:
-                    depth -= 1
-                    if not depth:
-                        skipped = ""
-                continue
+                inline = name not in _BLOCKS and name not in _SKIPPED
+                if inline and name not in open_.names[skipped_at:]:
+                    continue  # text signs around the part do not end it
+                k = open_.end(name)
+                if k is None or k > skipped_at:
+                    continue
+                skipped = ""
+                if k == skipped_at:
+                    continue
+            else:
+                open_.end(name)
             if name in _BLOCKS:
                 flush()
             if name == "a":
@@ -148,13 +239,20 @@ def lines_of(page: str) -> list[Line]:
             close = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
             at = close.end() if close else size
             continue
+        if name in _ENDS_P or name in _ENDS:
+            open_.start(name)
+            if skipped and len(open_.names) <= skipped_at:
+                skipped = ""
         if skipped:
             opens_article = name in ("article", "main") and not seen_article and not _SIDE_WORDS.search(_names(attributes)[0])
-            ends_head = skipped == "head" and name == "body"
+            in_head = skipped == "head" and len(open_.names) == skipped_at + 1
+            ends_head = skipped == "head" and name == "body" or in_head and name not in _IN_HEAD
             if not ends_head and not (opens_article and skipped_by_name):
-                depth += name == skipped and name not in _VOID
+                if name not in _VOID and not attributes.endswith("/"):
+                    open_.push(name)
                 continue
-            skipped, depth = "", 0
+            open_.cut(skipped_at)
+            skipped = ""
         if name in _BLOCKS:
             flush()
         if name in _VOID:
@@ -166,19 +264,21 @@ def lines_of(page: str) -> list[Line]:
             side = False
         if (name in _SKIPPED and not own_header) or side or (hidden and name not in ("html", "body")):
             if not attributes.endswith("/"):
-                skipped, depth = name, 1
+                skipped, skipped_at = name, len(open_.names)
+                open_.push(name)
                 skipped_by_name = name in ("div", "section", "aside", "header", "nav", "ul", "p", "span")
             continue
         if name == "a":
             links += 1
+        if not attributes.endswith("/"):
+            open_.push(name)
         for m in marks:
             m[2] += m[0] == name
         kind = 2 if name == "article" or "article" in names.lower().split() else 1 if name == "main" or _MAIN_WORDS.search(names) and name in ("div", "section", "td") else 0
         if kind:
             marks.append([name, kind, 1])
             seen_article = seen_article or kind == 2
-    if not skipped:
-        flush()
+    flush()
     return out
 
 

@@ -50,6 +50,33 @@ def test_cases(name):
     assert main_text(page) == text
 
 
+END_TAGS_LEFT_OUT = {
+    "paragraph": ('<article><p class="share">Share this<p>Text one<p>Text two</article>', "Text one Text two"),
+    "paragraph before another block": ('<article><p class="share">Share <b>this<div>Text</div><ul><li>one</ul></article>', "Text one"),
+    "paragraph at the end of what is around it": ('<article><div><p class="share">Share</div>Text</article>', "Text"),
+    "inline part in a paragraph": ('<article><p>Text <span class="ad">Buy<p>more</article>', "Text more"),
+    "inline part at the end": ('<article><p>Text <span class="ad">Buy', "Text"),
+    "item": ('<article><ul><li class="share">Share <ul><li>x<li>y</ul> z<li>One<li>Two</ul>end</article>', "One Two end"),
+    "last item": ('<article><ul><li>One<li class="share">Share</ul>end</article>', "One end"),
+    "term and description": ('<article><dl><dt class="ad">Ad<dd>One<dt>Two<dd class="ad">x</dl>end</article>', "One Two end"),
+    "cells and rows": (
+        '<article><table><tr><td class="ad">Ad<td>One<tr><td>Two<td class="ad">Ad<tr class="ad"><td>x<tr><td>Three</table>end</article>',
+        "One Two Three end",
+    ),
+    "table inside": ('<article><div class="ad"><table><tr><td>x</div><td>y</table>z</div><p>Text</article>', "Text"),
+    "inline end tags around a part": ('<article><b><div class="ad">x</b> y</div>Text</article>', "Text"),
+    "block inside an inline part": ('<article><span class="ad">x<p>y</span> <p>Text</article>', "Text"),
+    "head": ("<head><title>T</title><style>x</style><h1>Head</h1><p>Text of the page", "Head Text of the page"),
+    "part that never closes, in the article": ('<article><p>Text</p><div class="ad">x</article><div class="footer">f</div>', "Text"),
+}
+
+
+@pytest.mark.parametrize("name", END_TAGS_LEFT_OUT)
+def test_end_tags_left_out(name):
+    page, text = END_TAGS_LEFT_OUT[name]
+    assert main_text(page) == text
+
+
 def test_windows():
     assert window_sums([1, 0, 2, 3], 3) == [3, 5, 5, 3]
     assert window_sums([], 3) == []
