@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,6 +91,8 @@ class Line:
     text: str
     linked: int  # characters inside links
     main: int  # 2 inside an article, 1 inside another main part, 0 elsewhere
+    part: int = 0  # number of the outermost main part around it that is no article
+    heading: bool = False
 
 
 def _names(attributes: str) -> tuple[str, bool]:
@@ -177,22 +179,24 @@ def lines_of(page: str) -> list[Line]:
     """
     out: list[Line] = []
     parts: list[str] = []
-    linked = 0
+    linked, heading = 0, False
     links = 0
     open_ = _Open()
     skipped, skipped_at = "", 0  # name of the part being left out, and its place in ``open_``
     skipped_by_name = False
-    # Open elements that mark the main part: (name, kind, open tags of that name inside).
+    # Open elements that mark the main part: (name, kind, open tags of that name inside, number).
     marks: list[list] = []
+    n_marks = 0
     seen_article = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Line(text, linked, max((m[1] for m in marks), default=0)))
+            part = next((m[3] for m in marks if m[1] == 1), 0)
+            out.append(Line(text, linked, max((m[1] for m in marks), default=0), part, heading))
         parts.clear()
-        linked = 0
+        linked, heading = 0, False
 
     at, size = 0, len(page)
     while at < size:
@@ -201,6 +205,7 @@ def lines_of(page: str) -> list[Line]:
         if text and not skipped:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
+            heading = heading or not text.isspace() and any(open_.counts[h] for h in _HEADINGS)
             if links:
                 linked += len(text.strip())
         if not token:
@@ -276,7 +281,8 @@ def lines_of(page: str) -> list[Line]:
             m[2] += m[0] == name
         kind = 2 if name == "article" or "article" in names.lower().split() else 1 if name == "main" or _MAIN_WORDS.search(names) and name in ("div", "section", "td") else 0
         if kind:
-            marks.append([name, kind, 1])
+            n_marks += 1
+            marks.append([name, kind, 1, n_marks])
             seen_article = seen_article or kind == 2
     flush()
     return out
@@ -290,16 +296,38 @@ def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
     return [total[min(i + window, len(weights))] - total[i] for i in range(len(weights))]
 
 
+def _leads(lines: list[Line]) -> list[int]:
+    """Heading and lead: lines before the first article of a main part, in that part."""
+    out: list[int] = []
+    before: dict[int, list[int]] = defaultdict(list)
+    done = {0}
+    for i, line in enumerate(lines):
+        if line.part in done:
+            continue
+        if line.main == 2:
+            out += before.pop(line.part, [])
+            done.add(line.part)
+        elif line.heading or 2 * line.linked < len(line.text):
+            before[line.part].append(i)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The text between surge and dive, blocks joined by a space; empty if there is none."""
     if not page:
         return ""
     lines = lines_of(page)
     region = max((line.main for line in lines), default=0)
-    if region == 1 and sum(len(x.text) for x in lines if x.main) * 2 < sum(len(x.text) for x in lines):
-        region = 0  # a name that does not hold most of the text does not mark the article
+    # Marks that do not hold most of the text outside links do not mark the article: a
+    # teaser, a name.
+    own = [max(0, len(x.text) - x.linked) for x in lines]
+    while region and 2 * sum(n for n, x in zip(own, lines) if x.main >= region) < sum(own):
+        region -= 1
     if region:
         weights = [len(x.text) if x.main >= region else 0 for x in lines]
+        if region == 2:
+            for i in _leads(lines):
+                weights[i] = len(lines[i].text)
         level = 1
     else:
         weights = [len(x.text) if 2 * x.linked < len(x.text) else 0 for x in lines]

@@ -50,6 +50,31 @@ def test_cases(name):
     assert main_text(page) == text
 
 
+LONG = "A long body that goes on with many words, as the text of a page does."
+ARTICLES_IN_MAIN_PARTS = {
+    "teaser below the text": (
+        f'<main><h1>Title</h1><p>{LONG}</p><section class="more"><article class="card">Teaser</article></section></main>',
+        f"Title {LONG} Teaser",
+    ),
+    "teaser named article": (f'<main><p>{LONG}</p><div class="article">Teaser</div></main>', f"{LONG} Teaser"),
+    "teaser on an unmarked page": (f"<body><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div><article>Teaser</article></div></body>", f"Title {LONG} {LONG} Teaser"),
+    "heading and lead": (
+        f'<div>Site</div><main><div><a href="/">Home</a></div><h1><a href="/t">Title</a></h1><p>lead</p><article><p>{LONG}</p></article><p>after</p></main>',
+        f"Title lead {LONG}",
+    ),
+    "heading of a named part": (f'<div class="content"><h1>Title</h1><article>{LONG}</article></div>', f"Title {LONG}"),
+    "menu beside a short article": (f'<div><a href="/a">{LONG}</a> <a href="/b">{LONG}</a></div><article>Short</article>', "Short"),
+    "heading with an unclosed part": (f'<main><h1><a>Title</a> <span class="ad">x</h1>lead<article>{LONG}</article></main>', f"Title lead {LONG}"),
+    "no main part": (f"<div><h1>Site</h1></div><article>{LONG}</article>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", ARTICLES_IN_MAIN_PARTS)
+def test_articles_in_main_parts(name):
+    page, text = ARTICLES_IN_MAIN_PARTS[name]
+    assert main_text(page) == text
+
+
 END_TAGS_LEFT_OUT = {
     "paragraph": ('<article><p class="share">Share this<p>Text one<p>Text two</article>', "Text one Text two"),
     "paragraph before another block": ('<article><p class="share">Share <b>this<div>Text</div><ul><li>one</ul></article>', "Text one"),
