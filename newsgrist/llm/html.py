@@ -76,6 +76,16 @@ _SIDE_WORDS = re.compile(
     r"pagination|pager|tags|toolbar|skip|contentinfo|complementary|hidden|sr-only)(?=$|[\s_-])",
     re.I,
 )
+# Inside an article only words of adverts, comments and sharing count, and roles that stand
+# for elements which are left out: other words also name parts of its text.
+_SIDE_IN_ARTICLE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|sense|sbygoogle|slot|unit|wrap|block|banner)|advert\w*|sponsor(?:s|ed|ship)?|promos?|promoted|"
+    r"comments?|commentlist|disqus|replies|share(?![_-](?:price|holder|index|value))|sharing|sharethis|addthis|"
+    r"social[_-](?:links?|buttons?|icons?|bar)|cookies?[_-](?:notice|banner|bar|consent))(?=$|[\s_-])",
+    re.I,
+)
+_SIDE_ROLES = {"navigation", "search", "complementary", "contentinfo", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
+_TITLED = re.compile(r"(?:\s|<!--.*?-->|<(?:div|header|hgroup)\b[^>]*>)*+<h[1-6]\b", re.I | re.S)
 # Names that only speak of such a part, and those of an article's own heading.
 _NOT_SIDE = re.compile(
     r"\b(?:has|with|no|without|is)[-_][\w-]+|\b(?:article|entry|post|story|content)[-_](?:header|heading|title)\b", re.I
@@ -95,20 +105,39 @@ class Line:
     heading: bool = False
 
 
+def _values(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+
+
+def _words(found: dict[str, str], *keys: str) -> str:
+    names = " ".join(found.get(k, "") for k in keys)
+    # camelCase is read as camel-Case
+    return _NOT_SIDE.sub(" ", re.sub("(?<=[a-z])(?=[A-Z])", "-", names)).strip()
+
+
+def _side_in_article(name: str, attributes: str, page: str, at: int) -> bool:
+    """Whether a part of an article is no text of it. Its id and label count only if it is a
+    plain container without a title."""
+    found = _values(attributes)
+    if _SIDE_IN_ARTICLE.search(_words(found, "class", "role")) or _SIDE_ROLES & set(found.get("role", "").lower().split()):
+        return True
+    if name not in ("div", "section", "ul", "ol", "span") or not _SIDE_IN_ARTICLE.search(_words(found, "id", "aria-label")):
+        return False
+    return "aria-labelledby" not in found and not _TITLED.match(page, at)
+
+
 def _names(attributes: str) -> tuple[str, bool]:
     """Class, id, role and label as one string, and whether the element is hidden."""
     if "=" not in attributes and "hidden" not in attributes:
         return "", False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+    found = _values(attributes)
     bare = _ATTRIBUTE.sub(" ", attributes)
     hidden = bool(
         re.search(r"(?:^|\s)hidden(?:\s|/|$)", bare)
         or found.get("aria-hidden") == "true"
         or _HIDDEN.search("style:" + found.get("style", "")) and "style" in found
     )
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label"))
-    # camelCase is read as camel-Case
-    return _NOT_SIDE.sub(" ", re.sub("(?<=[a-z])(?=[A-Z])", "-", names)).strip(), hidden
+    return _words(found, "class", "id", "role", "aria-label"), hidden
 
 
 class _Open:
@@ -265,6 +294,8 @@ def lines_of(page: str) -> list[Line]:
         names, hidden = _names(attributes)
         own_header = name == "header" and any(m[1] == 2 for m in marks)
         side = bool(names) and name not in ("html", "body") and bool(_SIDE_WORDS.search(names))
+        if side and any(m[1] == 2 and m[0] not in ("html", "body") for m in marks):
+            side = _side_in_article(name, attributes, page, at)
         if side and name in ("article", "main") and not re.search(r"comment|repl(?:y|ies)", names, re.I):
             side = False
         if (name in _SKIPPED and not own_header) or side or (hidden and name not in ("html", "body")):
@@ -342,7 +373,12 @@ def main_text(page: str | None) -> str:
         start += 1
     end = high[-1]
     stop = end + WINDOW
-    return " ".join(x.text for x, w in zip(lines[start:stop], weights[start:stop]) if w)
+    found = list(zip(lines[start:stop], weights[start:stop]))
+    while not found[-1][1]:
+        found.pop()
+    # Outside the region lines are left out; of an unmarked page all between surge and dive
+    # stay, lists of links too.
+    return " ".join(x.text for x, w in found if w or not region)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

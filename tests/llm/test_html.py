@@ -75,6 +75,38 @@ def test_articles_in_main_parts(name):
     assert main_text(page) == text
 
 
+NAMES_IN_ARTICLES = {
+    "ids of parts": (
+        '<article><section id="privacy"><p>One</p></section><h2 id="related-work">Two</h2><h2 id="search">Three</h2>'
+        '<section id="discussion">Four</section><p id="legal">Five</p></article>',
+        "One Two Three Four Five",
+    ),
+    "classes": ('<article><figure class="side-by-side">One</figure><p class="disclaimer">Two</p><p class="share-price">Three</p></article>', "One Two Three"),
+    "ids and labels of titles": (
+        '<article><h2 id="comments">One</h2><p id="share">Two</p><section id="sharing"><header><h3>Three</h3></header>four</section>'
+        '<section aria-label="Comments"><h3>five</h3></section></article>',
+        "One Two Three four five",
+    ),
+    "adverts, comments, sharing": (
+        '<article>One<div class="ad-slot">x</div><p class="share-buttons">x</p><div id="comments">x</div><section aria-label="Comments">x</section>'
+        '<section class="readerComments"><h3>x</h3></section><div role="navigation">x</div><p class="sponsored">x</p><p>Two</p></article>',
+        "One Two",
+    ),
+    "page marked as a whole": (f'<body class="article"><div class="sidebar">x</div><p>{LONG}</p></body>', LONG),
+    "links between surge and dive": (
+        f'<body><div><a href="/">Home</a></div><p>{LONG}</p><ul><li><a href="/1">Source one</a><li><a href="/2">Source two</a></ul><p>{LONG}</p>'
+        '<div><a href="/n">Next</a></div></body>',
+        f"{LONG} Source one Source two {LONG}",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", NAMES_IN_ARTICLES)
+def test_names_in_articles(name):
+    page, text = NAMES_IN_ARTICLES[name]
+    assert main_text(page) == text
+
+
 END_TAGS_LEFT_OUT = {
     "paragraph": ('<article><p class="share">Share this<p>Text one<p>Text two</article>', "Text one Text two"),
     "paragraph before another block": ('<article><p class="share">Share <b>this<div>Text</div><ul><li>one</ul></article>', "Text one"),
