@@ -19,12 +19,13 @@ ROUNDS = 8  # even, so that the halves end where they were
 
 _ALONE = r"(?<![0-9A-Za-z])"
 _END = r"(?![0-9A-Za-z])"
+_TIME = r"[Tt](?:[01][0-9]|2[0-4])(?::?[0-5][0-9]|[Zz]?(?![0-9A-Za-z]))"
 # Fixed formats, first match wins.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": _ALONE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "iso_date": _ALONE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|-[0-9])",
+    "iso_date": _ALONE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=" + _TIME + r")|(?![0-9A-Za-z]|-[0-9]))",
     "dot_date": r"(?<![0-9A-Za-z.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z]|\.[0-9])",
     "slash_date": r"(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z]|/[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
@@ -32,8 +33,13 @@ PATTERNS: dict[str, str] = {
         r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
     ),
-    "card": _ALONE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
 }
+# A run of digit groups of any length, up to where another format begins; cards are looked
+# for inside it. Possessive, so that long tables of numbers need no deep stack.
+PATTERNS["card"] = (
+    _ALONE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -](?!" + "|".join(f"(?:{p})" for p in PATTERNS.values())
+    + r")[0-9]++(?![A-Za-z]))*+"
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What every match contains; other texts are passed on as they are.
 HINT = "[0-9]{2}|@"
@@ -278,6 +284,70 @@ def pseudonym(value: Column, key: str) -> Column:
     return found
 
 
+def _cards_in(tokens: Column) -> Column:
+    """``at, groups, digits`` of the cards in a run of digit groups (``tokens``: groups and
+    separators by turns): the longest valid one from each group on; of those that overlap,
+    the longest, and the first of equals."""
+    n_groups = F.floor((F.size(tokens) + 1) / 2).cast("int")
+    text = lambda at, n: F.array_join(F.slice(tokens, 2 * at - 1, 2 * n - 1), "")
+
+    def checked(at: Column, n: Column) -> Column:
+        def one(digits: Column) -> Column:
+            good = F.length(digits).between(13, 19) & ~digits.startswith("0") & F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0)
+            return F.when(good, F.struct(at.alias("at"), n.alias("groups"), F.length(digits).alias("digits")))
+
+        return let(_digits(text(at, n)), one)
+
+    def valid(at: Column) -> Column:
+        sizes = F.sequence(F.least(F.lit(19), n_groups - at + 1), F.lit(1), F.lit(-1))
+        return F.filter(F.transform(sizes, lambda n: checked(at, n)), lambda c: c.isNotNull())
+
+    first = lambda at: F.get(valid(at), F.lit(0))  # noqa: E731  null if none is valid
+    card = "struct<at:int,groups:int,digits:int>"
+    none = F.lit(None).cast(card)
+    after = lambda a, b: a["at"] + a["groups"] <= b["at"]
+
+    def step(state: Column, c: Column) -> Column:
+        done, last, lost = state["done"], state["last"], state["lost"]
+        fresh = last.isNull() | after(last, c)
+        won = ~fresh & (c["digits"] > last["digits"])
+        free = won & lost.isNotNull() & after(lost, c)  # lost to one that now loses
+        more = F.when(fresh & last.isNotNull(), F.concat(done, F.array(last))).when(free, F.concat(done, F.array(lost))).otherwise(done)
+        return F.struct(
+            more.alias("done"), F.when(fresh | won, c).otherwise(last).alias("last"),
+            F.when(fresh | free, none).when(won, last).otherwise(lost).alias("lost"),
+        )
+
+    start = F.struct(F.array().cast(f"array<{card}>").alias("done"), none.alias("last"), none.alias("lost"))
+    found = F.filter(F.transform(F.sequence(F.lit(1), n_groups), first), lambda c: c.isNotNull())
+    return F.aggregate(found, start, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+
+
+def _piece(text: Column, is_value: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(is_value).alias("is_value"))
+
+
+def _run_pieces(run: Column) -> Column:
+    """A run of digit groups as the cards in it and the text between them."""
+
+    def cut(v: Column) -> Column:
+        tokens, cards = v["tokens"], v["cards"]
+        joined = lambda first, n: F.array_join(F.slice(tokens, first, n), "")
+        # first token after a card
+        behind = lambda c: 2 * (c["at"] + c["groups"] - 1)
+
+        def one(c: Column, i: Column) -> Column:
+            first = F.when(i == 0, F.lit(1)).otherwise(behind(F.get(cards, i - 1)))
+            return F.array(_piece(joined(first, 2 * c["at"] - 1 - first), False), _piece(joined(2 * c["at"] - 1, 2 * c["groups"] - 1), True))
+
+        rest = F.when(F.size(cards) == 0, F.lit(1)).otherwise(behind(F.element_at(cards, -1)))
+        return F.concat(F.flatten(F.transform(cards, one)), F.array(_piece(joined(rest, F.size(tokens) - rest + 1), False)))
+
+    tokens = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]"), F.lit(0))
+    both = lambda t: F.struct(t.alias("tokens"), _cards_in(t).alias("cards"))
+    return let(let(tokens, both), cut)
+
+
 def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, found`` for every row: the text with pseudonyms, and these in order
     as ``kind, value``.
@@ -290,15 +360,20 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     parts = F.split(text, ANY, -1)
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(matches, lambda m: let(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), F.coalesce(p["value"], m).alias("value"))))
-    hinted = text.rlike(HINT)
-    rows = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text",
-        F.when(hinted, new).alias("new"), F.when(hinted, parts).alias("parts"),
-    )
-    # zip_with gives a null value after the last part.
-    joined = F.array_join(F.zip_with("parts", "new", lambda p, n: F.concat(p, F.coalesce(n["value"], F.lit("")))), "")
+
+    def pieces(part: Column, match: Column) -> Column:
+        # zip_with gives a null match after the last part.
+        values = F.when(match.rlike(_whole(PATTERNS["card"])), _run_pieces(match)).when(match.isNotNull(), F.array(_piece(match, True)))
+        return F.when(match.isNull(), F.array(_piece(part, False))).otherwise(F.concat(F.array(_piece(part, False)), values))
+
+    def shown(piece: Column) -> Column:
+        made = F.when(piece["is_value"], pseudonym(piece["text"], key))
+        return let(made, lambda p: F.struct(p["kind"].alias("kind"), F.coalesce(p["value"], piece["text"]).alias("value")))
+
+    new = F.transform(F.flatten(F.zip_with(parts, matches, pieces)), shown)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.when(text.rlike(HINT), new).alias("new"))
+    joined = F.array_join(F.transform("new", lambda n: n["value"]), "")
     return rows.select(
-        "doc_id", F.when(F.col("parts").isNull(), F.col("text")).otherwise(joined).alias("text"),
+        "doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(joined).alias("text"),
         F.coalesce(F.filter("new", lambda n: n["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")).alias("found"),
     )

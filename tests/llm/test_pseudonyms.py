@@ -58,6 +58,36 @@ def test_cards(docs):
     assert new[5:] == given[5:]
 
 
+def test_cards_beside_other_numbers(docs):
+    card, other = "4111111111111111", "378282246310005"
+    spaced = "4111 1111 1111 1111"
+    given = [
+        f"{card} 123", f"{spaced} 12/25", f"order 7 {card}", f"12 33 {spaced} 57-78", f"{card} {other} 9", f"1-{spaced.replace(' ', '-')}-2",
+        f"{card} 2024-05-05", f"{card} 22.206.191.89", f"{card} 547-555-0128", f"{card} 547.555.0128", f"{card} 12ab", f"{card} 2024-05-05T10:00:00Z",
+        "1 2 3 4 5 6 7 8 9 10 11 12", "12345678901234567890", f"{card}2 1",
+    ]
+    alone = run(docs, [card, spaced, other, "2024-05-05", "22.206.191.89", "547-555-0128", "547.555.0128", spaced.replace(" ", "-")])
+    c, sp, o, day, ip, phone, dotted, hyphens = alone
+    assert run(docs, given) == [
+        f"{c} 123", f"{sp} 12/25", f"order 7 {c}", f"12 33 {sp} 57-78", f"{c} {o} 9", f"1-{hyphens}-2",
+        f"{c} {day}", f"{c} {ip}", f"{c} {phone}", f"{c} {dotted}", f"{c} 12ab", f"{c} {day}T10:00:00Z", *given[12:],
+    ]
+    found = pseudonymise(docs([(1, given[4])]), KEY).first().found
+    assert [(f.kind, f.value) for f in found] == [("card", c), ("card", o)]
+
+
+def test_dates_of_timestamps(docs):
+    given = ["2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05t10", "2024-01-05T1000+01:00", "at 2024-01-05T10Z.", "2024-01-05Tx", "2024-01-05T99:00"]
+    got = run(docs, given)
+    assert got[0] != given[0] and got[1:5] == [g.replace(given[0], got[0]) for g in given[1:5]] and got[5:] == given[5:]
+
+
+def test_long_tables_of_numbers(docs):
+    text = "10 20 30 40 " * 5_000
+    got = run(docs, [text + "x 4111111111111111", text.replace(" ", "-") + "x"])
+    assert luhn(got[0][-16:]) and got[0][-16:] != "4111111111111111" and [len(g) for g in got] == [len(text) + 18, len(text) + 1]
+
+
 def test_dates(docs):
     got = run(docs, ["2024-02-29", "29.02.2024", "2/29/2024", "29/2/2024", "2023-02-29", "31.12.1999", "13/13/2020", "1850-01-01", "9999-12-31"])
     new = date.fromisoformat(got[0])
