@@ -3,9 +3,10 @@
 A document leaks an item when a window of as many words as the item has a weighted-shingle
 similarity (sum of least over sum of greatest counts) of at least the threshold. Such a
 window shares most of its shingles with the item, so only stretches of a document with that
-many of the item's shingles are turned into windows; this loses nothing. Each window's
-256-bit SimHash is looked up in an index by blocks: fingerprints within ``RADIUS`` bits agree
-in at least one of ``RADIUS + 1`` blocks. What is within the radius is checked exactly.
+many of the item's shingles are turned into windows; this loses nothing, and it is what
+proposes items. Each window's 256-bit SimHash is then looked up in an index by blocks:
+fingerprints within ``RADIUS`` bits agree in at least one of ``RADIUS + 1`` blocks. The
+lookup only rules items out; what is within the radius is checked exactly.
 """
 
 from __future__ import annotations
