@@ -70,8 +70,102 @@ SELECT page_id, url, fetched_at, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_l
 FROM url LEFT JOIN hit USING (page_id)
 """
 
+# Every distance to every entry, two rounds.
+VECTOR_CODES = """
+WITH kept AS (
+    SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), part AS (
+    SELECT rid, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, unnest(range(16)) AS w(p)
+), first AS (
+    SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept QUALIFY e < 64
+), c0 AS (
+    SELECT p, e, x AS c FROM first JOIN part USING (rid)
+), a0 AS (
+    SELECT rid, p, arg_min(e, far * 64 + e) AS e, min(far) AS far FROM (
+        SELECT rid, p, e, list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k])))::BIGINT AS far
+        FROM part JOIN c0 USING (p)) GROUP BY rid, p
+), m0 AS (
+    SELECT p, e, k, sum(x[k])::BIGINT AS s, count(*) AS n
+    FROM a0 JOIN part USING (rid, p), unnest(range(1, len(x) + 1)) AS w(k) GROUP BY ALL
+), n0 AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c FROM m0 GROUP BY p, e
+), c1 AS (
+    SELECT p, e, coalesce(n0.c, c0.c) AS c FROM c0 LEFT JOIN n0 USING (p, e)
+), a1 AS (
+    SELECT rid, p, arg_min(e, far * 64 + e) AS e, min(far) AS far FROM (
+        SELECT rid, p, e, list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k])))::BIGINT AS far
+        FROM part JOIN c1 USING (p)) GROUP BY rid, p
+), m1 AS (
+    SELECT p, e, k, sum(x[k])::BIGINT AS s, count(*) AS n
+    FROM a1 JOIN part USING (rid, p), unnest(range(1, len(x) + 1)) AS w(k) GROUP BY ALL
+), n1 AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c FROM m1 GROUP BY p, e
+), c2 AS (
+    SELECT p, e, coalesce(n1.c, c1.c) AS c FROM c1 LEFT JOIN n1 USING (p, e)
+), a2 AS (
+    SELECT rid, p, arg_min(e, far * 64 + e) AS e, min(far) AS far FROM (
+        SELECT rid, p, e, list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k])))::BIGINT AS far
+        FROM part JOIN c2 USING (p)) GROUP BY rid, p
+), book AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2
+), code AS (
+    SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a2 GROUP BY rid
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM code JOIN kept USING (rid), book
+"""
+
+# Every document against every order, by sets of failed filters.
+FILTER_AUDIT = r"""
+WITH word AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+           min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+    FROM documents
+), mark AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), verdict AS (
+    SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+                  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                  regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first_id, false)] AS fails,
+           coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM word LEFT JOIN mark USING (doc_id)
+), pattern AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM verdict GROUP BY part, fails
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l), sequence AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), step AS (
+    SELECT filter_order, k AS step, strpos('ABCDE', filter_order[k]) AS f,
+           list_transform(range(1, k), lambda i: strpos('ABCDE', filter_order[i])) AS earlier
+    FROM sequence, unnest(range(1, 6)) AS w(k)
+), met AS (
+    SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS own,
+           len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+           len(list_filter(fails, lambda x: x)) = 1 AS alone
+    FROM pattern, step
+), told AS (
+    SELECT part, filter_order, step, f,
+           sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN own AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM met GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM told
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": WARC,
     "op5_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op11_vector_codes": VECTOR_CODES,
+    "op13_filter_audit": FILTER_AUDIT,
 }

@@ -11,8 +11,10 @@ from newsgrist.llm.bpe import encode_documents
 from newsgrist.llm.common import table
 from newsgrist.llm.decontam import find_leaks
 from newsgrist.llm.exactdedup import exact_duplicates
+from newsgrist.llm.filteraudit import audit_filters
 from newsgrist.llm.html import extract_text
 from newsgrist.llm.minhash import near_duplicates
+from newsgrist.llm.orchard import compress_vectors
 from newsgrist.llm.pseudonyms import pseudonymise
 from newsgrist.llm.quality import score_quality
 from newsgrist.llm.sharding import assign_shards
@@ -96,6 +98,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -107,4 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_html": op10_html,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
