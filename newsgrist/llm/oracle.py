@@ -117,6 +117,35 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM code JOIN kept USING (rid), book
 """
 
+# Every passage of 400 bytes, as hex digits; islands of covered bytes and what is between them.
+SUFFIX_DEDUP = """
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), size AS (
+    SELECT rid, doc_id, h, length(h) // 2 AS n FROM doc
+), passage AS (
+    SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM size, unnest(range(0, n - 399)) AS w(i) WHERE n >= 400
+), hit AS (
+    SELECT rid, i FROM passage QUALIFY count(*) OVER (PARTITION BY m) > 1
+), turn AS (
+    SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 400, true)::INT AS new FROM hit
+), island AS (
+    SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM turn
+), span AS (
+    SELECT rid, k, min(i) AS a, max(i) + 400 AS b FROM island GROUP BY rid, k
+), cut AS (
+    SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e
+    FROM span GROUP BY rid
+), piece AS (
+    SELECT rid, doc_id, n, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           list_concat([0], coalesce(e, [])) AS s, list_concat(coalesce(s, []), [n]) AS e
+    FROM size LEFT JOIN cut USING (rid)
+)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(s) + 1), lambda k: substr(h, 2 * s[k] + 1, 2 * (e[k] - s[k]))), ''))) AS kept_sha256
+FROM piece
+"""
+
 # Every document against every order, by sets of failed filters.
 FILTER_AUDIT = r"""
 WITH word AS (
@@ -167,5 +196,6 @@ ORACLE: dict[str, str] = {
     "op5_url_filter": URL_FILTER,
     "op8_exact_dedup": EXACT_DEDUP,
     "op11_vector_codes": VECTOR_CODES,
+    "op12_suffix_dedup": SUFFIX_DEDUP,
     "op13_filter_audit": FILTER_AUDIT,
 }

@@ -18,6 +18,7 @@ from newsgrist.llm.orchard import compress_vectors
 from newsgrist.llm.pseudonyms import pseudonymise
 from newsgrist.llm.quality import score_quality
 from newsgrist.llm.sharding import assign_shards
+from newsgrist.llm.suffixes import remove_repeats
 from newsgrist.llm.urlfilter import filter_captures, host_of, path_of
 from newsgrist.llm.warc import archive_index, read_records, write_archives
 
@@ -102,6 +103,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("removed", "kept")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -118,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_html": op10_html,
     "op11_vector_codes": op11_vector_codes,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
