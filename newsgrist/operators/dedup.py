@@ -2,11 +2,13 @@
 
 A row is a duplicate if an earlier *kept* row shares one of its keys: its url, its
 canonical url, its content hash, or title and source. Dropped rows block nobody. Processing
-in order equals the greedy independent set of the "shares a key" graph, found in rounds:
+in order equals the greedy independent set of the "shares a key" graph:
 
 1. per key, the smallest undecided row; a row smallest for all its keys is kept;
 2. other rows with a key of a kept row are dropped;
-3. repeat on the undecided rest.
+3. what is left falls into components that share no key. Each one of bounded size is decided
+   in order, in one pass over its sorted rows, however long its chains are;
+4. larger ones go through 1 and 2 again, which breaks them up, then through 3.
 
 Only (key, row number) pairs move, never articles, and after the first count only pairs of
 keys with two or more rows. Keys that hold a large share of the rows are salted.
@@ -14,15 +16,26 @@ keys with two or more rows. Keys that hold a large share of the rows are salted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgrist.functions import text, urls
+from newsgrist.functions.components import components
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import salt_of, with_salted_lookup
 
 URL, HASH, TITLE = "url", "content_hash", "title_source"
 _PRIORITY = {URL: 1, HASH: 2, TITLE: 3}
 
+# Pairs of a component that one task decides; larger components go through rounds.
+COMPONENT_PAIRS = 200_000
+# Rounds before components are looked for again.
+ROUNDS = 3
+
+
 def _key(family: str, *values: Column) -> Column:
     """128 bits of a digest: rows move 16 bytes per key instead of urls and titles."""
     joined = F.concat_ws("\x00", F.lit(family), *values)
@@ -125,16 +138,76 @@ def _undecided(marked: DataFrame) -> DataFrame:
     )
 
 
+def _with_component(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``row``, a hash of seq, and ``component``, the least hash it is linked to."""
+    row = F.xxhash64("seq")
+    linked = _with_minimum(pairs).where(F.col("seq") != F.col("m"))
+    found = components(linked.select(row.alias("a"), F.xxhash64("m").alias("b")))
+    found = found.withColumnRenamed("v", "row")
+    joined = pairs.withColumn("row", row).join(found, "row", "left")
+    return joined.withColumn("component", F.coalesce("component", "row"))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by (component, seq) -> those of kept rows. A row is kept if none of its
+    keys belongs to an earlier kept one of its component."""
+    claimed: set[bytes] = set()
+    component = None
+    rest: pa.Table | None = None
+
+    def decided(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+        """The kept pairs, and the pairs of the last row unless it is complete."""
+        nonlocal component
+        rows, keys = table.column("row").to_numpy(), table.column("k").to_pylist()
+        of = table.column("component").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (of[1:] != of[:-1])])).tolist()
+        ends = [*first[1:], len(rows)]
+        whole = len(first) if last else len(first) - 1
+        keep = np.zeros(len(rows), dtype=bool)
+        for start, end in zip(first[:whole], ends):
+            if of[start] != component:
+                component = of[start]
+                claimed.clear()
+            own = keys[start:end]
+            if claimed.isdisjoint(own):
+                claimed.update(own)
+                keep[start:end] = True
+        return table.filter(pa.array(keep)), table.slice(ends[whole - 1] if whole else 0)
+
+    for batch in batches:
+        if batch.num_rows:
+            new = pa.Table.from_batches([batch])
+            kept, rest = decided(new if rest is None else pa.concat_tables([rest, new]), False)
+            yield from kept.select(["k", "family", "seq"]).to_batches()
+    if rest is not None and rest.num_rows:
+        yield from decided(rest, True)[0].select(["k", "family", "seq"]).to_batches()
+
+
 def _kept_pairs(marked: DataFrame) -> DataFrame:
     """All kept pairs, given the (cut) first round.
 
-    Each round settles the least row of every key, so there are as many as the longest
-    chain of rows that each wait for the one before. A round moves undecided pairs only.
+    Small components take one pass each. In the others every round settles the least row of
+    every key; the passes in between take what has fallen apart.
     """
     kept = marked.where("kept").drop("kept")
-    while not marked.where("not kept").isEmpty():
-        marked = cut_lineage(_with_kept(_with_minimum(_undecided(marked))))
-        kept = kept.unionByName(marked.where("kept").drop("kept"))
+    schema = marked.drop("kept").schema
+    undecided = cut_lineage(_undecided(marked))
+    while n := undecided.count():
+        small = pairs = cut_lineage(_with_component(undecided))
+        over = n > COMPONENT_PAIRS
+        if over:
+            large = pairs.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > COMPONENT_PAIRS)
+            pairs = cut_lineage(with_salted_lookup(pairs, large.select("component", F.lit(True).alias("large")), "component", "row"))
+            small = pairs.where("large is null").drop("large")
+        ordered = small.repartition("component").sortWithinPartitions("component", "seq", "row")
+        kept = kept.unionByName(ordered.mapInArrow(_in_order, schema))
+        if not over:
+            break
+        undecided = pairs.where("large").select("k", "family", "seq")
+        for _ in range(ROUNDS):
+            marked = cut_lineage(_with_kept(_with_minimum(undecided)))
+            kept = kept.unionByName(marked.where("kept").drop("kept"))
+            undecided = cut_lineage(_undecided(marked))
     return kept
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from newsgrist.functions.components import components
 from newsgrist.operators import dedup
 
 SCHEMA = "seq bigint, title string, url string, source string, content_hash string"
@@ -80,6 +81,60 @@ def test_chain(spark):
     assert holds(rows, reasons) and len(reasons) == 8
 
 
+def jobs_of(spark, work):
+    """What ``work`` returns, and how many jobs it started."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        before = len(context.statusTracker().getJobIdsForGroup("counted"))
+        return work(), len(context.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_chain(spark):
+    """A chain needs no round per link."""
+    rows = chain(10_000)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    reasons, jobs = jobs_of(spark, lambda: dedup.find_duplicates(df, reasons=False).collect())
+    assert {r.seq for r in reasons} == set(range(1, 10_000, 2))
+    assert jobs < 30, jobs
+
+
+def test_large_components_go_through_rounds(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "COMPONENT_PAIRS", 12)
+    rows = chain(24) + [(100 + i, *r[1:]) for i, r in enumerate(random_rows(random.Random(5), 50, 20))]
+    assert holds(rows, found(spark, rows))
+
+
+def test_components_of_random_graphs(spark):
+    """Against a search; many partitions, so that one step is not enough."""
+    rng = random.Random(6)
+    names = rng.sample(range(-10**9, 10**9), 400)
+    edges = [(names[i], names[i + 1]) for i in range(150)] + [tuple(rng.sample(names[200:], 2)) for _ in range(150)]
+    edges += [(names[160], names[160]), *[(n, names[170]) for n in names[171:190]]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    assert got.keys() == near.keys()
+    left = set(near)
+    while left:
+        group, todo = set(), [next(iter(left))]
+        while todo:
+            v = todo.pop()
+            if v not in group:
+                group.add(v)
+                todo.extend(near[v])
+        assert {got[v] for v in group} == {min(group)}
+        left -= group
+
+
 def test_order_may_be_a_struct(spark):
     df = spark.createDataFrame([((1, 5), "a", "http://u/", "s", None), ((0, 9), "b", "http://u/", "s", None)],
                                "seq struct<a:int,b:int>, title string, url string, source string, content_hash string")
