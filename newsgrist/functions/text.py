@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable
+from html.entities import html5
 
-import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from newsgrist.fixed_values import BLOCK_TAGS, ELLIPSIS, TIGHT_PUNCTUATION
 
@@ -27,20 +26,6 @@ _OTHER_ENTITY = (
 )
 
 
-@F.arrow_udf(T.StringType())
-def _decode_entities(values: pa.Array) -> pa.Array:
-    if values.null_count == len(values):
-        return values
-    return pa.array(
-        [None if v is None else html.unescape(v) for v in values.to_pylist()], pa.string()
-    )
-
-
-# Declared non-deterministic so that Catalyst keeps the projection that holds it as it is:
-# otherwise it would copy the cleaning into every later use of a cleaned column.
-_decode_entities = _decode_entities.asNondeterministic()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
@@ -50,21 +35,82 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Entity names as one literal that folds into a map; some count without their semicolon, also
+# when more letters follow.
+_NAMES = "\x01".join(f"{name}\x02{chars}" for name, chars in html5.items())
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# What the references to 128..159 stand for.
+_C1 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+
+
+def _character(number: Column) -> Column:
+    """The text of a numeric reference; null numbers are too large."""
+
+    def within(first: int, last: int) -> Column:
+        return number.between(first, last)
+
+    dropped = within(1, 8) | (number == 11) | within(14, 31) | (number == 127) | within(0xFDD0, 0xFDEF)
+    dropped = dropped | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    encoded = F.unhex(F.lpad(F.hex(number), 8, "0"))
+    return (
+        F.when(number.isNull() | (number == 0) | within(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
+        .when(within(128, 159), F.substring(F.lit(_C1), number.cast("int") - 127, F.lit(1)))
+        .when(dropped, "")
+        .otherwise(F.decode(encoded, "UTF-32"))
+    )
+
+
+def _named(reference: Column, rest: Column) -> Column:
+    """A named reference (without its ampersand) and what follows it."""
+    open_name = F.regexp_extract(reference, rf"\A(?:{_OPEN_NAMES})", 0)
+
+    def looked_up(names: Column) -> Column:
+        shorter = F.concat(names[open_name], F.substr(reference, F.char_length(open_name) + 1))
+        return F.concat(F.coalesce(names[reference], shorter, F.concat(F.lit("&"), reference)), rest)
+
+    # Bound once: a plan holds the literal once for each decoded column.
+    return let(F.str_to_map(F.lit(_NAMES), F.lit("\x01"), F.lit("\x02")), looked_up)
+
+
+def _decoded(part: Column) -> Column:
+    """The text after an ampersand up to the next one, its reference decoded."""
+
+    def after(pattern: str) -> Column:
+        return F.substr(part, F.char_length(F.regexp_extract(part, pattern, 0)) + 1)
+
+    decimal, hexadecimal = r"\A#0*+([0-9]*+);?", r"\A#[xX]0*+([0-9a-fA-F]*+);?"
+    digits, nibbles = F.regexp_extract(part, decimal, 1), F.regexp_extract(part, hexadecimal, 1)
+    # Longer ones are too large for any character.
+    value = F.when(F.char_length(digits) <= 7, F.concat(F.lit("0"), digits).cast("bigint"))
+    hex_value = F.when(F.char_length(nibbles) <= 6, F.conv(F.concat(F.lit("0"), nibbles), 16, 10).cast("bigint"))
+    name = r"\A[^\t\n\f <&#;]{1,32}+;?"
+    return (
+        F.when(part.rlike(r"\A#[0-9]"), F.concat(let(value, _character), after(decimal)))
+        .when(part.rlike(r"\A#[xX][0-9a-fA-F]"), F.concat(let(hex_value, _character), after(hexadecimal)))
+        .when(part.rlike(name), let(F.regexp_extract(part, name, 0), lambda n: _named(n, after(name))))
+        .otherwise(F.concat(F.lit("&"), part))
+    )
+
+
 def unescape(text: Column) -> Column:
     """One pass of HTML entity decoding.
 
-    Text with common entities only stays in the JVM; the Arrow UDF sees nulls for it
-    (Python UDFs run for every row, whatever ``when`` says).
+    Text with common entities only takes a few replacements. Other text is split at its
+    ampersands: a reference starts at one and holds no second, so each piece is decoded by
+    itself: numbers by arithmetic, names by the longest that is known.
     """
 
     def decoded(t: Column) -> Column:
         common = t
         for name, char in _COMMON_ENTITIES:
             common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
-        return F.when(~F.contains(t, F.lit("&")), t).when(~t.rlike(_OTHER_ENTITY), common)
+        pieces = F.split(t, "&")
+        any_name = let(
+            pieces, lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), _decoded), ""))
+        )
+        return F.when(~F.contains(t, F.lit("&")), t).when(~t.rlike(_OTHER_ENTITY), common).otherwise(any_name)
 
-    rare = let(text, lambda t: F.when(F.contains(t, F.lit("&")) & t.rlike(_OTHER_ENTITY), t))
-    return F.coalesce(let(text, decoded), _decode_entities(rare))
+    return let(text, decoded)
 
 
 def collapse(text: Column) -> Column:
