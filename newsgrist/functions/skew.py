@@ -51,37 +51,3 @@ def with_settings(rows: DataFrame, settings: DataFrame, key: str, row_id: str |
     if fits(settings, BROADCAST_ROWS):
         return rows.join(F.broadcast(settings), key)
     return with_salted_lookup(rows, settings, key, row_id, how="inner")
-
-
-def key_digest(column: str | Column) -> Column:
-    """16 bytes that stand for a key of any length."""
-    return F.unhex(F.md5(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")))
-
-
-def having(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``table`` whose non-empty ``column`` is among those of ``keys``.
-
-    The table is the side that is scanned: digests of the keys, 16 bytes each, are broadcast
-    to it as far as their number allows; beyond that both sides meet by digest.
-    """
-    wanted = keys.where(F.col(column) != "").select(key_digest(column).alias("_digest")).distinct()
-    if keys.select(column).count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    rows = table.where(F.col(column) != "").withColumn("_digest", key_digest(column))
-    return rows.join(wanted, "_digest", "left_semi").drop("_digest")
-
-
-def stored_values(store: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Distinct non-empty values of ``column`` that both ``keys`` and the store hold; only
-    this column of the store is read."""
-    return having(store.select(column), keys, column).distinct()
-
-
-def rows_having(rows: DataFrame, row_id: str, column: str, store: DataFrame) -> DataFrame:
-    """``row_id`` of ``rows`` whose non-empty ``column`` is in the store.
-
-    Ids and digests move, not rows; a value of most of the rows is many small groups.
-    """
-    probes = rows.where(F.col(column) != "").select(row_id, key_digest(column).alias("_digest"))
-    known = stored_values(store, rows, column).select(key_digest(column).alias("_digest"))
-    return with_salted_lookup(probes, known, "_digest", row_id, how="inner").select(row_id)

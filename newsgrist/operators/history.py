@@ -4,36 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from newsgrist.functions.keys import having, rows_having
 from newsgrist.functions.lineage import cut_lineage
-from newsgrist.functions.skew import having, rows_having
 from newsgrist.operators.filters import unsent
 
 
-def not_in_history(articles: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
-    """JN-3: articles whose url and hash are both new. ``row_id`` is unique; urls may repeat."""
+def not_in_history(
+    articles: DataFrame, store: DataFrame, row_id: str = "seq", filters: DataFrame | None = None
+) -> DataFrame:
+    """JN-3: articles whose url and hash are both new. ``row_id`` is unique; urls may repeat.
+    ``filters`` are those of the store's keys, if it has any."""
     keys = cut_lineage(articles.select(row_id, "url", "content_hash"))
-    return articles.join(in_history(keys, store, row_id), row_id, "left_anti")
+    return articles.join(in_history(keys, store, row_id, filters), row_id, "left_anti")
 
 
-def in_history(articles: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
+def in_history(
+    articles: DataFrame, store: DataFrame, row_id: str = "seq", filters: DataFrame | None = None
+) -> DataFrame:
     """The other side of JN-3: ``row_id`` of articles (data at rest) whose url or hash is
     stored."""
-    matches = [rows_having(articles, row_id, c, store) for c in ("url", "content_hash")]
-    return matches[0].union(matches[1]).distinct()
+    return rows_having(articles, row_id, ["url", "content_hash"], store, filters)
 
 
-def exists_flags(probes: DataFrame, store: DataFrame, row_id: str = "seq") -> DataFrame:
+def exists_flags(
+    probes: DataFrame, store: DataFrame, row_id: str = "seq", filters: DataFrame | None = None
+) -> DataFrame:
     """JN-4: ``found`` per probe row, by id or url or content hash.
 
     Null or empty identifiers match nothing; probes may repeat a key any number of times.
     The probes themselves meet the answer once, by ``row_id``.
     """
     keys = cut_lineage(probes.select(row_id, "id", "url", "content_hash"))
-    hits = rows_having(keys, row_id, "id", store)
-    for column in ("url", "content_hash"):
-        hits = hits.union(rows_having(keys, row_id, column, store))
-    hits = hits.distinct().withColumn("_found", F.lit(True))
+    hits = rows_having(keys, row_id, ["id", "url", "content_hash"], store, filters)
     found = F.coalesce("_found", F.lit(False))
+    hits = hits.withColumn("_found", F.lit(True))
     return probes.join(hits, row_id, "left").withColumn("found", found).drop("_found")
 
 

@@ -45,7 +45,7 @@ def batch_job(raw: DataFrame, rules: Rules, known: DataFrame | None = None) -> D
 
 def staged_run(
     raw: DataFrame, rules: Rules, store: DataFrame, *, now: datetime | str,
-    max_age_hours: float = fixed.MAX_AGE_HOURS,
+    max_age_hours: float = fixed.MAX_AGE_HOURS, filters: DataFrame | None = None,
 ) -> DataFrame:
     """JOB-3 up to the write: every raw record with the ``stage`` it reached.
 
@@ -89,7 +89,7 @@ def staged_run(
     in_run = cut_lineage(in_run.withColumn("_in_run", F.lit(True)))
     # First of their kind only: urls are unique here, so the history joins meet no hot key.
     keys = relevant.select("seq", "url", "content_hash").join(in_run, "seq", "left_anti")
-    in_store = in_history(keys, store).withColumn("_in_store", F.lit(True))
+    in_store = in_history(cut_lineage(keys), store, filters=filters).withColumn("_in_store", F.lit(True))
     stage = (
         F.when(F.col("_in_run"), metrics.REPEATED)
         .when(F.col("_in_store"), metrics.STORED)
@@ -147,8 +147,9 @@ def run_records(
     settings.check()
     threshold = settings.rules.threshold
     stored = store.create().read(without_batch=batch_id)
+    filters = store.key_filters(without_batch=batch_id)
     staged = cut_lineage(
-        staged_run(raw, settings.rules, stored, now=now, max_age_hours=settings.max_age_hours)
+        staged_run(raw, settings.rules, stored, now=now, max_age_hours=settings.max_age_hours, filters=filters)
     )
     new = staged.where(F.col("stage") == metrics.NEW)
     store.append(new, batch_id, now)

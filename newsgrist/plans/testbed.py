@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsgrist.functions import bloom
 from newsgrist.functions.lineage import scratch_path
 from newsgrist.operators.dedup import drop_duplicates
 from newsgrist.operators.normalize import normalize
 from newsgrist.operators.relevance import Rules, score
+from newsgrist.operators.store import KEYS
 from newsgrist.plans.jobs import with_order
 from newsgrist.schema import STORE_COLUMNS
 
@@ -152,6 +154,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_rest("history", spark, sf_dir, lambda: as_store(articles(raw)))
 
 
+def history_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Bloom filter of its keys, as written next to it."""
+    return at_rest("history_keys", spark, sf_dir, lambda: bloom.build(history(spark, sf_dir), KEYS))
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, deduplicated and scored."""
 

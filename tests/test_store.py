@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsgrist.functions import bloom
 from newsgrist.operators import history, metrics, quality
 from newsgrist.operators.store import (
     ArticleStore, ConstraintError, constraint_violations, decode_rows, encode_rows,
@@ -85,6 +86,87 @@ def test_upsert(spark, store):
     assert store.read().count() == 3
 
 
+def written_rows(spark, store, part):
+    return spark.read.parquet(f"{store.path}/gen=000000001/{part}").count()
+
+
+def test_upsert_writes_its_own_rows_only(spark, store):
+    store.append(rows(spark, [{} for _ in range(40)]), 1, T0)
+    later = T0 + timedelta(days=1)
+    store.upsert(rows(spark, [{"title": f"new{i}", "created_at": later} for i in range(10)]))
+    store.upsert(rows(spark, [{"title": "newest", "url": "moved"}, {"id": "n", "url": "https://e.com/0", "created_at": later}]))
+    assert written_rows(spark, store, "rows") == 40 and written_rows(spark, store, "changes") == 12
+    want = {str(i): (f"new{i}" if i < 10 else f"t{i}", T0) for i in range(40)} | {"0": ("newest", T0), "n": ("t1", later)}
+    assert {r.id: (r.title, r.created_at) for r in store.read().collect()} == want
+    with pytest.raises(ConstraintError, match="url unique"):
+        store.append(rows(spark, [{"id": "q", "url": "moved"}]), 2, T0)
+    with pytest.raises(ConstraintError, match="title not null"):
+        store.upsert(rows(spark, [{"title": None}]))
+    with pytest.raises(ConstraintError, match="url unique"):
+        store.upsert(rows(spark, [{"id": "x", "url": "u"}, {"id": "y", "url": "u"}]))
+    store.append(rows(spark, [{"id": "q", "url": "free"}]), 2, T0)
+    before = sorted(map(str, store.read().collect()))
+    store.save_outbox(store.read().select("id"), 2)
+    store.compact()
+    assert sorted(map(str, store.read().collect())) == before
+    assert store.save_outbox(store.read().where("id = 'q'").select("id"), 2).count() == 42
+    store.upsert(rows(spark, [{"title": "again", "url": "moved"}]))
+    assert {r.title for r in store.read().where("id = '0'").collect()} == {"again"}
+
+
+def test_marks_and_upserts_in_turn(spark, store):
+    """An upsert replaces the flag with its own; a later mark sets it again."""
+    mark = lambda n: store.mark_sent(spark.createDataFrame([("0", True, T0 + timedelta(hours=n))], "id string, ok boolean, sent_at timestamp"), n)
+    state = lambda: [(r.sent, r.sent_at) for r in store.read().collect()]
+    store.append(rows(spark, [{}]), 1, T0)
+    mark(1)
+    assert state() == [(True, T0 + timedelta(hours=1))]
+    store.upsert(rows(spark, [{"title": "x"}]))
+    assert state() == [(False, None)]
+    mark(2)
+    assert state() == [(True, T0 + timedelta(hours=2))]
+    store.compact()
+    assert state() == [(True, T0 + timedelta(hours=2))]
+
+
+def test_filters_hold_back_what_is_not_stored(spark):
+    stored = spark.createDataFrame([(f"i{n}", f"u{n}") for n in range(2000)], "id string, url string")
+    filters = bloom.build(stored, ["id", "url"])
+    keys = lambda *values: bloom.digests(spark.createDataFrame([(v,) for v in values], "url string"), ["url"])
+    assert bloom.possible(keys(*[f"u{n}" for n in range(2000)], "", None), filters).count() == 2000
+    assert bloom.possible(keys(*[f"v{n}" for n in range(2000)]), filters).count() < 100
+    # Ids are no urls.
+    assert bloom.possible(keys(*[f"i{n}" for n in range(2000)]), filters).count() < 100
+
+
+def test_filters_of_many_batches(spark, store):
+    """Each batch's filter is sized for the table, so that uniting them fills none."""
+    for batch in range(6):
+        store.append(rows(spark, [{"id": f"{batch}-{i}", "url": f"{batch}/{i}", "content_hash": f"{batch}h{i}"} for i in range(40)]), batch + 1, T0)
+    filters = store.key_filters()
+    assert [r["count"] > 0 for r in filters.groupBy("words").count().collect()].count(True) <= 4
+    asked = spark.createDataFrame([(f"n{i}",) for i in range(1000)], "url string")
+    assert bloom.possible(bloom.digests(asked, ["url"]), filters).count() < 100
+    every = bloom.digests(store.read(), ["id", "url", "content_hash"])
+    assert bloom.possible(every, filters).count() == 6 * 40 * 3
+    # A filter that was never written is made up for.
+    store._delete(f"{store.path}/gen=000000001/rows_keys/batch=000000000003")
+    assert bloom.possible(every, store.key_filters()).count() == 6 * 40 * 3
+
+
+def test_probes_without_a_possible_hit_read_no_stored_keys(spark, store):
+    store.append(rows(spark, [{} for _ in range(50)]), 1, T0)
+    filters = store.key_filters()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    new = rows(spark, [{"id": "far", "url": "far", "content_hash": "f" * 64}])
+    for found in (history.not_in_history(new, store.read(), filters=filters), history.exists_flags(new, store.read(), filters=filters)):
+        assert "parquet" not in plan(found).lower()
+        assert found.count() == 1
+    known = rows(spark, [{}])
+    assert "parquet" in plan(history.not_in_history(known, store.read(), filters=filters)).lower()
+    assert history.not_in_history(known, store.read(), filters=filters).count() == 0
+
+
 def test_mark_sent(spark, store):
     store.append(rows(spark, [{}, {}, {}]), 1, T0)
     results = lambda *r: spark.createDataFrame(list(r), "id string, ok boolean, sent_at timestamp")
