@@ -65,6 +65,18 @@ def any_keyword_pattern(keywords: list[str]) -> str:
     return "|".join(parts)
 
 
+def pattern_column(keyword: Column) -> Column:
+    """``keyword_pattern`` of clean lower-case keywords in a column."""
+
+    def edge(at: str, word: str, symbol: str) -> Column:
+        return F.when(keyword.rlike(at), F.lit(word)).otherwise(F.lit(symbol))
+
+    quoted = F.regexp_replace(keyword, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
+    before = edge(r"\A[\p{L}\p{N}_]", f"(?<!{_WORD})", r"(?U:(?<!\S))")
+    after = edge(r"[\p{L}\p{N}_]\z", f"(?!{_WORD})", r"(?U:(?!\S))")
+    return F.concat(before, F.lit("(?iU:"), quoted, F.lit(")"), after)
+
+
 def folded(text: Column) -> Column:
     """Lower case, with look-alikes of ASCII letters made ASCII."""
     for letter, others in _LOOKALIKES.items():

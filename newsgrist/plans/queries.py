@@ -12,8 +12,10 @@ from newsgrist.functions.patterns import matched_keywords
 from newsgrist.functions.text import clean_text
 from newsgrist.functions.urls import canonical_url
 from newsgrist.operators import filters, history, metrics, outbox, quality, relevance
+from newsgrist.functions.lineage import cut_lineage
 from newsgrist.operators.dedup import drop_duplicates, flag_duplicates, known_keys
 from newsgrist.operators.normalize import split_quarantine
+from newsgrist.operators.rulejoin import rule_index, score_by_table
 from newsgrist.operators.store import (
     ArticleStore, append_violations, constraint_violations, decode_rows, encode_rows, upserted,
     with_delivery,
@@ -235,7 +237,8 @@ def dedup_events(spark, sf_dir):
 
 @query
 def history_anti(spark, sf_dir):
-    new = history.not_in_history(_documents(spark, sf_dir), tb.history(spark, sf_dir))
+    stored, filters = tb.history(spark, sf_dir), tb.history_filters(spark, sf_dir)
+    new = history.not_in_history(_documents(spark, sf_dir), stored, filters=filters)
     return new.select("doc_id", "url")
 
 
@@ -248,7 +251,8 @@ def exists_flags(spark, sf_dir):
         F.when(doc % 3 == 0, F.col("url")).otherwise("").alias("url"),
         F.when(doc % 7 == 0, F.col("content_hash")).alias("content_hash"),
     )
-    return history.exists_flags(probes, tb.history(spark, sf_dir)).select("doc_id", "found")
+    stored, filters = tb.history(spark, sf_dir), tb.history_filters(spark, sf_dir)
+    return history.exists_flags(probes, stored, filters=filters).select("doc_id", "found")
 
 
 @query
@@ -345,7 +349,7 @@ def constraint_violation_rows(spark, sf_dir):
 def append_check(spark, sf_dir):
     stored = tb.history(spark, sf_dir)
     batch = tb.as_store(_documents(spark, sf_dir).where("doc_id % 5 <> 0"))
-    return append_violations(stored, batch)
+    return append_violations(stored, batch, tb.history_filters(spark, sf_dir))
 
 
 @query
@@ -403,7 +407,7 @@ def status_report(spark, sf_dir):
 def _staged(spark, sf_dir) -> DataFrame:
     return staged_run(
         tb.raw_documents(spark, sf_dir), tb.RULES, tb.history(spark, sf_dir),
-        now=tb.NOW, max_age_hours=RUN_HOURS,
+        now=tb.NOW, max_age_hours=RUN_HOURS, filters=tb.history_filters(spark, sf_dir),
     )
 
 
@@ -571,8 +575,8 @@ def payload_source_quality(spark, sf_dir):
 
 @query
 def escaped_urls(spark, sf_dir):
-    """Words of a document as an escaped query, with signs that need not be escaped."""
-    words = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    """A document's text as an escaped query, with signs that need not be escaped."""
+    words = F.col("text")
     url = F.concat(
         F.lit("HTTPS://News.example.com:443//d/?utm_medium=x&q="), F.replace(F.url_encode(words), F.lit("+"), F.lit("%20")),
         F.lit("&b=%7E%2a&a="), F.url_encode(F.col("lang")), F.lit("#f"),
@@ -621,6 +625,32 @@ def rule_table_scores(spark, sf_dir):
     return relevance.score(rows, rules).select("p_partkey", "relevance_score", _joined("categories"), _joined("matched_keywords"))
 
 
+def rule_table(spark, sf_dir) -> DataFrame:
+    """Every word of the documents as a keyword, by its length, and two-word phrases of the
+    benchmark: about as many rules as there are different words."""
+    words = tb.table(spark, sf_dir, "documents", spread=False).select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("keyword")
+    ).distinct()
+    phrases = tb.table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+"), F.lit(0))).alias("keyword")
+    ).distinct()
+    by_length = F.concat(F.lit("len"), F.char_length("keyword").cast("string"))
+    return words.select(by_length.alias("category"), "keyword").unionByName(phrases.select(F.lit("phrases").alias("category"), "keyword"))
+
+
+@query
+def rule_join_scores(spark, sf_dir):
+    """Rules as data over all documents, each tagged with the name of a category."""
+    rows = tb.raw_documents(spark, sf_dir).select(
+        "doc_id", "title", "description", F.array(F.concat(F.lit("LEN"), (F.col("doc_id") % 9).cast("string"))).alias("categories"),
+    )
+    scored = score_by_table(cut_lineage(rows), rule_index(rule_table(spark, sf_dir)), "doc_id")
+    return scored.select(
+        "doc_id", "relevance_score", _joined("categories"), F.size("matched_keywords").cast("bigint").alias("n_matched"),
+        F.md5(F.array_join("matched_keywords", "|")).alias("matched_md5"),
+    )
+
+
 @query
 def default_rule_scores(spark, sf_dir):
     """The default rules on keywords of their own, one to a row."""
