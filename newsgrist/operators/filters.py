@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsgrist.functions.skew import salt_of, with_settings
+from newsgrist.functions.lineage import cut_lineage
+from newsgrist.functions.skew import with_settings
 from newsgrist.functions.text import is_blank
 
 Instant = datetime | str
@@ -48,15 +49,25 @@ def unsent(store: DataFrame, min_score: float = 0.0) -> DataFrame:
 def head_per_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-15: the first ``max_items`` records of each source, in record order.
 
-    Records are ranked within (source, salt) first, so a source with most of the rows is
-    many groups; what is left of a source, its cap from each salt at most, is ranked again.
+    The places (source, ord) are dealt to sorted ranges and counted there; sums of the counts
+    before a range tell in which one a source reaches its cap. Only that range is ranked, and
+    the records are cut at the place found. A cap may be larger than a task; ``ord`` is unique
+    within a source.
     """
-    limits = sources.select(F.col("name").alias("source"), "max_items")
-    limited = with_settings(raw, limits, "source", F.col("ord")).withColumn("_salt", salt_of(F.col("ord")))
-    for groups in (["source", "_salt"], ["source"]):
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy("ord"))
-        limited = limited.withColumn("_rank", rank).where(F.col("_rank") <= F.col("max_items"))
-    return limited.drop("_rank", "_salt", "max_items")
+    limits = sources.where("max_items > 0").select(F.col("name").alias("source"), "max_items")
+    places = with_settings(raw.select("source", "ord"), limits, "source", F.col("ord"))
+    places = places.repartitionByRange("source", "ord").withColumn("_range", F.spark_partition_id())
+    places = cut_lineage(places)
+    counts = places.groupBy("source", "_range", "max_items").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    left = F.col("max_items") - F.col("before")
+    reached = counts.where((left > 0) & (left <= F.col("n"))).select("source", "_range", left.alias("left"))
+    rank = F.row_number().over(Window.partitionBy("source", "_range").orderBy("ord"))
+    last = places.join(reached, ["source", "_range"]).withColumn("rank", rank).where("rank = left")
+    ends = cut_lineage(limits.join(last.select("source", F.col("ord").alias("_last")), "source", "left").select("source", "_last"))
+    kept = with_settings(raw, ends, "source", F.col("ord"))
+    return kept.where(F.col("_last").isNull() | (F.col("ord") <= F.col("_last"))).drop("_last")
 
 
 def enabled_only(raw: DataFrame, sources: DataFrame) -> DataFrame:

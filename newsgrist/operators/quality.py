@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,15 +42,27 @@ def store_status(audit: DataFrame) -> DataFrame:
 
 
 def usable_secrets(secrets: Iterable[str | None]) -> list[str]:
-    """Distinct secrets long enough to mask, longest first so that none hides in another."""
-    kept = {s for s in secrets if s and len(s) >= fixed.MIN_SECRET_LENGTH}
-    return sorted(kept, key=lambda s: (-len(s), s))
+    """Distinct secrets long enough to mask, in order."""
+    return sorted({s for s in secrets if s and len(s) >= fixed.MIN_SECRET_LENGTH})
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of all ``words`` (sorted, distinct) as a tree of their common beginnings: at
+    each position a search follows one branch only, and takes the longest word."""
+    head = os.path.commonprefix([words[0], words[-1]])
+    rests = [w[len(head) :] for w in words]
+    branches = [any_of(list(group)) for _, group in groupby([r for r in rests if r], key=lambda r: r[0])]
+    if not branches:
+        return re.escape(head)
+    return f"{re.escape(head)}(?:{'|'.join(branches)}){'' if rests[0] else '?'}"
 
 
 def mask(text: Column, secrets: Iterable[str | None] = (), patterns: list[str] | None = None) -> Column:
-    """DQ-2: literal secrets, then token patterns, become ``***REDACTED***``."""
-    for secret in usable_secrets(secrets):
-        text = F.replace(text, F.lit(secret), F.lit(fixed.MASK))
+    """DQ-2: literal secrets, then token patterns, become ``***REDACTED***``. All secrets are
+    looked for in one pass; where several begin, the longest is masked."""
+    words = usable_secrets(secrets)
+    if words:
+        text = F.regexp_replace(text, any_of(words), fixed.MASK)
     for pattern in fixed.TOKEN_PATTERNS if patterns is None else patterns:
         text = F.regexp_replace(text, f"(?U){pattern}", fixed.MASK)
     return text

@@ -374,6 +374,25 @@ def mask_secrets(spark, sf_dir):
     return quality.mask_columns(docs, ["text"], [SECRET, "abc"], [MAIL])
 
 
+# Stands for a list that a deployment passes in.
+MANY_SECRETS = [str(n) for n in range(1000, 6000)]
+
+
+@query
+def mask_many_secrets(spark, sf_dir):
+    docs = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.mask_columns(docs, ["text"], MANY_SECRETS, [])
+
+
+@query
+def source_head_share(spark, sf_dir):
+    """A cap of a fiftieth of all documents, which only hot sources reach."""
+    raw, sources = tb.documents_by_source(spark, sf_dir), tb.sources(spark, sf_dir)
+    cap = tb.table(spark, sf_dir, "documents", spread=False).count() // 50
+    capped = sources.withColumn("max_items", F.lit(cap))
+    return filters.head_per_source(raw, capped).select("doc_id", "source")
+
+
 # -- top-k, counts, reports ------------------------------------------------------------
 
 TOP_FIELDS = ["id", "title", "relevance_score", "discovered_at"]

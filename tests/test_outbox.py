@@ -1,5 +1,6 @@
 """OUT-1..5, DQ-2, DQ-3, SRC-17."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -95,6 +96,27 @@ def test_masking(column_of, spark):
     assert [tuple(r) for r in out] == [(1, f"{m} {m}", "no", 2), (2, None, f"{m} {m}", 1)]
 
 
+def test_many_secrets_in_one_pass(column_of, spark):
+    rng = random.Random(11)
+    secrets = sorted({"".join(rng.choice("ab.$é\\(\n") for _ in range(rng.randint(4, 9))) for _ in range(400)})
+    texts = ["".join(rng.choice([rng.choice(secrets), "ab", "x", " "]) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+
+    def masked(t):
+        out, i = "", 0
+        while i < len(t):
+            here = max((s for s in secrets if t.startswith(s, i)), key=len, default=None)
+            out += fixed.MASK if here else t[i]
+            i += len(here) if here else 1
+        return out
+
+    assert column_of(lambda c: quality.mask(c, secrets, []), texts) == [masked(t) for t in texts]
+    numbers = [str(n) for n in range(10_000, 15_000)]
+    assert column_of(lambda c: quality.mask(c, numbers, []), ["a 12345 b 9999 c 150001 14999"]) == [
+        f"a {fixed.MASK} b 9999 c 150001 {fixed.MASK}"]
+    plan = spark.createDataFrame([("x",)], "t string").select(quality.mask(F.col("t"), numbers, []).alias("y"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
 def test_rule_audit(spark):
     rules = quality.rules_frame(spark, {" AI ": [" llm ", "", 5, "ml"], "Empty": [" "], " ": ["x"]})
     assert [(r.category, r.kw_ord, r.keyword) for r in rules.orderBy("cat_ord", "kw_ord").collect()] == [

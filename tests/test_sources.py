@@ -1,10 +1,12 @@
 """SRC-1..16 on payload literals."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
 
+from newsgrist.operators import filters
 from newsgrist.schema import PAYLOAD_SCHEMA, RAW_SCHEMA, SOURCE_SCHEMA
 from newsgrist.operators.normalize import normalize
 from newsgrist.sources import Scan, register, scan_all, scan_feeds, scan_repos, scan_stories
@@ -175,3 +177,21 @@ def test_register_a_kind(spark):
         assert [(r.source, r.title) for r in out.raw.collect()] == [("mine", "T")]
     finally:
         del SCANNERS["own"]
+
+
+def test_head_per_source_at_any_cap(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", "off", "none"]), (0, i)) for i in range(600)]
+    raw = spark.createDataFrame([(s, o, f"p{o[1]}") for s, o in rows], "source string, ord struct<a:int,b:int>, payload string").repartition(5)
+    of = lambda s: [o[1] for x, o in rows if x == s]
+    caps = {"hot": len(of("hot")) - 7, "a": len(of("a")), "b": 1, "off": 0, "far": 5}
+    sources = spark.createDataFrame(list(caps.items()), "name string, max_items int")
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted((r.source, r.ord.b, r.payload) for r in filters.head_per_source(raw, sources).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == sorted((s, i, f"p{i}") for s, cap in caps.items() for i in of(s)[:cap])
