@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -39,6 +41,54 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _class(points: Iterable[int]) -> str:
+    """The inside of a character class of sorted code points."""
+    spans: list[list[int]] = []
+    for point in points:
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+# The letters and digits that Unicode 16.0 added to 15.1, first and last of each
+# range, and the capitals that 16.0 and 17.0 added, with the distance to their small letters.
+# The library splits by 16.0 and lowers by 17.0; this interpreter's tables may be older and
+# the regex package's newer.
+_LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+_DIGITS_16 = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+]
+_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC}
+_CAPITALS |= dict.fromkeys(range(0x10D50, 0x10D66), 0x20) | dict.fromkeys(range(0x16EA0, 0x16EB9), 0x1B)
+
+
+@cache
+def _known(kind: str) -> list[int]:
+    """Letters or digits the library knows."""
+    added = {p for first, last in (_LETTERS_16 if kind == "L" else _DIGITS_16) for p in range(first, last + 1)}
+    return [p for p in range(0x110000) if p in added or unicodedata.category(chr(p)).startswith(kind)]
+
+
+@cache
+def _newer() -> re.Pattern:
+    """Signs that the regex package counts as letters or digits and the library does not know."""
+    known = {*_known("L"), *_known("N")}
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if ord(c) not in known]
+    return re.compile(f"[{_class(found)}]" if found else r"(?!)")
+
+
+_CAPITAL = re.compile(f"[{_class(sorted(_CAPITALS))}]")
+
+
 class BackTrackingBpe:
     """Encoder and decoder of one vocabulary file, given as its JSON text."""
 
@@ -54,6 +104,7 @@ class BackTrackingBpe:
         self._set_offsets(names)
         self._set_merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._split = split
         self._words = regex.compile(split, regex.V0)
         marks = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("|".join(map(regex.escape, marks))) if marks else None
@@ -192,9 +243,21 @@ class BackTrackingBpe:
             text = unicodedata.normalize("NFC", text)
             # Lower case sign by sign: no final sigma.
             text = text.replace("Σ", "σ")
-        get, words = self._memo.get, self._words.findall(text.lower())
+            if _CAPITAL.search(text):
+                text = text.translate({p: p + far for p, far in _CAPITALS.items()})
+        text = text.lower()
+        pattern = self._words if text.isascii() or not _newer().search(text) else self._old_words
+        get, words = self._memo.get, pattern.findall(text)
         return b"".join([get(w) or self._remembered(w) for w in words])
 
+    @cached_property
+    def _old_words(self) -> regex.Pattern:
+        """The split with its letters and digits spelled out: slow, for texts with newer signs."""
+        split = self._split
+        for kind in ("L", "N"):
+            split = split.replace(f"\\p{{{kind}}}", _class(_known(kind)))
+        return regex.compile(split, regex.V0)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; null is empty. Texts of
         special tokens are these tokens."""

@@ -41,6 +41,15 @@ def test_random_texts(own, library):
         same(own, library, "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))))
 
 
+def test_every_code_point(own, library):
+    """Alone, between letters, and doubled after a digit."""
+    signs = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for start in range(0, len(signs), 20_000):
+        texts = [t for c in signs[start : start + 20_000] for t in (c, f"a{c}b", f"1{c}{c}!")]
+        goals = library.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, g in zip(texts, goals) if np.frombuffer(own.encode(t), "<u4").tolist() != g.ids] == []
+
+
 def test_every_token_of_the_vocabulary(own, library):
     symbols = byte_symbols()
     for name in own.vocab:
