@@ -8,6 +8,7 @@ total length and removes the chunked framing.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,8 +29,15 @@ CHUNK_BYTES = 8 << 10
 # So a file holds at most 32 MB of segments and can be read whole.
 RECORDS_PER_FILE = 1024
 RECORD_END = "\r\n\r\n"
+# The first bytes of a gzip member (deflate) and of a record.
+_MEMBER = b"\x1f\x8b\x08"
+_START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[0-9]+\r\n")
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+# A chunk size; longer ones are no size of anything.
+_HEX = re.compile(rb"[0-9A-Fa-f]{1,16}")
+_DECIMAL = re.compile(r"[0-9]{1,18}")
+_SIGNED = re.compile(r"-?[0-9]{1,19}")
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -48,14 +56,13 @@ def unchunked(body: bytes) -> bytes | None:
         end = body.find(b"\r\n", at)
         if end < 0:
             return None
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not _HEX.fullmatch(digits):
             return None
-        at = end + 2
+        size, at = int(digits, 16), end + 2
         if size == 0:
             return b"".join(parts)
-        if size < 0 or body[at + size : at + size + 2] != b"\r\n":
+        if body[at + size : at + size + 2] != b"\r\n":
             return None
         parts.append(body[at : at + size])
         at += size + 2
@@ -168,29 +175,57 @@ def write_archives(pages: DataFrame, path: str, *, segment: int = SEGMENT_BYTES)
     ).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def plain_bytes(archive: bytes, step: int = 1 << 12) -> tuple[bytes, int]:
+    """The content of a gzip file with one member or many, and how many of them were damaged.
+    Of a damaged member what comes before the damage counts, but for a few KB; reading goes on
+    at the next sign of a member."""
+    view, parts, at, damaged = memoryview(archive), [], 0, 0
+    while 0 <= at < len(archive):
+        start, unpacker = at, zlib.decompressobj(31)
+        try:
+            while at < len(archive) and not unpacker.eof:
+                parts.append(unpacker.decompress(view[at : at + step]))
+                at = min(at + step, len(archive))
+        except zlib.error:
+            damaged += 1
+            at = archive.find(_MEMBER, start + 1)
+            continue
+        if not unpacker.eof:
+            damaged += 1
+            break
+        at -= len(unpacker.unused_data)
+        if archive[at : at + len(_MEMBER)] != _MEMBER:
+            at = archive.find(_MEMBER, at)
+    return b"".join(parts), damaged
+
+
+def records_of(archive: bytes, left_out: list[int] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record of one file, gzip or plain.
-    A record cut off by the end of the file is left out."""
+
+    Any bytes are read. A record that the end of the file cuts off, or without a
+    ``Content-Length`` of decimal digits, is left out; reading goes on at the next line that
+    begins a record. ``left_out`` gets one number: how many records and gzip members were.
+    """
+    skipped = 0
     if archive[:2] == b"\x1f\x8b":
-        parts = []
-        while archive[:2] == b"\x1f\x8b":  # one member, or one for each record
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(archive))
-            archive = member.unused_data
-        archive = b"".join(parts)
-    at = 0
-    while (at := archive.find(b"WARC/1.", at)) >= 0:
+        archive, skipped = plain_bytes(archive)
+    found = _START.search(archive)
+    while found:
+        at = found.start()
         end = archive.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else []
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if stop > len(archive):
-            return
-        yield fields, archive[start:stop]
-        at = stop
+        length = fields.get("content-length", "")
+        stop = end + 4 + int(length) if _DECIMAL.fullmatch(length) else -1
+        # Another record's first line is no field of this one.
+        if end < 0 or not 0 <= stop <= len(archive) or any(line.startswith("WARC/1.") for line in lines):
+            skipped += 1
+            found = _START.search(archive, at + 1)
+            continue
+        yield fields, archive[end + 4 : stop]
+        found = _START.search(archive, stop)
+    if left_out is not None:
+        left_out.append(skipped)
 
 
 _RECORD = (
@@ -203,8 +238,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [field.split()[0] for field in _RECORD.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
-    def number(text: str | None) -> int | None:
-        return None if text is None else int(text)
+    def number(text: str | None, most: int = (1 << 63) - 1) -> int | None:
+        if text is None or not _SIGNED.fullmatch(text):
+            return None
+        value = int(text)
+        return value if -most <= value <= most else None
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -217,7 +255,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((
                     get("warc-record-id"), get("warc-type"), number(get("x-page-id")), get("warc-target-uri"),
                     (get("warc-payload-digest") or "").removeprefix("sha256:") or None, get("warc-refers-to"),
-                    get("warc-segment-origin-id"), number(get("warc-segment-number")),
+                    get("warc-segment-origin-id"), number(get("warc-segment-number"), (1 << 31) - 1),
                     number(get("warc-segment-total-length")), block,
                 ))
                 size += len(block)
@@ -229,11 +267,27 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in ``path``, one row each."""
+    """All records of the archives in ``path``, one row each. Damaged ones are left out and
+    counted by ``archive_damage``; numbers that are none are null."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_parsed, _RECORD)
 
 
+def archive_damage(spark: SparkSession, path: str) -> DataFrame:
+    """``path, left_out``: for each archive how many records and gzip members were not read."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[int] = []
+            for content in batch.column("content"):
+                for _ in records_of(content.as_py(), counts):
+                    pass
+            yield pa.record_batch([batch.column("path"), pa.array(counts, pa.int64())], ["path", "left_out"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(counted, "path string, left_out bigint")
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers, totals = batch.column("numbers"), batch.column("totals")

@@ -2,13 +2,14 @@
 
 import hashlib
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsgrist.functions.lineage import scratch_path
 from newsgrist.llm.warc import (
-    archive_index, chunked, page_records, payload_of, read_records, reassemble, records_of, unchunked, write_archives,
+    archive_damage, archive_index, chunked, page_records, payload_of, read_records, reassemble, records_of, unchunked, write_archives,
 )
 
 SCHEMA = "page_id bigint, url string, html string, digest string, salt int"
@@ -91,7 +92,8 @@ def test_framing(payload):
     assert unchunked(chunked(payload, 7) + b"Trailer: x\r\n\r\n") == payload
 
 
-@pytest.mark.parametrize("body", [b"", b"5\r\nabc", b"x\r\n", b"3\r\nabcd\r\n0\r\n\r\n", b"3\r\nabc\r\n", b"-3\r\nabc\r\n0\r\n\r\n"])
+@pytest.mark.parametrize("body", [b"", b"5\r\nabc", b"x\r\n", b"3\r\nabcd\r\n0\r\n\r\n", b"3\r\nabc\r\n", b"-3\r\nabc\r\n0\r\n\r\n",
+                                  b"1_0\r\n" + b"x" * 16 + b"\r\n0\r\n\r\n", b"+1\r\nx\r\n0\r\n\r\n", b"f" * 17 + b"\r\nx"])
 def test_broken_framing(body):
     assert unchunked(body) is None
 
@@ -107,3 +109,51 @@ def test_files_with_a_member_for_each_record_and_cut_files():
     members = b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)
     assert list(records_of(plain)) == list(records_of(members)) and len(records) > 2
     assert len(list(records_of(plain[:-100]))) == len(records) - 1
+
+
+HEAD = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\n"
+
+
+@pytest.mark.parametrize("bad", [
+    b"\r\nbody", b"Content-Length: \r\n\r\n", b"Content-Length: -5\r\n\r\nabcde", b"Content-Length: 1_0\r\n\r\n0123456789",
+    b"Content-Length: ten\r\n\r\n", b"Content-Length: 99999999999999999999\r\n\r\n", b"Content-Length: 4000\r\n\r\nshort", b"",
+])
+def test_a_bad_record_does_not_hide_the_next(bad):
+    good = list(page_records(1, "u", b"x" * 50, "d", 1, None, True))[0] + b"\r\n\r\n"
+    left_out = []
+    found = list(records_of(good + HEAD + bad + b"\r\n\r\n" + good, left_out))
+    assert [f["x-page-id"] for f, _ in found] == ["1", "1"] and left_out == [1]
+
+
+def test_any_bytes_are_read(spark, tmp_path):
+    """Flipped, cut and doubled bytes: no crash, and what is given back is a record written."""
+    rnd = random.Random(7)
+    pages = [(i, bytes(rnd.choice(b"abc \r\n") for _ in range(rnd.randrange(3000)))) for i in range(12)]
+    records = [r + b"\r\n\r\n" for i, t in pages for r in page_records(i, "u", t, hashlib.sha256(t).hexdigest(), 1, None, True, 700)]
+    whole = {"one": gzip.compress(b"".join(records)), "many": b"".join(map(gzip.compress, records)), "plain": b"".join(records)}
+    damage, n = 0, 0
+    for name, archive in whole.items():
+        assert len(list(records_of(archive))) == len(records)
+        for k in range(60):
+            data = bytearray(archive)
+            for _ in range(rnd.randrange(1, 4)):
+                at = rnd.randrange(len(data))
+                kind = rnd.randrange(3)
+                if kind == 0:
+                    data[at] ^= 1 << rnd.randrange(8)
+                elif kind == 1:
+                    del data[at : at + rnd.randrange(1, 300)]
+                else:
+                    data[at:at] = data[at : at + rnd.randrange(1, 300)]
+            left_out = []
+            got = len(list(records_of(bytes(data), left_out)))
+            damage += left_out[0]
+            if k < 8:
+                (tmp_path / f"{name}{k}.warc.gz").write_bytes(data)
+                n += 1
+    assert damage > 0
+    payloads = dict(pages)
+    found = reassemble(read_records(spark, str(tmp_path))).where("payload is not null").collect()
+    assert found and archive_damage(spark, str(tmp_path)).count() == n
+    same = [bytes(r.payload) == payloads.get(r.page_id) for r in found]
+    assert sum(same) > 0.9 * len(same)
