@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.pinned import pinned
-from newsgrist.functions.text import is_blank, strip
+from newsgrist.functions.text import escape_markup, is_blank, let, strip
 from newsgrist.functions.times import parse_timestamp
 from newsgrist.sources.contract import (
     Scan, errors_of, http_error, metadata_of, order_of, payloads_of,
@@ -33,16 +33,47 @@ def _parsed(body: Column) -> Column:
     return F.from_xml(body, _FEED, _OPTIONS)
 
 
-def _whole_entries(body: Column, tag: str) -> Column:
-    """Complete entries cut out of a broken body (SRC-7)."""
-    return F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}(?=[\s>]).*?</{tag}\s*>"), F.lit(0))
+def _plain_markup(body: Column) -> Column:
+    """``body`` without comments, its CDATA sections as escaped text; an open one ends it."""
+
+    def section(piece: Column) -> Column:
+        end = F.instr(piece, "]]>")
+        inside = escape_markup(F.substr(piece, F.lit(1), end - 1))
+        return F.when(end > 0, F.concat(inside, F.substr(piece, end + 3))).otherwise("")
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), section), ""))
+
+    return F.regexp_replace(let(F.split(body, r"<!\[CDATA\["), joined), "(?s)<!--.*?-->", "")
+
+
+def _whole_entries(markup: Column, tag: str) -> Column:
+    """Complete entries cut out of a broken body (SRC-7). Every start tag begins one, so an
+    entry that is not closed takes no other with it."""
+    cut = F.transform(F.split(markup, rf"(?=<{tag}[\s>])"), lambda p: F.regexp_extract(p, rf"(?s)\A<{tag}[\s>].*?</{tag}\s*>", 0))
+    return F.filter(cut, lambda p: p != "")
+
+
+def _declarations(markup: Column) -> Column:
+    """Declarations of the prefixes in use. Names are all that is read of a prefixed element,
+    so it does not matter which space a prefix stands for."""
+    names = [
+        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
+        for pattern in (r"</?([A-Za-z_][\w.-]*):", r"\s([A-Za-z_][\w.-]*):[\w.-]+\s*=\s*[\"']")
+    ]
+    used = F.filter(F.array_distinct(F.concat(*names)), lambda n: ~F.lower(n).startswith("xml"))
+    return F.array_join(F.transform(used, lambda n: F.concat(F.lit(" xmlns:"), n, F.lit('="urn:'), n, F.lit('"'))), "")
 
 
 def _salvaged(body: Column) -> Column:
     """A well-formed feed made of the complete entries of a broken one; null without any."""
-    pieces = F.concat(_whole_entries(body, "item"), _whole_entries(body, "entry"))
-    inner = F.regexp_replace(F.array_join(pieces, "\n"), _PREFIXES, "$1$2")
-    return F.when(F.size(pieces) > 0, F.concat(F.lit("<feed>"), inner, F.lit("</feed>")))
+
+    def wrapped(markup: Column) -> Column:
+        entries = F.concat(_whole_entries(markup, "item"), _whole_entries(markup, "entry"))
+        inner = F.regexp_replace(F.array_join(entries, "\n"), _PREFIXES, "$1$2")
+        return let(inner, lambda x: F.when(x != "", F.concat(F.lit("<feed"), _declarations(x), F.lit(">"), x, F.lit("</feed>"))))
+
+    return let(_plain_markup(body), wrapped)
 
 
 def _first_text(*choices: Column) -> Column:

@@ -74,6 +74,23 @@ def test_feeds(spark):
     assert {(e.source, e.message) for e in errors.collect()} == {("bad", "malformed feed"), ("http", "HTTP status 503")}
 
 
+def test_entries_of_broken_feeds(spark):
+    """Prefixes that nothing declares, sections that look like markup, entries left open."""
+    rss = """<rss xmlns:q="urn:q"><channel><!-- <item><title>no</title></item> -->
+      <item><title><![CDATA[A </item> <b>]]></title><link>https://e.com/a</link><q:creator>Ann</q:creator><z:x a:b="1" xml:lang="de"/></item>
+      <item><title>Open</title><link>https://e.com/o</link>
+      <item><title>B</title><link>https://e.com/b</link><items>3</items><r.-1:date>2026-09-18</r.-1:date></item ><item><title>cut"""
+    atom = """<feed xmlns:k="u"><entry k:n='1'><title type="html"><![CDATA[]]>C<![CDATA[ & D]]></title><link href="https://e.com/c"/></entry>
+      <entry><title>E</title><link href="https://e.com/e"/></entry><entry><title><![CDATA[never closed</title></entry>"""
+    src = sources(spark, [(0, "feed", n, True, 9, []) for n in ("rss", "atom", "none")])
+    pay = payloads(spark, [("rss", "feed", None, 200, rss), ("atom", "feed", None, 200, atom), ("none", "feed", None, 200, "<rss><item><![CDATA[</item>")])
+    raw, errors, _ = scan_feeds(pay, src)
+    got = sorted((r.source, r.title, r.url, r.author) for r in raw.collect())
+    assert got == [("atom", "C & D", "https://e.com/c", None), ("atom", "E", "https://e.com/e", None),
+                   ("rss", "A </item> <b>", "https://e.com/a", "Ann"), ("rss", "B", "https://e.com/b", None)]
+    assert [e.source for e in errors.collect()] == ["none"]
+
+
 def test_feed_variants(spark):
     rss = """<rss version="2.0"><channel>
       <item><title>A</title><guid>https://e.com/g</guid></item>
