@@ -20,6 +20,7 @@ from math import factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgrist.functions.lineage import cut_lineage
 from newsgrist.functions.skew import with_salted_lookup
 
 FILTERS = "ABCDE"
@@ -50,7 +51,8 @@ def verdicts(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), own_failures(text).alias("failed"),
     )
-    rows = rows.groupBy("digest", "doc_id", "part", "failed").agg(F.count("*").alias("n"))
+    # Read three times below, so texts are judged once.
+    rows = cut_lineage(rows.groupBy("digest", "doc_id", "part", "failed").agg(F.count("*").alias("n")))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     rows = with_salted_lookup(rows, first, "digest", F.coalesce("doc_id", F.lit(-1)))
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).cast("int")
