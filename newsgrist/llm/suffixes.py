@@ -46,6 +46,7 @@ _BITS, _HALF = U(42), U(21)
 _LOW = U((1 << 21) - 1)
 _NO_ID = (1 << 63) - 1
 SAMPLES = 64
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOUND_ROWS = 1_000_000
 
 
@@ -115,19 +116,60 @@ def anchors(raw: np.ndarray, limits: Limits) -> Iterator[tuple[np.ndarray, np.nd
         yield hashes[(least[first] & _LOW).astype(np.int64)], first + start, last + start
 
 
+def _text_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows in a row of at most about a million bytes together; a longer text by itself."""
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + (1 << 20), "right")) - 1)
+        yield start, end
+        start = end
+
+
+def group_anchors(raw: np.ndarray, edges: np.ndarray, limits: Limits) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, hash, first, last) for the texts between ``edges`` of ``raw``, as ``anchors``."""
+    length = limits.length
+    if len(edges) == 2:
+        for found in anchors(raw, limits):
+            yield np.zeros(len(found[0]), dtype=np.int64), *found
+        return
+    hashes = string_hashes(raw, limits.gram)
+    if len(raw) < length:
+        return
+    placed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=U)
+    least = _window_minima(placed, length - limits.gram + 1)
+    # Passages within one text; their anchors lie in it too, so runs end with it.
+    inside = np.zeros(len(raw) + 1, dtype=np.int8)
+    long = np.diff(edges) >= length
+    np.add.at(inside, edges[:-1][long], 1)
+    np.add.at(inside, edges[1:][long] - length + 1, -1)
+    starts = np.flatnonzero(np.cumsum(inside[: len(least)], dtype=np.int8))
+    least = least[starts]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(least), 1), bool), least[1:] != least[:-1]]))
+    first, last = starts[new], starts[np.append(new[1:], len(least)) - 1] if len(new) else starts[:0]
+    text = np.searchsorted(edges, first, "right") - 1
+    yield text, hashes[(least[new] & _LOW).astype(np.int64)], first - edges[text], last - edges[text]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the edges of its values in them."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, np.uint8), edges
+
+
 def _anchor_rows(limits: Limits) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column("text")[i].as_py()
-                if len(data) < limits.length:
-                    continue
-                raw = np.frombuffer(data, dtype=np.uint8)
-                key, own = batch.column("key")[i].as_py(), batch.column("id")[i].as_py()
-                for hashes, first, last in anchors(raw, limits):
-                    n = len(hashes)
+            if not batch.num_rows:
+                continue
+            raw, edges = _bytes_of(batch.column("text"))
+            for start, end in _text_groups(edges):
+                here = edges[start : end + 1]
+                for text, hashes, first, last in group_anchors(raw[here[0] : here[-1]], here - here[0], limits):
+                    rows = pa.array(text + start)
                     yield pa.record_batch(
-                        [pa.array(hashes.view(np.int64)), pa.array([key] * n, pa.binary()), pa.array([own] * n, pa.int64()),
+                        [pa.array(hashes.view(np.int64)), batch.column("key").take(rows), batch.column("id").take(rows),
                          pa.array(first, pa.int64()), pa.array(last, pa.int64())],
                         ["anchor", "key", "id", "first", "last"],
                     )
@@ -247,9 +289,9 @@ def _triples(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ordered(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorting order, and where a new key begins in it."""
-    order = np.lexsort((low, high))
-    h, w = high[order], low[order]
-    return order, np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    order = np.argsort(low)
+    order = order[np.argsort(high[order], kind="stable")]
+    return order, _changes(high[order]) | _changes(low[order])
 
 
 def _own_keys(text: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> tuple:
@@ -331,45 +373,78 @@ def _codes(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (2 * at + equal).astype(U), equal
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    return np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])
+
+
 def _joined(codes: np.ndarray, equal: np.ndarray, then: np.ndarray) -> np.ndarray:
     return (codes << _BITS) | np.where(equal, then, U(0))
 
 
-def _places(own: list[np.ndarray], other: list[np.ndarray], letters: int) -> np.ndarray:
-    """How many suffixes of ``other`` (rank order) come before each of ``own``: by one or two
-    letters and the rank after them."""
-    mine, theirs = own[0], other[0]
-    known = np.unique(theirs)
-    own_code, equal = _codes(known, mine)
-    code, all_known = _codes(known, theirs)
-    if letters == 2:
-        theirs, mine = _joined(code, all_known, other[1]), _joined(own_code, equal, own[1])
-        known = np.unique(theirs)
-        own_code, equal = _codes(known, mine)
-        code, all_known = _codes(known, theirs)
-    return np.searchsorted(_joined(code, all_known, other[-1]), _joined(own_code, equal, own[-1]))
+def _places(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many suffixes of ``other`` come before each of ``own``: by one or two letters and
+    the rank after them. Both are in suffix order, so letters are sorted as they are."""
+    mine, equal, theirs = own[0], None, other[0]
+    for k in range(1, len(own)):
+        new = _changes(theirs)
+        code = (2 * np.cumsum(new) - 1).astype(U)
+        own_code, equal = _codes(theirs[new], mine)
+        theirs, mine = (code << _BITS) | other[k], _joined(own_code, equal, own[k])
+    return np.searchsorted(theirs, mine)
+
+
+def _sorted_zero(letter: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The order of class 0, by letter and the rank after it: in one word if that holds both."""
+    bits = int(after.max()).bit_length() if len(after) else 0
+    if len(letter) and bits + int(letter.max()).bit_length() <= 64:
+        return np.argsort((letter << U(bits)) | after)
+    return np.lexsort((after, letter))
 
 
 def _merged(zero: list, one: list, two: list) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the class 0 suffixes, and of classes 1 and 2 together, in their common
     order."""
     order1, order2 = np.argsort(one[0]), np.argsort(two[0])
-    place = _places([zero[0], zero[2]], [x[order1] for x in one[1:]], 1)
-    place = place + _places([zero[0], zero[1], zero[3]], [x[order2] for x in two[1:]], 2)
-    own = np.lexsort((zero[2], zero[0]))
-    own = own[np.argsort(place[own], kind="stable")]
-    at = place[own]
+    own = _sorted_zero(zero[0], zero[2])
+    letter, after_letter, after1, after2 = (x[own] for x in zero)
+    place = _places([letter, after1], [x[order1] for x in one[1:]])
+    place = place + _places([letter, after_letter, after2], [x[order2] for x in two[1:]])
+    # Sorted already but for suffixes that no comparison tells apart.
+    again = np.argsort(place, kind="stable")
+    own, place = own[again], place[again]
     first = np.empty(len(own), dtype=np.int64)
-    first[own] = at + np.arange(len(own))
-    sample = np.argsort(np.concatenate([one[0], two[0]]))
-    rest = np.empty(len(sample), dtype=np.int64)
-    rest[sample] = np.arange(len(sample)) + np.searchsorted(at, np.arange(len(sample)), "right")
+    first[own] = place + np.arange(len(own))
+    total = len(order1) + len(order2)
+    # Two sorted runs: a stable sort only merges them.
+    merged = np.argsort(np.concatenate([one[0][order1], two[0][order2]]), kind="stable")
+    sample = np.concatenate([order1, order2 + len(order1)])[merged]
+    rest = np.empty(total, dtype=np.int64)
+    rest[sample] = np.arange(total) + np.cumsum(np.bincount(place, minlength=total + 1))[:total]
     return first, rest
 
 
 _WIDTHS = (5, 4, 5)
 
 
+def _of_round(suffixes: list[np.ndarray], k: int, splitters: list[np.ndarray], parts: range) -> np.ndarray | None:
+    """Which suffixes of class ``k`` fall into the ranges of this round; None for all."""
+
+    def from_on(border: int) -> np.ndarray:
+        rank, letter, after = (x[border] for x in splitters)
+        if k:
+            return suffixes[1] >= rank
+        return (suffixes[1] > letter) | ((suffixes[1] == letter) & (suffixes[3] >= after))
+
+    out = None
+    if parts.start > 0:
+        out = from_on(parts.start - 1)
+    if parts.stop <= len(splitters[0]):
+        below = ~from_on(parts.stop - 1)
+        out = below if out is None else out & below
+    return out
+
+
 def _exchange_rows(level: int, splitters: list[np.ndarray], parts: range, limits: Limits) -> Callable:
     """Blocks with ranks of their sample -> (part, block, data), all suffixes by range. On the
     top level only those that may start a repeated passage, with its hash."""
@@ -389,6 +464,8 @@ def _exchange_rows(level: int, splitters: list[np.ndarray], parts: range, limits
                     classes = [[x[starts[c[0]]] for x in c] + [hashes[c[0][starts[c[0]]]]] for c in classes]
                 dealt = []
                 for k, c in enumerate(classes):
+                    mine = _of_round(c, k, splitters, parts)
+                    c = c if mine is None else [x[mine] for x in c]
                     if k:
                         part = np.searchsorted(rank, c[1], "right")
                     else:
@@ -456,8 +533,11 @@ def _compared(table: pa.Table) -> pa.Table:
     ends = [[int(hashes[k]), int(blocks[owner[order[k]]]), int(place[order[k]])] for k in (0, -1)]
     rows = [(part, -1, [_dump(np.array([x], dtype=U)) for end in ends for x in end])]
     at, own = place[equal], owner[equal]
-    for i in np.unique(own):
-        rows.append((part, int(blocks[i]), [_dump(np.sort(at[own == i]))]))
+    by_block = np.argsort(own, kind="stable")
+    at, own = at[by_block], own[by_block]
+    cuts = np.flatnonzero(_changes(own))
+    for i, here in zip(own[cuts], np.split(at, cuts[1:])):
+        rows.append((part, int(blocks[i]), [_dump(here)]))
     return pa.table(
         {"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()),
          "data": pa.array([r[2] for r in rows], pa.list_(pa.binary())), "total": pa.array([0] * len(rows), pa.int64())}
@@ -490,8 +570,15 @@ class SuffixSort:
         self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, "suffixes")
-        df.write.parquet(path)
+        """``df`` as a table; its shuffle files go with the job, not with the driver's next
+        collection of garbage."""
+        path, conf = scratch_path(self.spark, "suffixes"), self.spark.conf
+        before = conf.get(_SHUFFLE_CLEANUP, "false")
+        conf.set(_SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -655,7 +742,8 @@ def _spans(limits: Limits) -> Callable:
         rows = table.to_pylist()
         own = next(r for r in rows if r["places"] is not None)
         hits = [_load(x) for r in rows if r["places"] is None for x in r["data"]]
-        at = np.unique(np.concatenate([np.empty(0, dtype=U), *hits])).astype(np.int64)
+        at = np.sort(np.concatenate([np.empty(0, dtype=U), *hits])).astype(np.int64)
+        at = at[_changes(at)]
         keys, found = [], []
         edges = np.searchsorted(at, [*own["places"], np.iinfo(np.int64).max])
         for k, (key, start, place) in enumerate(zip(own["keys"], own["starts"], own["places"])):

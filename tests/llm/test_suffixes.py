@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from newsgrist.llm.suffixes import Limits, anchors, remove_repeats
+from newsgrist.llm.suffixes import Limits, _text_groups, anchors, group_anchors, remove_repeats
 
 # Few letters, short blocks and ranges: several levels, many borders.
 SMALL = Limits(length=12, block=60, part=40)
@@ -55,6 +55,20 @@ def test_equal_passages_have_equal_anchors():
             assert known.setdefault(text[i : i + 24].tobytes(), h) == h
 
 
+def test_anchors_of_texts_side_by_side():
+    rng = np.random.default_rng(2)
+    limits = Limits(length=10)
+    sizes = [0, 9, 10, 11, 0, 300, 5, 40, 0]
+    raw = rng.integers(97, 100, sum(sizes)).astype(np.uint8)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    rows = lambda k, found: [(k, *x) for x in zip(*(a.tolist() for a in found))]
+    want = [r for k in range(len(sizes)) for found in anchors(raw[edges[k] : edges[k + 1]], limits) for r in rows(k, found)]
+    got = [tuple(x) for found in group_anchors(raw, edges, limits) for x in zip(*(a.tolist() for a in found))]
+    assert got == want
+    groups = list(_text_groups(np.array([0, 10, 1 << 20, 1 << 20, (1 << 20) + 1, 5 << 20, 5 << 20])))
+    assert [g[0] for g in groups[1:]] == [g[1] for g in groups[:-1]] and groups[-1][1] == 6
+
+
 def test_random_texts(docs):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abc") for _ in range(9)) for _ in range(12)]
