@@ -7,12 +7,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from newsgrist.functions.lineage import scratch_path
+from newsgrist.functions.lineage import cut_lineage, scratch_path
 from newsgrist.functions.patterns import matched_keywords
 from newsgrist.functions.text import clean_text
 from newsgrist.functions.urls import canonical_url
 from newsgrist.operators import filters, history, metrics, outbox, quality, relevance
-from newsgrist.functions.lineage import cut_lineage
 from newsgrist.operators.dedup import drop_duplicates, flag_duplicates, known_keys
 from newsgrist.operators.normalize import split_quarantine
 from newsgrist.operators.rulejoin import rule_index, score_by_table
@@ -630,18 +629,24 @@ PHRASES = [
 ]
 
 
+def _picked(words: list[str], n: Column) -> Column:
+    """One of ``words`` by number; the driver's texts hold few words of the rules themselves."""
+    return F.get(F.array(*[F.lit(w) for w in words]), (n % len(words)).cast("int"))
+
+
 @query
 def rule_table_scores(spark, sf_dir):
-    """Rules from a validated table, with keywords that are no words, on phrases."""
+    """Rules from a validated table, with keywords that are no words: over all documents, each
+    with a phrase before its title and its description."""
     rules = quality.rules_of(quality.rules_frame(spark, SYMBOLS), threshold=tb.RULES.threshold)
-    phrases = F.array(*[F.lit(p) for p in PHRASES])
-    pick = lambda n: F.get(phrases, (n % len(PHRASES)).cast("int"))
-    part = F.col("p_partkey")
-    rows = tb.table(spark, sf_dir, "part").select(
-        part, pick(part).alias("title"), pick(F.floor(part / len(PHRASES))).alias("description"),
+    doc = F.col("doc_id")
+    rows = tb.raw_documents(spark, sf_dir).select(
+        doc, F.concat_ws(" ", _picked(PHRASES, doc), F.col("title")).alias("title"),
+        F.concat_ws(" ", _picked(PHRASES, F.floor(doc / len(PHRASES))), F.coalesce("description", F.lit(""))).alias("description"),
         F.array().cast("array<string>").alias("categories"),
     )
-    return relevance.score(rows, rules).select("p_partkey", "relevance_score", _joined("categories"), _joined("matched_keywords"))
+    scored = relevance.score(rows, rules)
+    return scored.select("doc_id", "relevance_score", _joined("categories"), _joined("matched_keywords"))
 
 
 def rule_table(spark, sf_dir) -> DataFrame:
@@ -672,16 +677,15 @@ def rule_join_scores(spark, sf_dir):
 
 @query
 def default_rule_scores(spark, sf_dir):
-    """The default rules on keywords of their own, one to a row."""
+    """The default rules over all documents, each with one of their keywords in capitals before
+    its description."""
     rules = relevance.Rules()
-    words = F.array(*[F.lit(w) for group in rules.categories.values() for w in group])
-    part = F.col("p_partkey")
-    word = F.element_at(words, (part % F.size(words)).cast("int") + 1)
-    rows = tb.table(spark, sf_dir, "part").select(
-        part, F.concat(F.lit("On "), F.upper(word), F.lit(" today")).alias("title"), F.lit(None).cast("string").alias("description"),
+    words = [w.upper() for group in rules.categories.values() for w in group]
+    rows = tb.raw_documents(spark, sf_dir).select(
+        "doc_id", "title", F.concat(_picked(words, F.col("doc_id")), F.lit(", "), F.coalesce("description", F.lit(""))).alias("description"),
         F.array().cast("array<string>").alias("categories"),
     )
-    return relevance.score(rows, rules).select("p_partkey", (F.col("relevance_score") >= rules.title_weight).alias("found"))
+    return relevance.score(rows, rules).select("doc_id", "relevance_score", _joined("categories"), _joined("matched_keywords"))
 
 
 # -- incremental -----------------------------------------------------------------------
