@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Where a record of a run ended up.
 INVALID, STALE, IRRELEVANT = "invalid", "stale", "below_threshold"
@@ -35,27 +35,38 @@ def status_report(store: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def record_counts() -> list[Column]:
+    """The counters of AGG-6 that come from staged records: for an aggregate, or to be observed
+    while the records are written."""
+
+    def ended(*stages: str) -> Column:
+        return F.count_if(F.col("stage").isin(*stages))
+
+    return [
+        F.count("*").alias("raw_articles"),
+        F.count_if(F.col("stage") != INVALID).alias("processed_articles"),
+        ended(STALE, IRRELEVANT).alias("filtered_articles"),
+        ended(REPEATED, STORED).alias("duplicate_articles"),
+        ended(NEW).alias("persisted_articles"),
+    ]
+
+
 def run_summary(
-    staged: DataFrame, sources: DataFrame, errors: DataFrame, outbox: DataFrame,
+    staged: DataFrame | dict[str, int], sources: DataFrame, errors: DataFrame, outbox: DataFrame,
     results: DataFrame | None, *, dry_run: bool, good: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-6: the counters of a run as one row.
 
-    ``staged`` has a row per raw record with its ``stage``; ``results`` is null in a dry run.
+    ``staged`` has a row per raw record with its ``stage``, or is what ``record_counts`` gave
+    when they were written; ``results`` is null in a dry run.
     ``good`` names the sources with a usable payload: an enabled source without one did not
     succeed, whether or not it left an error. Without ``good`` all enabled sources without
     an error count.
     """
-    def ended(*stages: str):
-        return F.count_if(F.col("stage").isin(*stages))
-
-    records = staged.agg(
-        F.count("*").alias("raw_articles"),
-        F.count_if(F.col("stage") != INVALID).alias("processed_articles"),
-        ended(STALE, IRRELEVANT).alias("filtered_articles"),
-        ended(REPEATED, STORED).alias("duplicate_articles"),
-        ended(NEW).alias("persisted_articles"),
-    )
+    if isinstance(staged, dict):
+        records = sources.sparkSession.createDataFrame([staged], ", ".join(f"{k} bigint" for k in staged))
+    else:
+        records = staged.agg(*record_counts())
     enabled = sources.where("enabled").select(F.col("name").alias("source"))
     if good is None:
         failed = errors.where(F.col("query").isNull()).select("source")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from newsgrist import fixed_values as fixed
 from newsgrist.functions.lineage import cut_lineage
@@ -103,6 +103,13 @@ def staged_run(
     )
 
 
+def written_run(staged: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Staged records at rest, and their counters, observed by the job that writes them."""
+    seen = Observation()
+    written = cut_lineage(staged.observe(seen, *metrics.record_counts()))
+    return written, seen.get
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of a run."""
@@ -148,7 +155,7 @@ def run_records(
     threshold = settings.rules.threshold
     stored = store.create().read(without_batch=batch_id)
     filters = store.key_filters(without_batch=batch_id)
-    staged = cut_lineage(
+    staged, counts = written_run(
         staged_run(raw, settings.rules, stored, now=now, max_age_hours=settings.max_age_hours, filters=filters)
     )
     new = staged.where(F.col("stage") == metrics.NEW)
@@ -163,7 +170,7 @@ def run_records(
         # A replay adds to the marks of its batch: they are read before they are replaced.
         store.mark_sent(results, batch_id)
     summary = metrics.run_summary(
-        staged, sources, errors, outbox, results, dry_run=deliver is None, good=good
+        counts, sources, errors, outbox, results, dry_run=deliver is None, good=good
     )
     return Run(staged, outbox, summary, errors)
 

@@ -20,7 +20,7 @@ from newsgrist.operators.store import (
     with_delivery,
 )
 from newsgrist.plans import payloads, testbed as tb
-from newsgrist.plans.jobs import Settings, batch_job, run, score_job, staged_run, with_order
+from newsgrist.plans.jobs import Settings, batch_job, run, score_job, staged_run, with_order, written_run
 from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, STORE_SCHEMA
 from newsgrist.sources import scan_all, scan_feeds, scan_repos, scan_stories
 from newsgrist.sources.contract import metadata_of
@@ -580,8 +580,9 @@ def _payload_results(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
 def payload_summary(spark, sf_dir):
     """Counters with failed fetches, silent sources and deliveries."""
     scan, sources, staged = _payload_run(spark, sf_dir)
+    staged, counts = written_run(staged)
     box, results = _payload_results(staged)
-    return metrics.run_summary(staged, sources, scan.errors, box, results, dry_run=False, good=scan.good)
+    return metrics.run_summary(counts, sources, scan.errors, box, results, dry_run=False, good=scan.good)
 
 
 @query

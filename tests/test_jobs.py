@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsgrist.operators import filters, metrics
 from newsgrist.operators.relevance import Rules
 from newsgrist.operators.store import ArticleStore
-from newsgrist.plans.jobs import Settings, run, run_records, staged_run
+from newsgrist.plans.jobs import Settings, run, run_records, staged_run, written_run
 from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, SOURCE_SCHEMA, STORE_SCHEMA
 from newsgrist.streaming import incremental
 
@@ -144,6 +144,19 @@ def test_full_runs(spark, tmp_path):
     assert (third["eligible_for_notification"], third["failed_notifications"]) == (1, 1)
 
 
+def test_counters_are_observed_by_the_write(spark):
+    """They equal an aggregate over the records, which is then not needed."""
+    stages = [metrics.INVALID, metrics.STALE, metrics.IRRELEVANT, metrics.REPEATED, metrics.STORED, metrics.NEW, metrics.NEW]
+    staged = spark.createDataFrame([(s,) for s in stages * 30], "stage string").repartition(5)
+    written, counts = written_run(staged)
+    assert counts == written.agg(*metrics.record_counts()).first().asDict()
+    src, none = feed_sources(spark, "one"), spark.createDataFrame([], ERROR_SCHEMA)
+    box = spark.createDataFrame([], "id string")
+    summary = metrics.run_summary(counts, src, none, box, None, dry_run=True)
+    assert "parquet" not in summary._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert summary.first() == metrics.run_summary(written, src, none, box, None, dry_run=True).first()
+
+
 def test_bad_settings_raise_before_any_work(spark, tmp_path):
     store = ArticleStore(spark, str(tmp_path / "s"))
     with pytest.raises(ValueError):
