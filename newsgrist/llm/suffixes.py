@@ -8,7 +8,7 @@ passages are then neighbours.
   Equal passages have equal anchors, so a passage whose anchor occurs once in the table occurs
   once. Only the others go into the sort; equal texts enter once, by their smallest id. This
   decides nothing but what is sorted.
-* **Blocks.** What is left of the texts is laid out in blocks of about a million bytes, each a
+* **Blocks.** What is left of the texts is laid out in blocks of half a million bytes, each a
   string of its own: segments with a separator after each. A block's reduced string of names
   stays with the block, so only keys and names are shuffled.
 * **Recursion.** The suffixes at places 1 and 2 modulo 3 are the sample. Their triples are
@@ -46,6 +46,7 @@ _BITS, _HALF = U(42), U(21)
 _LOW = U((1 << 21) - 1)
 _NO_ID = (1 << 63) - 1
 SAMPLES = 64
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOUND_ROWS = 1_000_000
 
@@ -56,8 +57,8 @@ class Limits:
     rounds a merge is cut on the top level, the second, ..., which bounds the disk it takes."""
 
     length: int = 400
-    block: int = 1 << 20
-    part: int = 1 << 20
+    block: int = 1 << 19
+    part: int = 1 << 19
     rounds: tuple[int, ...] = (4, 3, 2)
 
     @property
@@ -569,16 +570,19 @@ class SuffixSort:
         self.spark, self.limits = spark, limits
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """``df`` as a table; its shuffle files go with the job, not with the driver's next
-        collection of garbage."""
+    def write(self, df: DataFrame, *, blocks: bool = True) -> DataFrame:
+        """``df`` as a table. Its shuffle files go with the job, not with the driver's next
+        collection of garbage; rows that are ``blocks`` reach Python a few at a time."""
         path, conf = scratch_path(self.spark, "suffixes"), self.spark.conf
-        before = conf.get(_SHUFFLE_CLEANUP, "false")
-        conf.set(_SHUFFLE_CLEANUP, "true")
+        settings = {_SHUFFLE_CLEANUP: "true"} | ({_BATCH_ROWS: "4"} if blocks else {})
+        before = {k: conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            conf.set(_SHUFFLE_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -767,12 +771,21 @@ def repeated_spans(documents: DataFrame, limits: Limits) -> DataFrame:
     sort = SuffixSort(spark, limits)
     rows = documents.select("key", "id", "text")
     found = rows.mapInArrow(_anchor_rows(limits), "anchor bigint, key binary, id bigint, first bigint, last bigint")
-    found = sort.write(found.groupBy("anchor", "key", "first", "last").agg(F.min("id").alias("id")))
+    found = sort.write(found.groupBy("anchor", "key", "first", "last").agg(F.min("id").alias("id")), blocks=False)
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     hits = with_salted_lookup(found, shared, "anchor", F.xxhash64("key", "first"), how="inner")
     spans = hits.groupBy("key").agg(F.min("id").alias("id"), F.collect_list(F.struct("first", "last")).alias("spans"))
-    blocks = sort.write(rows.join(spans, ["key", "id"]).select("key", "text", "spans").mapInArrow(_block_rows(limits), _BLOCK_SCHEMA))
+    spans = sort.write(spans, blocks=False)
     sort.forget(found)
+    # Within the bounds texts stay where they are, or only those with candidates move.
+    if fits(spans, FOUND_ROWS):
+        rows = rows.join(F.broadcast(spans), ["key", "id"])
+    elif fits(spans.select("key"), FOUND_ROWS):
+        rows = rows.join(F.broadcast(spans.select("key")), "key", "left_semi").join(spans, ["key", "id"])
+    else:
+        rows = rows.join(spans, ["key", "id"])
+    blocks = sort.write(rows.select("key", "text", "spans").mapInArrow(_block_rows(limits), _BLOCK_SCHEMA), blocks=False)
+    sort.forget(spans)
     schema = "key binary, spans array<struct<start: bigint, end: bigint>>"
     if blocks.select("block").isEmpty():
         return spark.createDataFrame([], schema)
@@ -846,7 +859,7 @@ def remove_repeats(documents: DataFrame, limits: Limits = Limits(), *, keep_text
     spans = repeated_spans(rows.where(F.octet_length("text") >= limits.length), limits)
     copies = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copies"))
     sort = SuffixSort(documents.sparkSession, limits)
-    found = sort.write(spans.join(copies, "key", "full"))
+    found = sort.write(spans.join(copies, "key", "full"), blocks=False)
     if fits(found, FOUND_ROWS):
         joined = rows.join(F.broadcast(found), "key", "left")
     else:
