@@ -244,19 +244,51 @@ def _block_rows(limits: Limits) -> Callable:
 
 # ---- arrays in columns --------------------------------------------------------------------
 
-def _dump(values: np.ndarray) -> bytes:
-    """Numbers in the narrowest width that holds them."""
+def _narrow(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The narrowest width that holds the numbers, and the numbers in it."""
     top = int(values.max()) if len(values) else 0
     kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << (8 * int(k[1])))
-    return kind.encode() + values.astype(kind).tobytes()
+    return kind.encode(), values.astype(kind)
+
+
+def _dump(values: np.ndarray) -> bytes:
+    kind, numbers = _narrow(values)
+    return kind + numbers.tobytes()
 
 
 def _load(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=data[:2].decode(), offset=2).astype(U)
 
 
-def _gaps(places: np.ndarray) -> np.ndarray:
-    return np.diff(places, prepend=0)
+def _dump_parts(values: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """``_dump`` of what lies between each two ``edges``, in one width."""
+    kind, numbers = _narrow(values)
+    return [kind + numbers[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _load_all(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the parts, and how many each has."""
+    lengths = np.array([(len(x) - 2) // (x[1] - 48) for x in parts], dtype=np.int64)
+    if len({x[:2] for x in parts}) == 1:
+        whole = b"".join(x[2:] for x in parts)
+        return np.frombuffer(whole, dtype=parts[0][:2].decode()).astype(U), lengths
+    return np.concatenate([_load(x) for x in parts]), lengths
+
+
+def _gaps(places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; the first between two ``edges`` is a place."""
+    out = np.diff(places, prepend=0)
+    first = edges[:-1][edges[:-1] < edges[1:]]
+    out[first] = places[first]
+    return out
+
+
+def _places_of(gaps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places again, from ``_gaps`` of parts of these lengths."""
+    total = np.cumsum(gaps.astype(np.int64))
+    ends = np.cumsum(lengths)
+    before = np.concatenate([np.zeros(1, np.int64), total])[ends - lengths]
+    return total - np.repeat(before, lengths)
 
 
 def _sample_places(n: int) -> np.ndarray:
@@ -315,8 +347,8 @@ def _named(last: bool) -> Callable:
     """One range of keys -> their names; on the ``last`` level the ranks of their first."""
 
     def names(table: pa.Table) -> pa.Table:
-        loaded = [[_load(x.as_py()) for x in table.column(c)] for c in ("high", "low", "counts")]
-        high, low, counts = (np.concatenate(x) for x in loaded)
+        loaded = [_load_all(table.column(c).to_pylist()) for c in ("high", "low", "counts")]
+        high, low, counts = (x for x, _ in loaded)
         order, new = _ordered(high, low)
         numbers = np.empty(len(order), dtype=U)
         if last:
@@ -326,10 +358,10 @@ def _named(last: bool) -> Callable:
         else:
             numbers[order] = np.cumsum(new).astype(U)
             total = int(new.sum())
-        cuts = np.cumsum([len(x) for x in loaded[0]])[:-1]
+        edges = np.concatenate([[0], np.cumsum(loaded[0][1])])
         return pa.table(
             {"part": table.column("part"), "block": table.column("block"),
-             "data": pa.array([[_dump(x)] for x in np.split(numbers, cuts)], pa.list_(pa.binary())),
+             "data": pa.array([[x] for x in _dump_parts(numbers, edges)], pa.list_(pa.binary())),
              "total": pa.array([total] * table.num_rows, pa.int64())}
         )
 
@@ -474,12 +506,13 @@ def _exchange_rows(level: int, splitters: list[np.ndarray], parts: range, limits
                     order = np.argsort(part, kind="stable")
                     edges = np.searchsorted(part[order], np.arange(parts.start, parts.stop + 1))
                     dealt.append((order, edges, c))
-                numbers, out = [], []
-                for k, p in enumerate(parts):
-                    cuts = [order[edges[k] : edges[k + 1]] for order, edges, _ in dealt]
-                    if any(len(x) for x in cuts):
-                        numbers.append(p)
-                        out.append([_dump(_gaps(c[0][x]) if m == 0 else v[x]) for x, (_, _, c) in zip(cuts, dealt) for m, v in enumerate(c)])
+                columns = []
+                for order, edges, c in dealt:
+                    order, edges = order[edges[0] : edges[-1]], edges - edges[0]
+                    places = _gaps(c[0][order], edges)
+                    columns += [_dump_parts(x, edges) for x in (places, *(v[order] for v in c[1:]))]
+                full = [k for k in range(len(parts)) if any(edges[k] < edges[k + 1] for _, edges, _ in dealt)]
+                numbers, out = [parts[k] for k in full], [[x[k] for x in columns] for k in full]
                 block = batch.column("block")[i].as_py()
                 yield pa.record_batch(
                     [pa.array(numbers, pa.int32()), pa.array([block] * len(numbers), pa.int64()), pa.array(out, pa.list_(pa.binary()))],
@@ -490,12 +523,13 @@ def _exchange_rows(level: int, splitters: list[np.ndarray], parts: range, limits
 
 
 def _loaded_classes(table: pa.Table, extra: int) -> tuple[list, list]:
-    """Lists of the arrays of each class over all blocks, and the lengths by block."""
-    loaded = [[_load(x) for x in row.as_py()] for row in table.column("data")]
+    """The arrays of each class over all blocks (places as gaps), and the lengths by block."""
+    rows = table.column("data").to_pylist()
     classes, lengths, at = [], [], 0
     for width in _WIDTHS:
-        classes.append([np.concatenate([row[at + m] for row in loaded]) for m in range(width + extra)])
-        lengths.append([len(row[at]) for row in loaded])
+        loaded = [_load_all([row[at + m] for row in rows]) for m in range(width + extra)]
+        classes.append([x for x, _ in loaded])
+        lengths.append(loaded[0][1])
         at += width + extra
     return classes, lengths
 
@@ -504,10 +538,11 @@ def _ranked(table: pa.Table) -> pa.Table:
     """One range of suffixes -> their ranks in it, in the order they came."""
     classes, lengths = _loaded_classes(table, 0)
     first, rest = _merged(*[c[1:] for c in classes])
-    ones = len(classes[1][0])
-    found = [np.split(x + 1, np.cumsum(n)[:-1]) for x, n in zip((first, rest[:ones], rest[ones:]), lengths)]
-    gaps = [np.split(c[0], np.cumsum(n)[:-1]) for c, n in zip(classes, lengths)]
-    data = [[_dump(x[i]) for pair in zip(gaps, found) for x in pair] for i in range(table.num_rows)]
+    ones, columns = len(classes[1][0]), []
+    for c, ranks, n in zip(classes, (first, rest[:ones], rest[ones:]), lengths):
+        edges = np.concatenate([[0], np.cumsum(n)])
+        columns += [_dump_parts(c[0], edges), _dump_parts(ranks + 1, edges)]
+    data = [list(x) for x in zip(*columns)]
     total = len(first) + len(rest)
     return pa.table(
         {"part": table.column("part"), "block": table.column("block"), "data": pa.array(data, pa.list_(pa.binary())),
@@ -525,7 +560,7 @@ def _compared(table: pa.Table) -> pa.Table:
     order[position] = np.arange(len(position))
     blocks = np.array(table.column("block").to_pylist(), dtype=np.int64)
     owner = np.concatenate([np.repeat(np.arange(len(blocks)), n) for n in lengths])
-    place = np.concatenate([np.cumsum(g) for c, n in zip(classes, lengths) for g in np.split(c[0], np.cumsum(n)[:-1])])
+    place = np.concatenate([_places_of(c[0], n) for c, n in zip(classes, lengths)])
     hashes = np.concatenate([c[-1] for c in classes])[order]
     same = hashes[1:] == hashes[:-1]
     equal = np.zeros(len(order), bool)
@@ -644,7 +679,7 @@ class SuffixSort:
                     edges = own[4]
                     full = np.flatnonzero(np.diff(edges) > 0)
                     block = batch.column("block")[i].as_py()
-                    cut = [[_dump(x[edges[p] : edges[p + 1]]) for p in full] for x in own[:3]]
+                    cut = [[parts[p] for p in full] for parts in (_dump_parts(x, edges) for x in own[:3])]
                     yield pa.record_batch(
                         [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *[pa.array(x, pa.binary()) for x in cut]],
                         ["part", "block", "high", "low", "counts"],
@@ -682,11 +717,12 @@ class SuffixSort:
         def back(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("part").to_pylist(), table.column("data").to_pylist()), key=lambda r: r[0])
             (data, opened), rows = rows[0][1], rows[1:]
+            parts = np.array([r[0] for r in rows])
             at, ranks = [], []
-            for part, lists in rows:
-                for c in range(3):
-                    at.append(np.cumsum(_load(lists[2 * c])).astype(np.int64))
-                    ranks.append(_load(lists[2 * c + 1]) + bases[part])
+            for c in range(3):
+                gaps, lengths = _load_all([r[1][2 * c] for r in rows])
+                at.append(_places_of(gaps, lengths))
+                ranks.append(_load_all([r[1][2 * c + 1] for r in rows])[0] + np.repeat(bases[parts], lengths))
             whole = np.zeros(sum(map(len, at)), dtype=U)
             whole[np.concatenate(at)] = np.concatenate(ranks)
             return _state_row(table.column("block")[0].as_py(), data, opened, whole, level)
