@@ -9,6 +9,7 @@ from newsgrist.operators import filters, metrics
 from newsgrist.operators.relevance import Rules
 from newsgrist.operators.store import ArticleStore
 from newsgrist.plans.jobs import Settings, run, run_records, staged_run, written_run
+from newsgrist.plans.queries import QUERIES
 from newsgrist.schema import ERROR_SCHEMA, PAYLOAD_SCHEMA, SOURCE_SCHEMA, STORE_SCHEMA
 from newsgrist.streaming import incremental
 
@@ -232,3 +233,17 @@ def test_stream_filters(spark, tmp_path):
     dated = stream().where("published_at is not null")
     incremental.each_batch(incremental.url_dedup_stream(dated, "published_at", "30 days"), collect("urls"), str(tmp_path / "c2"))
     assert sorted(r.norm_url for r in seen["urls"]) == ["https://e.com/1", "https://e.com/2"]
+
+
+def test_streams_of_files_and_folders(spark, tmp_path):
+    rows = [(i, f"https://e.example.org/{i}", "<title>t</title>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    single.mkdir()
+    pages.repartition(3).write.parquet(str(folder / "pages.parquet"))
+    part = tmp_path / "part"
+    pages.coalesce(1).write.parquet(str(part))
+    next(part.glob("*.parquet")).rename(single / "pages.parquet")
+    for path in (folder, single):
+        got = QUERIES["stream_freshness"](spark, str(path))
+        assert sorted(r.pos for r in got.collect()) == list(range(20))
