@@ -119,8 +119,15 @@ def collapse(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space off both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{WS}++|(?<!{WS}){WS}++\z", "")
+    """White space off both ends. The pattern tries every position of a text, so only texts
+    with white space at an end meet it."""
+
+    def stripped(t: Column) -> Column:
+        ends = F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+        bare = F.regexp_replace(t, rf"(?U)\A{WS}++|(?<!{WS}){WS}++\z", "")
+        return F.when(ends.rlike(f"(?U){WS}"), bare).otherwise(t)
+
+    return let(text, stripped)
 
 
 def is_blank(text: Column) -> Column:

@@ -103,7 +103,8 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame, *, at_rest: bool = False
 
     A body that is broken and yields no entry is a failure; a broken one with complete
     entries keeps those. The cap counts entries before invalid ones are skipped (SRC-15).
-    ``at_rest`` writes the parsed feeds once, for callers that use all of the result.
+    ``at_rest`` writes the records once, with the failures and only the fields in use, for
+    callers that use all of the result.
     """
     fetched = payloads_of("feed", payloads, sources).withColumn(
         "problem", http_error(F.col("http_status"), F.col("body"))
@@ -122,26 +123,22 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame, *, at_rest: bool = False
     problem = F.coalesce(
         "problem", F.when(broken & F.col("entries").isNull(), F.lit("malformed feed"))
     )
-    feeds = feeds.withColumn("problem", problem).drop("body", "feed", "rest")
-    if at_rest:
-        feeds = cut_lineage(feeds)
-
-    errors = errors_of(feeds.where("problem is not null"), "feed", F.col("problem"))
-    rows = (
-        feeds.where("problem is null")
-        .select(
-            "source", "source_rank", "max_items", "categories", "fetched_at", "body_id", F.posexplode("entries").alias("pos", "e")
-        )
-        .where(F.col("pos") < F.col("max_items"))
+    capped = F.slice("entries", F.lit(1), F.greatest(F.coalesce("max_items", F.lit(0)), F.lit(0)))
+    # A feed without any entry, or with a problem, keeps one row.
+    rows = feeds.select(
+        "source", "source_rank", "categories", "fetched_at", "body_id", problem.alias("problem"),
+        F.posexplode_outer(F.when(problem.isNull(), capped)).alias("pos", "e"),
     )
     e = F.col("e")
     tags = F.filter(
         F.transform(e["category"], lambda t: F.coalesce(t["_term"], t["_VALUE"])),
         lambda t: F.coalesce(t, F.lit("")) != "",
     )
-    raw = pinned(
+    records = pinned(
         rows,
         "source",
+        "problem",
+        "pos",
         title=strip(e["title"]),
         url=strip(_entry_link(e["link"], e["guid"])),
         source_id=_first_text(e["id"], e["guid"]["_VALUE"]),
@@ -158,5 +155,9 @@ def scan_feeds(payloads: DataFrame, sources: DataFrame, *, at_rest: bool = False
         ),
         ord=order_of(0, F.col("pos")),
     )
-    good = feeds.where("problem is null").select("source")
+    if at_rest:
+        records = cut_lineage(records)
+    errors = errors_of(records.where("problem is not null"), "feed", F.col("problem"))
+    good = records.where("problem is null and coalesce(pos, 0) = 0").select("source")
+    raw = records.where("pos is not null").drop("problem", "pos")
     return Scan(raw.where(~is_blank(F.col("title")) & ~is_blank(F.col("url"))), errors, good)

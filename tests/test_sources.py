@@ -212,3 +212,17 @@ def test_head_per_source_at_any_cap(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert got == sorted((s, i, f"p{i}") for s, cap in caps.items() for i in of(s)[:cap])
+
+
+def test_feeds_at_rest_are_records(spark, monkeypatch):
+    """What is written are the records up to the cap; feeds that give none still worked."""
+    from newsgrist.sources import feeds
+    written = []
+    monkeypatch.setattr(feeds, "cut_lineage", lambda df: written.append(df) or df)
+    src = sources(spark, [(0, "feed", "rss", True, 1, []), (1, "feed", "none", True, 0, []), (2, "feed", "bad", True, 9, [])])
+    pay = payloads(spark, [("rss", "feed", None, 200, RSS), ("none", "feed", None, 200, RSS), ("bad", "feed", None, 500, RSS)])
+    raw, errors, good = scan_feeds(pay, src, at_rest=True)
+    assert [r.title for r in raw.collect()] == ["One & only"]
+    assert sorted(r.source for r in good.collect()) == ["none", "rss"]
+    assert [r.message for r in errors.collect()] == ["HTTP status 500"]
+    assert "entries" not in written[0].columns and written[0].count() == 3
