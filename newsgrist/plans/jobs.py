@@ -59,7 +59,12 @@ def staged_run(
     """
     if "published_at" not in raw.columns:
         raw = raw.withColumn("published_at", F.lit(None).cast("timestamp"))
-    raw = with_errors(with_order(raw))
+    raw = with_order(raw)
+    # Before any cleaning, and on the order alone.
+    repeats = raw.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        raw = raw.dropDuplicates(["seq"])
+    raw = with_errors(raw)
     raw = raw.withColumn("published_at", published_time(raw))
     alive = F.col("error").isNull() & is_fresh(F.col("published_at"), max_age_hours, now)
     texts = [c for c in ("title", "url", "author", "description", "content") if c in raw.columns]
@@ -80,10 +85,6 @@ def staged_run(
         .drop("_alive")
     )
 
-    repeats = staged.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        staged = cut_lineage(staged.dropDuplicates(["seq"]))
-
     relevant = staged.where(F.col("stage") == metrics.NEW)
     in_run = find_duplicates(relevant, normalized=True, reasons=False)
     in_run = cut_lineage(in_run.withColumn("_in_run", F.lit(True)))
@@ -180,11 +181,11 @@ def run(
     settings: Settings = Settings(), *, batch_id: int, now: datetime | None = None,
     deliver: Deliver | None = None,
 ) -> Run:
-    """JOB-3 on landed payloads. The records are written once: scanning and scoring in one
-    stage would be more code than Spark compiles, and each would run again for the other's
-    results."""
+    """JOB-3 on landed payloads. The registered scans write their records once: scanning and
+    scoring in one stage would be more code than Spark compiles, and each would run again for
+    the other's results."""
     scan = scan_all(payloads, sources)
     return run_records(
-        cut_lineage(scan.raw), scan.errors, sources, store, settings, good=scan.good,
+        scan.raw, scan.errors, sources, store, settings, good=scan.good,
         batch_id=batch_id, now=now or datetime.now(timezone.utc), deliver=deliver,
     )

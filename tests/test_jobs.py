@@ -247,3 +247,27 @@ def test_streams_of_files_and_folders(spark, tmp_path):
     for path in (folder, single):
         got = QUERIES["stream_freshness"](spark, str(path))
         assert sorted(r.pos for r in got.collect()) == list(range(20))
+
+
+def test_repeats_go_before_cleaning(spark, monkeypatch):
+    from newsgrist.plans import jobs
+    written = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: written.append(df) or df)
+    raw = raws(spark, [("s", "python a", "https://e.com/1", None, 1), ("s", "python b", "https://e.com/2", None, 1)])
+    staged = staged_run(raw.unionByName(raw), RULES, spark.createDataFrame([], STORE_SCHEMA), now=NOW)
+    assert staged.count() == 2 and written[0].count() == 2
+
+
+def test_summary_writes_no_texts(spark, monkeypatch):
+    from newsgrist.plans import queries
+    from newsgrist.sources import Scan
+    written = []
+    real = queries.written_run
+    monkeypatch.setattr(queries, "written_run", lambda df: written.append(df.columns) or real(df))
+    staged = staged_run(raws(spark, [("s", "python a", "https://e.com/1", "x", 1)]), RULES, spark.createDataFrame([], STORE_SCHEMA), now=NOW)
+    scan = Scan(None, spark.createDataFrame([], ERROR_SCHEMA), staged.select("source"))
+    src = spark.createDataFrame([(0, "feed", "s", True, 9, "", [], "", [])], SOURCE_SCHEMA)
+    monkeypatch.setattr(queries, "_payload_run", lambda *_: (scan, src, staged))
+    row = QUERIES["payload_summary"](spark, "").first()
+    assert (row.raw_articles, row.persisted_articles, row.sent_articles, row.failed_notifications) == (1, 1, 1, 0)
+    assert "description" not in written[0] and "title" not in written[0]
