@@ -114,8 +114,9 @@ def unescape(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"(?U){WS}++", " "))
+    """Runs of white space to one space, ends trimmed. Single spaces, nearly all runs of a text,
+    are no match, so nothing is put together anew for them."""
+    return F.trim(F.regexp_replace(text, rf"(?U){WS}(?:(?<! )|(?={WS})){WS}*+", " "))
 
 
 def strip(text: Column) -> Column:
@@ -164,8 +165,9 @@ def without_description_tags(description: Column) -> Column:
     """The part of FN-3 before decoding."""
     blocks = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})[^>]*+>"
     bare = _replace_tags(_replace_tags(description, blocks, " "), "<[^>]++>", "")
-    # The look-behind keeps long white-space runs linear.
-    return F.regexp_replace(bare, f"(?U)(?<!{WS}){WS}++([{TIGHT_PUNCTUATION}])", "$1")
+    # The look-behind keeps long white-space runs linear; after the first character of a run, it
+    # is not tried at every position.
+    return F.regexp_replace(bare, rf"(?U){WS}(?<!{WS}{WS}){WS}*+([{TIGHT_PUNCTUATION}])", "$1")
 
 
 def clean_title(title: Column) -> Column:

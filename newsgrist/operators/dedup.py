@@ -108,8 +108,10 @@ def known_keys(
 def _with_minimum(pairs: DataFrame, *, shared_only: bool = False) -> DataFrame:
     """``pairs`` with ``m``, the smallest seq of their key; optionally without keys of one row.
 
-    The pairs are shuffled once, by (key, salt); both the minima per (key, salt) and the
-    join back use that one exchange. The window over a key sees at most one row per salt.
+    The pairs are shuffled by (key, salt) for the minima per (key, salt) and for the join back.
+    Pairs that cost anything to make should be at rest: the two sides read different columns,
+    so Spark takes two exchanges, each with all that comes before it. The window over a key
+    sees at most one row per salt.
     """
     salted = pairs.withColumn("salt", salt_of("seq")).repartition("k", "salt")
     partial = salted.groupBy("k", "salt").agg(F.min("seq").alias("m"), F.count("*").alias("n"))
@@ -223,14 +225,14 @@ def find_duplicates(
     title and source, over known keys and all kept rows (DD-5); without ``reasons`` the
     result is (seq) only and one lookup cheaper.
     """
-    pairs = article_keys(articles, seq, normalized=normalized)
-    shared = _with_minimum(pairs, shared_only=True)
+    # Written first: minima and join read the pairs through exchanges of their own, and what
+    # makes them, cleaning included, would run for each.
+    pairs = cut_lineage(article_keys(articles, seq, normalized=normalized))
     seen = None
     if known is None:
-        shared = cut_lineage(_with_kept(shared))
+        shared = cut_lineage(_with_kept(_with_minimum(pairs, shared_only=True)))
         first = shared
     else:
-        pairs = cut_lineage(pairs)
         shared = cut_lineage(_with_minimum(pairs, shared_only=True).drop("m"))
         hits = with_salted_lookup(pairs, known.select("k"), "k", "seq", how="inner")
         seen = cut_lineage(hits.groupBy("seq").agg(F.min("family").alias("family")))

@@ -88,7 +88,9 @@ def with_message(
     dots = len(fixed.ELLIPSIS)
     body_room = limit - _room(above) - _room(link)
     title_room = limit - _room(head) - _room(details) - _room(link) - len("<b></b>")
-    full = _blocks(head, title, details, escape_markup(body), link)
+    # A column of its own: its length is asked for before it is taken.
+    parts = parts.withColumn("_full", _blocks(head, title, details, escape_markup(body), link))
+    full = F.col("_full")
     fitted = _blocks(above, escape_markup(truncate(body, body_room)), link)
     bare = _blocks(head, title, details, link)
     short = _blocks(head, bold(truncate(F.col("_title"), title_room)), details, link)
@@ -104,7 +106,7 @@ def with_message(
         .when(link != "", link)
         .otherwise(title)
     )
-    return parts.withColumn("message", message).drop("_head", "_title", "_details", "_body", "_link")
+    return parts.withColumn("message", message).drop("_head", "_title", "_details", "_body", "_link", "_full")
 
 
 def build_outbox(store: DataFrame, threshold: float, limit: int = fixed.NOTIFICATION_LIMIT) -> DataFrame:

@@ -55,6 +55,21 @@ def test_random_batches(spark, seed, n, values):
     assert holds(rows, found(spark, rows))
 
 
+def test_articles_are_read_once(spark):
+    """Cleaning is most of a job: the keys of the articles are made in one pass."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = random_rows(random.Random(9), 60, 15)
+    df = spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA)
+    reasons = {r.seq: r.reason for r in dedup.find_duplicates(df).collect()}
+    assert holds(rows, reasons) and read.value == len(rows)
+
+
 def test_known_keys(spark):
     rng = random.Random(8)
     rows = random_rows(rng, 80, 25)

@@ -2,12 +2,14 @@
 
 import html
 import random
+import re
 from datetime import datetime
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
 
+from newsgrist.fixed_values import TIGHT_PUNCTUATION
 from newsgrist.functions import text, times, urls
 
 
@@ -18,6 +20,17 @@ def test_clean_text(column_of):
     assert column_of(text.clean_text, cases) == want
 
 
+def test_white_space_runs(column_of):
+    rng = random.Random(3)
+    bits = [" ", "  ", "a", "\n", "\x1c", "\u3000", "é", "\U0001f600", ",", ".", "\u180e", "\xa0"]
+    cases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    spaces = [chr(n) for n in range(0x3100)]
+    cases += [f"a{x}b {x}c{x} .{x}{x},{x}" for x in spaces if x.isspace() or x in "\u180e\u200b\ufeff!~"]
+    assert column_of(text.collapse, cases) == [" ".join(c.split()) for c in cases]
+    tight = [" ".join(re.sub(rf"\s+([{TIGHT_PUNCTUATION}])", r"\1", c).split()) or None for c in cases]
+    assert column_of(text.clean_description, cases) == tight
+
+
 def test_unescape_random(column_of):
     rng = random.Random(5)
     bits = ["&", "amp", ";", "lt", "quot", "#39", "#", "x", "41", "copy", " ", "a", "nbsp", "<",
