@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from newsgrist.llm.suffixes import Limits, _text_groups, anchors, group_anchors, remove_repeats
+from newsgrist.llm.suffixes import Limits, SuffixSort, _order, _text_groups, anchors, group_anchors, remove_repeats
 
 # Few letters, short blocks and ranges: several levels, many borders.
 SMALL = Limits(length=12, block=60, part=40)
@@ -102,3 +102,26 @@ def test_real_length_and_long_text(docs):
     rows = [(1, long), (2, long[1000:1399]), (3, long[5000:5400]), (4, "z" + long[7000:7900] + "z"),
             (5, passage + " x " + passage[:399]), (6, passage[:400]), (7, "y" * 399), (8, "w" * 401)]
     check(docs, rows, Limits(block=40_000, part=30_000))
+
+
+def test_copies_of_a_passage_do_not_grow_the_sort(docs, monkeypatch):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage, sizes, order = word(300), [], SuffixSort.order
+
+    def counted(self, texts, level=0):
+        if level == 0:
+            sizes.append(texts.agg({"n": "sum"}).first()[0])
+        return order(self, texts, level)
+
+    monkeypatch.setattr(SuffixSort, "order", counted)
+    for copies in (4, 40):
+        check(docs, [(i, word(40) + passage + word(40)) for i in range(copies)])
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_order_of_several_words():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 5), (1, 5), (1000, 3), (1000, 1 << 42), (1000, (1 << 64) - 1)):
+        fields = [rng.integers(0, top, n, dtype=np.uint64) // np.uint64(max(1, top // 9)) * np.uint64(max(1, top // 9)) for _ in range(3)]
+        assert _order(*fields).tolist() == np.lexsort(fields[::-1]).tolist()
